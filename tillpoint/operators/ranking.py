@@ -1,5 +1,10 @@
 """Distributed global ranking and exact quantiles (E-02, D-35).
 
+The partition-tagged rows are checkpointed (reliably, to the shared
+checkpoint folder) before they are counted and joined back: partition ids
+are only meaningful for one evaluation of the stage, and a checkpoint makes
+both consumers read the same stored ids — also after an executor loss.
+
 ``row_number() over (order by x)`` without a partition key runs in a single
 task.  Here the rows are range-partitioned on the sort key instead, numbered
 locally, and offset by a prefix sum of per-partition counts.  The count table
@@ -15,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillpoint.session import ensure_checkpoint_dir
+
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
@@ -22,6 +29,11 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def global_rank(df: DataFrame, order_cols: Sequence[str | Column], name: str = "rank",
                 num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position in the total order ``order_cols``.
@@ -32,9 +44,9 @@ def global_rank(df: DataFrame, order_cols: Sequence[str | Column], name: str = "
     """
     n = _partitions(df, num_partitions)
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = (ordered
-              .withColumn("_rk_pid", F.spark_partition_id())
-              .withColumn("_rk_mid", F.monotonically_increasing_id()))
+    tagged = _stored(ordered
+                     .withColumn("_rk_pid", F.spark_partition_id())
+                     .withColumn("_rk_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_rk_pid").agg(F.count(F.lit(1)).alias("_rk_n"))
     before = Window.orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_rk_pid",
@@ -84,9 +96,9 @@ def grouped_rank(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str |
     base = df.where(not_null)
     sort_cols = [*keys, *order_cols]
     ordered = base.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-    tagged = (ordered
-              .withColumn("_gr_pid", F.spark_partition_id())
-              .withColumn("_gr_mid", F.monotonically_increasing_id()))
+    tagged = _stored(ordered
+                     .withColumn("_gr_pid", F.spark_partition_id())
+                     .withColumn("_gr_mid", F.monotonically_increasing_id()))
     counts = (tagged.groupBy("_gr_pid", *keys)
                     .agg(F.count(F.lit(1)).alias("_gr_n"), F.min("_gr_mid").alias("_gr_first")))
     before = Window.partitionBy(*keys).orderBy("_gr_pid").rowsBetween(Window.unboundedPreceding, -1)
