@@ -109,3 +109,74 @@ def two_date_sums_sql(src: str, dims: list[str], rollup: bool) -> str:
       {s('prev', 'GrossPrice')} AS p_gross, {s('latest', 'GrossPrice')} AS l_gross,
       any_value(pp.prev) AS prev, any_value(pp.latest) AS latest
     FROM {src}, pp WHERE {where} GROUP BY {group}"""
+
+
+# B-02 extended column set (prefix groups, customer stats, 80th percentile) --
+_PREFIX = "CASE WHEN DiscountCode IS NULL THEN 'None' " + " ".join(
+    f"WHEN starts_with(upper(DiscountCode), '{p}') THEN '{g}'" for p, g in dg.PREFIX_GROUPS) + " ELSE 'Other' END"
+
+EXTENDED_SQL = f"""
+x0 AS (SELECT o.*, {_PREFIX} AS Discount_Group FROM orders_c o),
+x1 AS (
+  SELECT *,
+    CASE WHEN Discount_Group = '{STAFF}' THEN CAST(GrossPrice - Discount AS DECIMAL(20,4))
+         ELSE CAST(GrossPrice AS DECIMAL(20,4)) END AS net_sale_vat,
+    CASE WHEN Discount_Group = '{STAFF}' THEN CAST(0 AS DECIMAL(20,5))
+         WHEN Channel = '{HALF_CH}' AND Brand = '{HALF_BR}' THEN CAST(Discount * 0.5 AS DECIMAL(20,5))
+         ELSE CAST(Discount AS DECIMAL(20,5)) END AS calc_discount_vat
+  FROM x0
+),
+x2 AS (
+  SELECT *, CAST(net_sale_vat AS DOUBLE) / 1.05 AS net_sale,
+         CAST(calc_discount_vat AS DOUBLE) / 1.05 AS Calculated_Discount,
+         CAST(hour(ReceivedAt) AS INTEGER) AS Hour, CAST(minute(ReceivedAt) AS INTEGER) AS Minute,
+         dayname(ReceivedAt) AS DayOfWeek
+  FROM x1
+),
+xcs AS (
+  SELECT CustomerName AS cs_key, CAST(count(net_sale_vat) AS BIGINT) AS Customer_Order_Count,
+         CAST(SUM(net_sale_vat) AS DOUBLE) / 1.05 AS Customer_Total_Spent,
+         CAST(SUM(net_sale_vat) AS DOUBLE) / 1.05 / count(net_sale_vat) AS Customer_Avg_Order
+  FROM x2 WHERE CustomerName IS NOT NULL GROUP BY CustomerName
+),
+xr AS (SELECT net_sale, row_number() OVER (ORDER BY net_sale) AS rn, count(*) OVER () AS n
+       FROM x2 WHERE net_sale IS NOT NULL),
+xq AS (
+  SELECT CASE WHEN t >= 0.5 THEN b - (b - a) * (1.0 - t) ELSE a + (b - a) * t END AS q80
+  FROM (SELECT max(CASE WHEN rn = floor((n - 1) * 0.8) + 1 THEN net_sale END) AS a,
+               max(CASE WHEN rn = ceil((n - 1) * 0.8) + 1 THEN net_sale END) AS b,
+               (max(n) - 1) * 0.8 - floor((max(n) - 1) * 0.8) AS t FROM xr)
+),
+x AS (
+  SELECT x2.*,
+    CASE WHEN CAST(GrossPrice AS DOUBLE) <> 0
+         THEN (net_sale - Calculated_Discount) / CAST(GrossPrice AS DOUBLE) * 100 ELSE 0.0 END AS Profit_Margin,
+    CASE WHEN CAST(GrossPrice AS DOUBLE) <> 0
+         THEN Calculated_Discount / CAST(GrossPrice AS DOUBLE) * 100 ELSE 0.0 END AS Discount_Percentage,
+    net_sale - CAST(Delivery AS DOUBLE) AS Revenue_After_Delivery,
+    CAST(Delivery + Surcharge + VAT AS DOUBLE) AS Total_Fees,
+    net_sale - Calculated_Discount - CAST(Delivery + Surcharge + VAT AS DOUBLE) AS Order_Profitability,
+    CASE WHEN net_sale > 0 AND net_sale <= 25 THEN 'Small' WHEN net_sale > 25 AND net_sale <= 75 THEN 'Medium'
+         WHEN net_sale > 75 AND net_sale <= 150 THEN 'Large' WHEN net_sale > 150 THEN 'XLarge' END
+         AS Order_Size_Category,
+    CASE WHEN CAST(Discount AS DOUBLE) > 0 AND CAST(Discount AS DOUBLE) <= 1 THEN 'No Discount'
+         WHEN CAST(Discount AS DOUBLE) > 1 AND CAST(Discount AS DOUBLE) <= 10 THEN 'Low'
+         WHEN CAST(Discount AS DOUBLE) > 10 AND CAST(Discount AS DOUBLE) <= 25 THEN 'Medium'
+         WHEN CAST(Discount AS DOUBLE) > 25 THEN 'High' END AS Discount_Category,
+    DayOfWeek IN ('Saturday', 'Sunday') AS Is_Weekend,
+    CASE WHEN Hour >= 0 AND Hour <= 6 THEN 'Night' WHEN Hour > 6 AND Hour <= 12 THEN 'Morning'
+         WHEN Hour > 12 AND Hour <= 18 THEN 'Afternoon' WHEN Hour > 18 AND Hour <= 24 THEN 'Evening' END
+         AS Time_Period,
+    xcs.Customer_Order_Count, xcs.Customer_Total_Spent, xcs.Customer_Avg_Order,
+    CASE WHEN Customer_Total_Spent > 0 AND Customer_Total_Spent <= 100 THEN 'Bronze'
+         WHEN Customer_Total_Spent > 100 AND Customer_Total_Spent <= 500 THEN 'Silver'
+         WHEN Customer_Total_Spent > 500 AND Customer_Total_Spent <= 1000 THEN 'Gold'
+         WHEN Customer_Total_Spent > 1000 THEN 'Platinum' END AS Customer_Value_Tier,
+    net_sale / CASE WHEN CAST(ItemPrice AS DOUBLE) = 0 THEN 1.0 ELSE CAST(ItemPrice AS DOUBLE) END
+         AS Revenue_Per_Item,
+    CASE WHEN net_sale <> 0 THEN CAST(Tips AS DOUBLE) / net_sale * 100 ELSE 0.0 END AS Tip_Percentage,
+    COALESCE(net_sale > xq.q80, FALSE) AS High_Value_Order,
+    CAST(Discount AS DOUBLE) > 0 AS Discounted_Order,
+    COALESCE(Customer_Order_Count > 5, FALSE) AS Premium_Customer
+  FROM x2 LEFT JOIN xcs ON x2.CustomerName = xcs.cs_key, xq
+)"""
