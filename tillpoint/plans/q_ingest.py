@@ -10,7 +10,7 @@ from tillpoint.operators import quality
 from tillpoint.operators.params import fetch
 from tillpoint.plans import frames
 from tillpoint.plans.catalog import register
-from tillpoint.plans.sqlparts import BASE, with_ctes
+from tillpoint.plans.sqlparts import BASE, quantile_sql, with_ctes
 from tillpoint.session import shared_dir
 from tillpoint.sources import landing, sink
 from tillpoint.sources.canonical import ORDERS_SQL
@@ -123,10 +123,13 @@ _CAT = ["Channel", "Brand", "Location", "PaymentMethod", "DiscountCode"]
 
 def _num_profile_sql() -> str:
     parts = " UNION ALL ".join(f"SELECT '{c}' AS column_, CAST({c} AS DOUBLE) AS v FROM e" for c in _NUM)
-    return with_ctes(*BASE, f"lg AS ({parts})", final="""
-SELECT column_ AS column, count(v) AS count, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max,
-       quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75
-FROM lg WHERE v IS NOT NULL GROUP BY column_""")
+    qs = [quantile_sql("lg", ["column_"], "v", p, n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+    return with_ctes(*BASE, f"lg AS ({parts})", f"q1 AS ({qs[0]})", f"q2 AS ({qs[1]})", f"q3 AS ({qs[2]})",
+                     final="""
+SELECT b.column_ AS column, count, mean, std, min, max, p25, p50, p75
+FROM (SELECT column_, count(v) AS count, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max
+      FROM lg WHERE v IS NOT NULL GROUP BY column_) b
+LEFT JOIN q1 USING (column_) LEFT JOIN q2 USING (column_) LEFT JOIN q3 USING (column_)""")
 
 
 @register("d29_numeric_profile", ("D-29",), _num_profile_sql())

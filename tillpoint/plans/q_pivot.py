@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tillpoint.operators import pivot
 from tillpoint.plans import frames
 from tillpoint.plans.catalog import register
-from tillpoint.plans.sqlparts import BASE, SYNC_SQL, cm_sql, ratio_sql, two_date_sums_sql, with_ctes
+from tillpoint.plans.sqlparts import (BASE, SYNC_SQL, cm_sql, quantile_sql, ratio_sql,
+                                      two_date_sums_sql, with_ctes)
 
 CMD = [*BASE, SYNC_SQL]
 NET = "(CAST({t}_net AS DOUBLE) / 1.05)"
@@ -87,6 +88,10 @@ def _general_pivot_sql(rows: list[str], cols: list[str], value: str, how: str) -
     parts = []
     for s in sets:
         proj = ", ".join(d if d in s else f"'Total' AS {d}" for d in dims)
+        if how == "median":
+            inner = quantile_sql("pv", s, value, 0.5, "value")
+            parts.append(f"SELECT {proj}, value FROM ({inner})")
+            continue
         group = f" GROUP BY {', '.join(s)}" if s else ""
         parts.append(f"SELECT {proj}, {agg} AS value FROM pv{group}")
     return with_ctes(*KEPT, f"pv AS (SELECT {sel}, {value} FROM k WHERE {where})",
@@ -116,8 +121,8 @@ def p05_group_summary(spark, sf):
     return pivot.group_summary(frames.kept(spark, sf), ["Brand"], "net_sale", "mean")
 
 
-@register("p05_group_summary_median", "P-05", with_ctes(*KEPT, final="""
-SELECT Location, median(net_sale) AS net_sale FROM k WHERE Location IS NOT NULL GROUP BY Location"""))
+@register("p05_group_summary_median", "P-05", with_ctes(*KEPT, final=quantile_sql(
+    "k", ["Location"], "net_sale", 0.5, "net_sale")))
 def p05_group_summary_median(spark, sf):
     return pivot.group_summary(frames.kept(spark, sf), ["Location"], "net_sale", "median")
 

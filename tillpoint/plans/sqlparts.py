@@ -180,3 +180,22 @@ x AS (
     COALESCE(Customer_Order_Count > 5, FALSE) AS Premium_Customer
   FROM x2 LEFT JOIN xcs ON x2.CustomerName = xcs.cs_key, xq
 )"""
+
+
+def quantile_sql(src: str, keys: list[str], value: str, p: float, name: str) -> str:
+    """Exact linear-interpolated quantile per group, numpy's interpolation
+    (the rule ``grouped_quantile`` uses), as a SELECT over ``src``."""
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    k = ", ".join(keys)
+    sel = f"{k}, " if keys else ""
+    grp = f" GROUP BY {k}" if keys else ""
+    pos = f"(CAST(n_ - 1 AS DOUBLE) * CAST({p} AS DOUBLE))"
+    return f"""SELECT {sel}CASE WHEN max(t_) >= 0.5 THEN max(b_) - (max(b_) - max(a_)) * (1.0 - max(t_))
+                  ELSE max(a_) + (max(b_) - max(a_)) * max(t_) END AS {name}
+FROM (SELECT {sel}CASE WHEN rn_ = floor({pos}) + 1 THEN v_ END AS a_,
+             CASE WHEN rn_ = ceil({pos}) + 1 THEN v_ END AS b_,
+             {pos} - floor({pos}) AS t_
+      FROM (SELECT {sel}CAST({value} AS DOUBLE) AS v_,
+                   row_number() OVER ({part}ORDER BY CAST({value} AS DOUBLE)) AS rn_,
+                   count(*) OVER ({part.strip()}) AS n_
+            FROM {src} WHERE {value} IS NOT NULL)){grp}"""

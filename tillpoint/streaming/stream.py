@@ -20,17 +20,18 @@ from pyspark.sql.types import StructType
 from tillpoint.session import shared_dir
 from tillpoint.sources.sink import write_replace_by_day
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
 def ntz_to_instant(c: str | Column) -> Column:
     col = F.col(c) if isinstance(c, str) else c
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _EPOCH, col))
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), col))
 
 
 def instant_to_ntz(c: str | Column) -> Column:
     col = F.col(c) if isinstance(c, str) else c
-    return F.timestamp_add("MICROSECOND", F.unix_micros(col), _EPOCH)
+    return F.timestamp_add("MICROSECOND", F.unix_micros(col), _epoch())
 
 
 def order_stream(spark: SparkSession, landing: str, schema: StructType, files_per_batch: int = 16) -> DataFrame:
