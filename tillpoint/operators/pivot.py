@@ -249,19 +249,24 @@ def general_pivot(df: DataFrame, rows: Sequence[str], cols: Sequence[str], value
     for d in dims:
         keyed = keyed.where(F.col(d).isNotNull())
     keyed = keyed.select(*[F.col(d).cast("string").alias(d) for d in dims], F.col(value))
-    sets = [dims, rows, cols, []]
-    uniq = []
-    for s in sets:
-        if s not in uniq:
-            uniq.append(s)
+    sets = []
+    for st in (dims, rows, cols, []):
+        if st not in sets:
+            sets.append(st)
+    if how == "median":
+        # One ranked pass for every margin: expand each row into its grouping
+        # sets (as Spark's Expand does for GROUPING SETS), then rank per set.
+        expanded = keyed.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("_set"), *[(F.col(d) if d in st else F.lit(TOTAL_LABEL)).alias(d)
+                                                for d in dims], F.col(value).alias("_v"))
+            for i, st in enumerate(sets)])).alias("r")).select("r.*")
+        q = grouped_quantile(expanded, ["_set", *dims], "_v", 0.5, "value")
+        return q.select(*dims, "value")
     parts = []
-    for s in uniq:
-        if how == "median":
-            q = grouped_quantile(keyed, s, value, 0.5, "value")
-        else:
-            q = (keyed.groupBy(*s) if s else keyed.groupBy()).agg(_agg_expr(value, how).alias("value"))
+    for st in sets:
+        q = (keyed.groupBy(*st) if st else keyed.groupBy()).agg(_agg_expr(value, how).alias("value"))
         for d in dims:
-            if d not in s:
+            if d not in st:
                 q = q.withColumn(d, F.lit(TOTAL_LABEL))
         parts.append(q.select(*dims, "value"))
     out = parts[0]

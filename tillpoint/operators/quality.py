@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.operators.ranking import grouped_quantile
+from tillpoint.operators.ranking import grouped_quantiles
 
 
 def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
@@ -25,10 +25,8 @@ def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     base = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    out = base
-    for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
-        out = out.join(grouped_quantile(long, ["column"], "value", p, name), "column", "left")
-    return out
+    qs = grouped_quantiles(long, ["column"], "value", [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")])
+    return base.join(qs, "column", "left")
 
 
 def categorical_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:

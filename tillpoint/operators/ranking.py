@@ -109,23 +109,36 @@ def grouped_rank(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str |
             .drop("_gr_pid", "_gr_mid", "_gr_first", "_gr_off"))
 
 
-def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float,
-                     name: str = "quantile", num_partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantile of ``value`` per group of ``keys``."""
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[tuple[float, str]],
+                      num_partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``value`` per group of ``keys``
+    for several (p, output name) pairs from a single ranked pass."""
     keys = list(keys)
     vals = df.select(*keys, F.col(value).cast("double").alias("_q_v")).where(F.col("_q_v").isNotNull())
     if not keys:
-        return exact_quantile(vals, "_q_v", p, name, num_partitions)
-    ranked = grouped_rank(vals, keys, ["_q_v"], "_q_r", num_partitions)
-    sizes = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_q_n"))
-    pos = (F.col("_q_n") - 1).cast("double") * F.lit(float(p))
-    with_pos = (ranked.join(sizes, keys)
-                .withColumn("_q_lo", F.floor(pos).cast("long"))
-                .withColumn("_q_hi", F.ceil(pos).cast("long"))
-                .withColumn("_q_t", pos - F.floor(pos)))
-    picked = with_pos.where((F.col("_q_r") == F.col("_q_lo") + 1) | (F.col("_q_r") == F.col("_q_hi") + 1))
-    agg = picked.groupBy(*keys).agg(
-        F.max(F.when(F.col("_q_r") == F.col("_q_lo") + 1, F.col("_q_v"))).alias("_a"),
-        F.max(F.when(F.col("_q_r") == F.col("_q_hi") + 1, F.col("_q_v"))).alias("_b"),
-        F.max("_q_t").alias("_t"))
-    return agg.select(*keys, lerp(F.col("_a"), F.col("_b"), F.col("_t")).alias(name))
+        vals = vals.withColumn("_q_all", F.lit(0))
+        keys_ = ["_q_all"]
+    else:
+        keys_ = keys
+    ranked = grouped_rank(vals, keys_, ["_q_v"], "_q_r", num_partitions)
+    sizes = vals.groupBy(*keys_).agg(F.count(F.lit(1)).alias("_q_n"))
+    with_n = ranked.join(sizes, keys_)
+    wanted = F.lit(False)
+    aggs = []
+    for i, (p, name) in enumerate(ps):
+        pos = (F.col("_q_n") - 1).cast("double") * F.lit(float(p))
+        lo, hi = F.floor(pos).cast("long") + 1, F.ceil(pos).cast("long") + 1
+        wanted = wanted | (F.col("_q_r") == lo) | (F.col("_q_r") == hi)
+        aggs += [F.max(F.when(F.col("_q_r") == lo, F.col("_q_v"))).alias(f"_a{i}"),
+                 F.max(F.when(F.col("_q_r") == hi, F.col("_q_v"))).alias(f"_b{i}"),
+                 F.max(pos - F.floor(pos)).alias(f"_t{i}")]
+    agg = with_n.where(wanted).groupBy(*keys_).agg(*aggs)
+    out = agg.select(*keys_, *[lerp(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_t{i}")).alias(name)
+                               for i, (_, name) in enumerate(ps)])
+    return out.drop("_q_all") if not keys else out
+
+
+def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float,
+                     name: str = "quantile", num_partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantile of ``value`` per group of ``keys``."""
+    return grouped_quantiles(df, keys, value, [(p, name)], num_partitions)

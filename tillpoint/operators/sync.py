@@ -97,10 +97,14 @@ def exact_sync(df: DataFrame) -> DataFrame:
     if p["n"] == 2:
         latest, prev, max_ts = p["latest"], p["prev"], p["max_ts"]
         cutoff = dt.datetime.combine(prev, max_ts.time())
-        n_at_max = fetch(df.where(ts == ts_lit(max_ts)), n=F.count(F.lit(1)))["n"]
+        c = fetch(df.where((ts == ts_lit(max_ts)) | (ts == ts_lit(cutoff))),
+                  at_max=F.count_if(ts == ts_lit(max_ts)), at_cut=F.count_if(ts == ts_lit(cutoff)))
+        on_prev_at_cut = (day == date_lit(prev)) & (ts == ts_lit(cutoff))
+        if c["at_cut"] <= c["at_max"]:
+            # No excess rows at the cut-off instant: a plain filter suffices.
+            return df.where((day == date_lit(latest)) | ((day == date_lit(prev)) & (ts <= ts_lit(cutoff))))
         kept = df.where((day == date_lit(latest)) | ((day == date_lit(prev)) & (ts < ts_lit(cutoff))))
-        at_cutoff = cap_ties(df.where((day == date_lit(prev)) & (ts == ts_lit(cutoff))), F.lit(n_at_max))
-        return kept.unionByName(at_cutoff)
+        return kept.unionByName(cap_ties(df.where(on_prev_at_cut), F.lit(c["at_max"])))
     return single_date_sync(df)
 
 

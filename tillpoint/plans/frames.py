@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tillpoint.operators import sync
 from tillpoint.operators.enrich import with_essential_columns, with_extended_columns
 from tillpoint.session import shared_dir
-from tillpoint.sources.canonical import orders_view
+from tillpoint.sources.canonical import ORDER_COLUMNS, orders_view
 
 _TABLES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
@@ -57,8 +57,9 @@ def materialize(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical order table (the ingested sales table)."""
-    return materialize(spark, sf_dir, "orders", lambda: orders_view(spark, sf_dir))
+    """Canonical order table (the ingested sales table): the canonical columns
+    of the stored essential table, so the joins run once per session."""
+    return essential(spark, sf_dir).select(*ORDER_COLUMNS, "Month")
 
 
 def essential(spark: SparkSession, sf_dir: str) -> DataFrame:
