@@ -262,17 +262,11 @@ def general_pivot(df: DataFrame, rows: Sequence[str], cols: Sequence[str], value
             for i, st in enumerate(sets)])).alias("r")).select("r.*")
         q = grouped_quantile(expanded, ["_set", *dims], "_v", 0.5, "value")
         return q.select(*dims, "value")
-    parts = []
-    for st in sets:
-        q = (keyed.groupBy(*st) if st else keyed.groupBy()).agg(_agg_expr(value, how).alias("value"))
-        for d in dims:
-            if d not in st:
-                q = q.withColumn(d, F.lit(TOTAL_LABEL))
-        parts.append(q.select(*dims, "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # One Expand + one shuffle for all margins (GROUPING SETS).
+    g = keyed.groupingSets([list(st) for st in sets], *dims).agg(
+        _agg_expr(value, how).alias("value"), *[F.grouping(d).alias(f"_g_{d}") for d in dims])
+    return g.select(*[F.when(F.col(f"_g_{d}") == 1, F.lit(TOTAL_LABEL)).otherwise(F.col(d)).alias(d)
+                      for d in dims], "value")
 
 
 def group_summary(df: DataFrame, rows: Sequence[str], value: str, how: str = "sum") -> DataFrame:
