@@ -229,3 +229,36 @@ def test_landing_clean(spark):
     assert [r["UniqueOrderID"] for r in c] == [1, 3]
     assert float(c[1]["Discount"]) == 0.0 and float(c[1]["Total"]) == 0.0
     assert landing.normalize_header("Total (Receipt Total)") == "total_receipt_total"
+
+
+def test_sync_result_is_subset_and_deltas(spark):
+    """Invariants: the sync cut keeps a subset of its input; deltas are newer − older."""
+    rows = []
+    for i in range(40):
+        day = 1 + i % 2
+        rows.append({"OrderID": i + 1, "ReceivedAt": f"2024-01-0{day} {8 + i % 12:02d}:{(7 * i) % 60:02d}:00",
+                     "Channel": f"C{i % 3}", "GrossPrice": 10 + i, "Discount": i % 4,
+                     "DiscountCode": "Disc_20" if i % 4 else None})
+    e = with_essential_columns(orders(spark, rows))
+    cut = sync.exact_sync(e)
+    assert cut.select("OrderID").subtract(e.select("OrderID")).count() == 0
+    t = pivot.two_date_pivot(cut, "Channel").collect()
+    for r in t:
+        for m in ("Net_Sale", "Discount", "Discount_Pct", "CM"):
+            assert r[f"{m}_Delta"] == pytest.approx(r[f"Latest_{m}"] - r[f"Previous_{m}"])
+
+
+def test_general_pivot_margins_from_raw_rows(spark):
+    df = orders(spark, [{"Channel": "A", "PaymentMethod": "x", "GrossPrice": 105},
+                        {"Channel": "A", "PaymentMethod": "y", "GrossPrice": 210},
+                        {"Channel": "B", "PaymentMethod": "x", "GrossPrice": 315},
+                        {"Channel": None, "PaymentMethod": "x", "GrossPrice": 999}])
+    e = with_essential_columns(df)
+    g = {(r["Channel"], r["PaymentMethod"]): r["value"]
+         for r in pivot.general_pivot(e, ["Channel"], ["PaymentMethod"], "net_sale", "mean").collect()}
+    assert g[("A", "Total")] == pytest.approx(150.0)
+    assert g[("Total", "x")] == pytest.approx(200.0)          # null channel dropped
+    assert g[("Total", "Total")] == pytest.approx(200.0)
+    med = {(r["Channel"], r["PaymentMethod"]): r["value"]
+           for r in pivot.general_pivot(e, ["Channel"], ["PaymentMethod"], "net_sale", "median").collect()}
+    assert med == pytest.approx(g)
