@@ -13,6 +13,7 @@ answered by cheap scans instead of re-running the joins per subquery.
 from __future__ import annotations
 
 import hashlib
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from tillpoint.session import shared_dir
 from tillpoint.sources.canonical import ORDER_COLUMNS, orders_view
 
 _TABLES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+_LOCK = threading.Lock()
 
 
 def write_by_month(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -46,13 +48,14 @@ def materialize(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame
 
     The DataFrame handle is kept, so the file listing is done once."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    hit = _TABLES.get(key)
-    if hit is None:
-        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
-        path = shared_dir(spark, f"tables/{name}-{tag}")
-        write_by_month(build(), path)
-        hit = (path, spark.read.parquet(path))
-        _TABLES[key] = hit
+    with _LOCK:
+        hit = _TABLES.get(key)
+        if hit is None:
+            tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
+            path = shared_dir(spark, f"tables/{name}-{tag}")
+            write_by_month(build(), path)
+            hit = (path, spark.read.parquet(path))
+            _TABLES[key] = hit
     return hit[1]
 
 
