@@ -262,3 +262,12 @@ def test_general_pivot_margins_from_raw_rows(spark):
     med = {(r["Channel"], r["PaymentMethod"]): r["value"]
            for r in pivot.general_pivot(e, ["Channel"], ["PaymentMethod"], "net_sale", "median").collect()}
     assert med == pytest.approx(g)
+
+
+@pytest.mark.parametrize("accuracy", [1, 50, 10000])
+def test_exact_quantile_with_ties_any_accuracy(spark, accuracy):
+    vals = [5.0] * 300 + [float(i) for i in range(40)] + [100.0] * 7
+    df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(4)
+    for p in (0.1, 0.5, 0.8, 0.99):
+        got = exact_quantile(df, "v", p, accuracy=accuracy).first()[0]
+        assert got == pytest.approx(float(np.percentile(vals, p * 100)), rel=1e-12)

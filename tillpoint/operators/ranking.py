@@ -58,17 +58,36 @@ def global_rank(df: DataFrame, order_cols: Sequence[str | Column], name: str = "
 
 
 def exact_quantile(df: DataFrame, value: str, p: float, name: str = "quantile",
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, accuracy: int = 10000) -> DataFrame:
     """One-row DataFrame with the exact linear-interpolated ``p`` quantile of
-    ``value`` (numpy/pandas default), computed without one task holding all values."""
+    ``value`` (numpy/pandas default), without one task holding all values.
+
+    Exact selection: ``percentile_approx`` brackets the two target ranks, one
+    counting pass verifies the bracket, and only the rows inside it are
+    range-ranked (offset by the count below the bracket).  If the bracket
+    misses, the whole column is ranked instead.
+    """
     vals = df.select(F.col(value).cast("double").alias("_q_v")).where(F.col("_q_v").isNotNull())
-    ranked = global_rank(vals, ["_q_v"], "_q_r", num_partitions)
     n = vals.agg(F.count(F.lit(1))).first()[0]
+    if not n:
+        return vals.sparkSession.createDataFrame([(None,)], f"{name} double")
     pos = (n - 1) * float(p)
-    lo, hi = math.floor(pos), math.ceil(pos)
-    picked = ranked.where((F.col("_q_r") == lo + 1) | (F.col("_q_r") == hi + 1))
-    agg = picked.agg(F.max(F.when(F.col("_q_r") == lo + 1, F.col("_q_v"))).alias("_a"),
-                     F.max(F.when(F.col("_q_r") == hi + 1, F.col("_q_v"))).alias("_b"))
+    lo, hi = math.floor(pos), math.ceil(pos)            # 0-based target ranks
+    slack = 2.0 / accuracy
+    qs = [max(0.0, lo / max(n - 1, 1) - slack), min(1.0, hi / max(n - 1, 1) + slack)]
+    lo_v, hi_v = vals.agg(F.percentile_approx("_q_v", qs, accuracy)).first()[0]
+    c = vals.agg(F.count_if(F.col("_q_v") < lo_v).alias("below"),
+                 F.count_if(F.col("_q_v") <= hi_v).alias("upto")).first()
+    if c["below"] <= lo and c["upto"] >= hi + 1:
+        window = vals.where((F.col("_q_v") >= lo_v) & (F.col("_q_v") <= hi_v))
+        offset = c["below"]
+    else:
+        window, offset = vals, 0
+    ranked = global_rank(window, ["_q_v"], "_q_r", num_partitions)
+    r_lo, r_hi = lo + 1 - offset, hi + 1 - offset
+    picked = ranked.where((F.col("_q_r") == r_lo) | (F.col("_q_r") == r_hi))
+    agg = picked.agg(F.max(F.when(F.col("_q_r") == r_lo, F.col("_q_v"))).alias("_a"),
+                     F.max(F.when(F.col("_q_r") == r_hi, F.col("_q_v"))).alias("_b"))
     return agg.select(lerp(F.col("_a"), F.col("_b"), F.lit(pos - lo)).alias(name))
 
 
