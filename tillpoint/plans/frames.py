@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import threading
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from tillpoint.session import shared_dir
 from tillpoint.sources.canonical import ORDER_COLUMNS, orders_view
 
 _TABLES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 
 
 def write_by_month(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -71,8 +72,27 @@ def essential(spark: SparkSession, sf_dir: str) -> DataFrame:
                        lambda: with_essential_columns(orders_view(spark, sf_dir)))
 
 
+_DERIVED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _session_frame(spark: SparkSession, sf_dir: str, name: str, build, persist: bool = False) -> DataFrame:
+    """A derived frame kept for the session (its data-dependent parameters are
+    computed once).  ``persist`` keeps small, hot slices in memory and disk;
+    a lost block is recomputed from the stored table."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    with _LOCK:
+        df = _DERIVED.get(key)
+        if df is None:
+            df = build()
+            if persist:
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            _DERIVED[key] = df
+    return df
+
+
 def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_extended_columns(orders(spark, sf_dir))
+    """B-02 column set over the stored orders (quantile cut computed once per session)."""
+    return _session_frame(spark, sf_dir, "extended", lambda: with_extended_columns(orders(spark, sf_dir)))
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +108,5 @@ def command_centre(df: DataFrame) -> DataFrame:
 
 
 def synced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return command_centre(essential(spark, sf_dir))
+    """The command-centre slice (two dates, sync cut), derived once per session."""
+    return _session_frame(spark, sf_dir, "synced", lambda: command_centre(essential(spark, sf_dir)), persist=True)
