@@ -76,10 +76,12 @@ def two_date_pivot(df: DataFrame, dim: str = "Channel") -> DataFrame:
                .otherwise(ratio(disc, dbl(f"{tag}_gross"), 100.0))
         cols += [net.alias(f"{side}_Net_Sale"), disc.alias(f"{side}_Discount"),
                  pct.alias(f"{side}_Discount_Pct"), pivot_cm(net, disc).alias(f"{side}_CM")]
-    wide = g.select(*cols, is_total.alias("_is_total"))
+    wide = g.select(*cols)
     for m in ("Net_Sale", "Discount", "Discount_Pct", "CM"):
         wide = wide.withColumn(f"{m}_Delta", F.col(f"Latest_{m}") - F.col(f"Previous_{m}"))
-    return wide.orderBy("_is_total", dim).drop("_is_total")
+    # Row order is left to the presenter (Total last); a global sort of a
+    # few rows would cost an extra sampling job.
+    return wide
 
 
 def pivot_long(table: DataFrame, dim: str = "Channel") -> DataFrame:
