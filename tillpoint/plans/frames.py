@@ -110,3 +110,17 @@ def command_centre(df: DataFrame) -> DataFrame:
 def synced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The command-centre slice (two dates, sync cut), derived once per session."""
     return _session_frame(spark, sf_dir, "synced", lambda: command_centre(essential(spark, sf_dir)), persist=True)
+
+
+_MODELS: dict[tuple[str, str, str], tuple] = {}
+
+
+def fitted(spark: SparkSession, sf_dir: str, name: str, fit):
+    """A model result (fit once per session); ``fit()`` returns DataFrames."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    with _LOCK:
+        hit = _MODELS.get(key)
+        if hit is None:
+            hit = fit()
+            _MODELS[key] = hit
+    return hit

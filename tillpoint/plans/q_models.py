@@ -12,41 +12,41 @@ from tillpoint.plans.catalog import register
 @register("g06_sales_forecast", "G-06", note="model output")
 def g06_sales_forecast(spark, sf):
     """Next 30 days from linear regression and a 100-tree forest (seed 42)."""
-    preds, _ = models.forecast(frames.essential(spark, sf))
+    preds, _ = frames.fitted(spark, sf, "forecast", lambda: models.forecast(frames.essential(spark, sf)))
     return preds
 
 
 @register("g06_forecast_metrics", "G-06", note="model output")
 def g06_forecast_metrics(spark, sf):
-    _, metrics = models.forecast(frames.essential(spark, sf))
+    _, metrics = frames.fitted(spark, sf, "forecast", lambda: models.forecast(frames.essential(spark, sf)))
     return metrics
 
 
 @register("g10_churn_scores", ("G-10", "G-11"), note="model output")
 def g10_churn_scores(spark, sf):
-    scored, _ = models.churn_model(frames.essential(spark, sf))
+    scored, _ = frames.fitted(spark, sf, "churn", lambda: models.churn_model(frames.essential(spark, sf)))
     return scored.select("CustomerName", "recency", "is_churned", "churn_probability", "churn_risk")
 
 
 @register("g11_churn_risk_bands", "G-11", note="model output")
 def g11_churn_risk_bands(spark, sf):
-    scored, _ = models.churn_model(frames.essential(spark, sf))
+    scored, _ = frames.fitted(spark, sf, "churn", lambda: models.churn_model(frames.essential(spark, sf)))
     return scored.groupBy("churn_risk").agg(F.count(F.lit(1)).alias("customers"))
 
 
 @register("g12_churn_summary", "G-12", note="model output")
 def g12_churn_summary(spark, sf):
-    scored, _ = models.churn_model(frames.essential(spark, sf))
+    scored, _ = frames.fitted(spark, sf, "churn", lambda: models.churn_model(frames.essential(spark, sf)))
     return models.churn_summary(scored)
 
 
 @register("h08_high_risk_customers", "H-08", note="model output")
 def h08_high_risk_customers(spark, sf):
-    scored, _ = models.churn_model(frames.essential(spark, sf))
+    scored, _ = frames.fitted(spark, sf, "churn", lambda: models.churn_model(frames.essential(spark, sf)))
     return models.high_risk(scored)
 
 
 @register("h10_feature_importance", "H-10", note="model output")
 def h10_feature_importance(spark, sf):
-    _, imp = models.churn_model(frames.essential(spark, sf))
+    _, imp = frames.fitted(spark, sf, "churn", lambda: models.churn_model(frames.essential(spark, sf)))
     return imp
