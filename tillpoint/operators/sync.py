@@ -29,9 +29,23 @@ def latest_date(df: DataFrame) -> Column:
     return date_lit(fetch(df, d=F.max("Date"))["d"])
 
 
-def default_date_pair(df: DataFrame) -> tuple[Column, Column]:
-    """B-08: (latest − 1 day clamped to the first date, latest)."""
-    p = fetch(df, latest=F.max("Date"), first=F.min("Date"))
+def default_date_pair(df: DataFrame, table: DataFrame | None = None) -> tuple[Column, Column]:
+    """B-08: (latest − 1 day clamped to the first date, latest).
+
+    With ``table`` (the unfiltered month-partitioned table ``df`` derives
+    from), the first and last months come from partition values alone and
+    ``Date`` is read only inside those two months; if a bracket month holds
+    no qualifying row, the whole column is scanned instead."""
+    p = None
+    if table is not None and "Month" in table.columns and "Month" in df.columns:
+        m = fetch(table.select("Month"), lo=F.min("Month"), hi=F.max("Month"))
+        if m["hi"] is not None:
+            latest = fetch(df.where(F.col("Month") == m["hi"]), d=F.max("Date"))["d"]
+            first = fetch(df.where(F.col("Month") == m["lo"]), d=F.min("Date"))["d"]
+            if latest is not None and first is not None:
+                p = {"latest": latest, "first": first}
+    if p is None:
+        p = fetch(df, latest=F.max("Date"), first=F.min("Date"))
     latest = date_lit(p["latest"])
     return F.greatest(F.date_sub(latest, 1), date_lit(p["first"])), latest
 

@@ -103,7 +103,7 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 def command_centre(df: DataFrame) -> DataFrame:
     """B-05 → default date pair (B-08) → exactly those dates (B-07) → sync cut (G-02/G-03)."""
     d = sync.drop_fully_discounted(df)
-    prev, latest = sync.default_date_pair(d)
+    prev, latest = sync.default_date_pair(d, table=df)
     return sync.exact_sync(sync.on_dates(d, [prev, latest]))
 
 
