@@ -29,7 +29,12 @@ SELECT OrderID, UniqueOrderID, ReceivedAt, Channel, Brand, CustomerName, CAST(Gr
        CAST(Total AS DOUBLE) AS Total, Date
 FROM orders_c WHERE UniqueOrderID % 101 <> 7"""))
 def a06_clean_landing_export(spark, sf):
-    """Untyped export (human headers, text cells, bad cells) → cleaned canonical rows."""
+    """Untyped export (human headers, text cells, bad cells) → cleaned canonical rows.
+
+    The export is every order of the tables; the landing rule plants an
+    unparsable time on keys ≡ 7 (mod 101) and a non-numeric discount on keys
+    ≡ 5 (mod 103).  The twin's ``% 101 <> 7`` is the cleaning step itself
+    (rows without a valid time are dropped), not a sampling filter."""
     raw = landing.landing_export(frames.orders(spark, sf))
     clean = landing.clean_export(raw)
     return clean.select(*[F.col(c).cast("double").alias(c) if c in ("GrossPrice", "Discount", "Total")
