@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.functions.exprs import VAT_FACTOR, dbl, elapsed_days, equal_width_bin, fixed_bins
+from tillpoint.operators.metrics import calc_discount_sum, net_sale_sum
 from tillpoint.operators.params import fetch, lit, ts_lit
 from tillpoint.operators.ranking import global_rank
 
@@ -38,10 +39,6 @@ RFM_SEGMENTS = [
 OTHER_SEGMENT = "Others"
 
 
-def _net_sum() -> Column:
-    return dbl(F.sum("net_sale_vat")) / F.lit(VAT_FACTOR)
-
-
 def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     out = df
     for k in keys:
@@ -53,8 +50,8 @@ def customer_table(df: DataFrame, keys: Sequence[str] = ("CustomerName", "Teleph
     """D-03: spend, mean order, orders, discount, first/last order, lifetime days, segment."""
     keys = [k for k in keys if k in df.columns]
     g = _keyed(df, keys).groupBy(*keys).agg(
-        _net_sum().alias("Total_Spent"), F.count("net_sale_vat").alias("Order_Count"),
-        (dbl(F.sum("calc_discount_vat")) / F.lit(VAT_FACTOR)).alias("Total_Discount"),
+        net_sale_sum().alias("Total_Spent"), F.count("net_sale_vat").alias("Order_Count"),
+        calc_discount_sum().alias("Total_Discount"),
         F.min("ReceivedAt").alias("First_Order"), F.max("ReceivedAt").alias("Last_Order"))
     return (g.withColumn("Avg_Order_Value", F.col("Total_Spent") / dbl("Order_Count"))
              .withColumn("Customer_Lifetime_Days", elapsed_days("First_Order", "Last_Order"))
@@ -84,7 +81,7 @@ def clv(df: DataFrame, key: str = "CustomerName") -> DataFrame:
     frequency, CLV and three equal-width CLV segments.  The lifespan factors
     cancel, so CLV equals total revenue up to rounding."""
     g = _keyed(df, [key]).groupBy(key).agg(
-        _net_sum().alias("total_revenue"), F.count("net_sale_vat").alias("purchase_frequency"),
+        net_sale_sum().alias("total_revenue"), F.count("net_sale_vat").alias("purchase_frequency"),
         F.min("ReceivedAt").alias("first_purchase"), F.max("ReceivedAt").alias("last_purchase"))
     years = F.col("lifespan_days") / F.lit(365.0) + F.lit(1.0)
     t = (g.withColumn("avg_order_value", F.col("total_revenue") / dbl("purchase_frequency"))
@@ -126,7 +123,7 @@ def churn_features(df: DataFrame, key: str = "CustomerName", churn_days: int = C
     """G-09: spend, AOV, orders, recency to the latest order overall, lifetime, churned flag."""
     now = ts_lit(fetch(df, t=F.max("ReceivedAt"))["t"])
     g = _keyed(df, [key]).groupBy(key).agg(
-        _net_sum().alias("total_spent"), F.count("net_sale_vat").alias("purchase_count"),
+        net_sale_sum().alias("total_spent"), F.count("net_sale_vat").alias("purchase_count"),
         F.min("ReceivedAt").alias("first_purchase"), F.max("ReceivedAt").alias("last_purchase"))
     return (g.withColumn("avg_order_value", F.col("total_spent") / dbl("purchase_count"))
              .withColumn("recency", elapsed_days(F.col("last_purchase"), now))
@@ -153,7 +150,7 @@ def rfm(df: DataFrame, key: str = "CustomerName") -> DataFrame:
     now = ts_lit(fetch(df, t=F.max("ReceivedAt"))["t"])
     g = _keyed(df, [key]).groupBy(key).agg(
         elapsed_days(F.max("ReceivedAt"), now).alias("Recency"),
-        F.count(key).alias("Frequency"), _net_sum().alias("Monetary"))
+        F.count(key).alias("Frequency"), net_sale_sum().alias("Monetary"))
     ranked = global_rank(g, ["Frequency", key], "F_Rank")
     ranked = global_rank(ranked, ["Monetary", key], "M_Rank")
     p = fetch(ranked, rlo=F.min("Recency"), rhi=F.max("Recency"), n=F.count(F.lit(1)))
@@ -186,9 +183,9 @@ def tier_metrics(df: DataFrame, key: str = "CustomerName", tier: str = "Customer
     rep = per_cust.groupBy(tier).agg(F.count(F.lit(1)).alias("Total_Customers"),
                                      F.count_if(F.col("_n") > 1).alias("Repeat_Customers"))
     g = base.groupBy(tier).agg(
-        F.count("OrderID").alias("Total_Orders"), _net_sum().alias("Total_Spent"),
-        (_net_sum() / dbl(F.count("net_sale_vat"))).alias("Avg_Order_Value"),
-        (dbl(F.sum("calc_discount_vat")) / F.lit(VAT_FACTOR)).alias("Total_Discount"),
+        F.count("OrderID").alias("Total_Orders"), net_sale_sum().alias("Total_Spent"),
+        (net_sale_sum() / dbl(F.count("net_sale_vat"))).alias("Avg_Order_Value"),
+        calc_discount_sum().alias("Total_Discount"),
         (dbl(F.sum("calc_discount_vat")) / F.lit(VAT_FACTOR) / dbl(F.count("calc_discount_vat")))
         .alias("Avg_Discount"),
         F.avg("Profit_Margin").alias("Profit_Margin"))

@@ -1,8 +1,9 @@
 """Discount performance (D-04..D-21, D-34, G-16, H-06, H-07).
 
-One generic ``breakdown(df, dims)`` covers the per-brand / address / pair /
-channel / date / code tables; the range tables list every range, empty ones
-included, by joining to the fixed label table (a 5-row broadcast).
+Two generic grouped tables cover the per-brand / address / pair (``cm_breakdown``)
+and per channel / date / address / brand (``deep_dive``) views; the range
+tables list every range, empty ones included, by joining to the fixed label
+table (a 5-row broadcast).
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillpoint.functions.exprs import VAT_FACTOR, bin_ordinal, dbl, fixed_bins, ratio
+from tillpoint.functions.exprs import bin_ordinal, dbl, fixed_bins, ratio
+from tillpoint.operators.metrics import calc_discount_sum, net_sale_sum
 
 # Discount range edges and labels.
 RANGE_EDGES = [0, 10, 25, 50, 100, float("inf")]
@@ -22,14 +24,6 @@ GOOD_RATE_MAX, BAD_RATE_MIN = 35, 50
 PROFITABLE_AVG_CM, MARGINAL_AVG_CM = 5, 2
 
 
-def _net_sum() -> Column:
-    return dbl(F.sum("net_sale_vat")) / F.lit(VAT_FACTOR)
-
-
-def _cd_sum() -> Column:
-    return dbl(F.sum("calc_discount_vat")) / F.lit(VAT_FACTOR)
-
-
 def with_cm(df: DataFrame) -> DataFrame:
     """D-09: order CM = Profit_Margin if present, else Order_Profitability,
     else net − discount − delivery − VAT − surcharge (plan-time choice)."""
@@ -55,10 +49,10 @@ def cm_breakdown(df: DataFrame, dims: Sequence[str]) -> DataFrame:
         keyed = keyed.where(F.col(d).isNotNull())
     n = F.count("OrderID")
     return (keyed.groupBy(*dims)
-                 .agg(n.alias("Orders"), _cd_sum().alias("Total_Discount"),
-                      (_cd_sum() / dbl(F.count("calc_discount_vat"))).alias("Avg_Discount"),
+                 .agg(n.alias("Orders"), calc_discount_sum().alias("Total_Discount"),
+                      (calc_discount_sum() / dbl(F.count("calc_discount_vat"))).alias("Avg_Discount"),
                       F.sum("CM").alias("Total_CM"), F.avg("CM").alias("Avg_CM"),
-                      _net_sum().alias("Total_Net_Sale")))
+                      net_sale_sum().alias("Total_Net_Sale")))
 
 
 def range_labels(spark) -> DataFrame:
@@ -74,9 +68,9 @@ def range_table(disc: DataFrame) -> DataFrame:
     """D-07: per discount range (all five listed): net sum and mean, orders,
     mean discount, CM sum and mean — each rounded to an integer (NaN → 0)."""
     g = (disc.where(F.col("Discount_Range").isNotNull()).groupBy("Discount_Range")
-             .agg(_net_sum().alias("_net"), F.count("net_sale_vat").alias("_n_net"),
+             .agg(net_sale_sum().alias("_net"), F.count("net_sale_vat").alias("_n_net"),
                   F.count("OrderID").alias("_orders"),
-                  _cd_sum().alias("_cd"), F.count("calc_discount_vat").alias("_n_cd"),
+                  calc_discount_sum().alias("_cd"), F.count("calc_discount_vat").alias("_n_cd"),
                   F.sum("CM").alias("_cm"), F.avg("CM").alias("_avg_cm")))
     labels = F.broadcast(range_labels(disc.sparkSession))
     j = labels.join(g, "Discount_Range", "left")
@@ -92,7 +86,7 @@ def range_table(disc: DataFrame) -> DataFrame:
 
 def range_net_sale(disc: DataFrame) -> DataFrame:
     """D-08: net sale per discount range (every range; empty → 0)."""
-    g = disc.where(F.col("Discount_Range").isNotNull()).groupBy("Discount_Range").agg(_net_sum().alias("_net"))
+    g = disc.where(F.col("Discount_Range").isNotNull()).groupBy("Discount_Range").agg(net_sale_sum().alias("_net"))
     labels = F.broadcast(range_labels(disc.sparkSession))
     return labels.join(g, "Discount_Range", "left").select(
         "Discount_Range", "Range_Order", F.coalesce(F.col("_net"), F.lit(0.0)).alias("net_sale"))
@@ -128,9 +122,9 @@ def deep_dive(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     for d in dims:
         keyed = keyed.where(F.col(d).isNotNull())
     g = keyed.groupBy(*dims).agg(
-        _cd_sum().alias("Total_Discount"),
-        (_cd_sum() / dbl(F.count("calc_discount_vat"))).alias("Avg_Discount"),
-        F.count("OrderID").alias("Orders"), _net_sum().alias("Total_Sales"))
+        calc_discount_sum().alias("Total_Discount"),
+        (calc_discount_sum() / dbl(F.count("calc_discount_vat"))).alias("Avg_Discount"),
+        F.count("OrderID").alias("Orders"), net_sale_sum().alias("Total_Sales"))
     return g.withColumn("Discount_Rate_Pct", ratio("Total_Discount", "Total_Sales", 100.0))
 
 
@@ -142,8 +136,8 @@ def top_by_discount(t: DataFrame, dims: Sequence[str], n: int) -> DataFrame:
 def code_effectiveness(df: DataFrame) -> DataFrame:
     """D-16: uses, discount sum and mean per discount code."""
     g = df.where(F.col("DiscountCode").isNotNull()).groupBy("DiscountCode").agg(
-        F.count("OrderID").alias("Uses"), _cd_sum().alias("Total_Discount"),
-        (_cd_sum() / dbl(F.count("calc_discount_vat"))).alias("Avg_Discount"))
+        F.count("OrderID").alias("Uses"), calc_discount_sum().alias("Total_Discount"),
+        (calc_discount_sum() / dbl(F.count("calc_discount_vat"))).alias("Avg_Discount"))
     return g
 
 
@@ -154,8 +148,8 @@ def fine_ranges(df: DataFrame) -> DataFrame:
     d = df.withColumn("Discount_Range", fixed_bins("Calculated_Discount", RANGE_EDGES, RANGE_LABELS))
     rate = "Discount_Percentage" if "Discount_Percentage" in df.columns else "Calculated_Discount"
     g = d.where(F.col("Discount_Range").isNotNull()).groupBy("Discount_Range").agg(
-        F.count("OrderID").alias("_orders"), _cd_sum().alias("Total_Discount"),
-        (_cd_sum() / dbl(F.count("calc_discount_vat"))).alias("Avg_Discount"),
+        F.count("OrderID").alias("_orders"), calc_discount_sum().alias("Total_Discount"),
+        (calc_discount_sum() / dbl(F.count("calc_discount_vat"))).alias("Avg_Discount"),
         F.avg(rate).alias("Avg_Discount_Rate"))
     labels = F.broadcast(range_labels(df.sparkSession))
     return labels.join(g, "Discount_Range", "left").select(
@@ -167,9 +161,9 @@ def scorecard(df: DataFrame) -> DataFrame:
     """D-18: Location × Brand orders, discount, sales, rate = disc / (sales + disc), profit."""
     keyed = df.where(F.col("Location").isNotNull() & F.col("Brand").isNotNull())
     g = keyed.groupBy("Location", "Brand").agg(
-        F.count("OrderID").alias("Total_Orders"), _cd_sum().alias("Total_Discount"),
-        (_cd_sum() / dbl(F.count("calc_discount_vat"))).alias("Avg_Discount"),
-        _net_sum().alias("Total_Sales"), (_net_sum() / dbl(F.count("net_sale_vat"))).alias("Avg_Sale"))
+        F.count("OrderID").alias("Total_Orders"), calc_discount_sum().alias("Total_Discount"),
+        (calc_discount_sum() / dbl(F.count("calc_discount_vat"))).alias("Avg_Discount"),
+        net_sale_sum().alias("Total_Sales"), (net_sale_sum() / dbl(F.count("net_sale_vat"))).alias("Avg_Sale"))
     rate = F.when(F.col("Total_Sales") + F.col("Total_Discount") != 0,
                   F.col("Total_Discount") / (F.col("Total_Sales") + F.col("Total_Discount")) * 100)
     return (g.withColumn("Discount_Rate_Pct", rate)

@@ -24,37 +24,6 @@ def calc_discount_sum() -> Column:
     return dbl(F.sum("calc_discount_vat")) / F.lit(VAT_FACTOR)
 
 
-def money_sum(c: str) -> Column:
-    """Sum of a DECIMAL money column (0 for an empty group after coalesce)."""
-    return dbl(F.sum(c))
-
-
-def orders() -> Column:
-    return F.count(F.lit(1))
-
-
-def order_ids() -> Column:
-    """pandas ``count`` of OrderID skips nulls."""
-    return F.count("OrderID")
-
-
-def mean(total: Column, n: Column) -> Column:
-    return F.when(n > 0, total / n)
-
-
 def pivot_cm(net: Column, disc: Column) -> Column:
     """CM of a pivot cell: net − 20.6 % food cost − 24 % commission − discount."""
     return net - net * F.lit(FOOD_COST_SHARE) - net * F.lit(COMMISSION_SHARE) - disc
-
-
-# SQL twins (DuckDB) ---------------------------------------------------------
-SQL_NET = "CAST(SUM(net_sale_vat) AS DOUBLE) / 1.05"
-SQL_CD = "CAST(SUM(calc_discount_vat) AS DOUBLE) / 1.05"
-
-
-def sql_money(c: str) -> str:
-    return f"CAST(SUM({c}) AS DOUBLE)"
-
-
-def sql_cm(net: str, disc: str) -> str:
-    return f"({net} - {net} * {FOOD_COST_SHARE} - {net} * {COMMISSION_SHARE} - {disc})"
