@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from tillpoint.plans import frames
 from tillpoint.plans.catalog import register
+from tillpoint.operators.enrich import with_essential_columns
+from tillpoint.plans.sqlparts import BASE as BASE_E
 from tillpoint.plans.sqlparts import with_ctes
 from tillpoint.sources.canonical import ORDERS_SQL
 from tillpoint.streaming import stream as st
@@ -104,3 +106,21 @@ def t04_running_freshness(spark, sf):
     agg = st.freshness_stream(st.order_stream(spark, landing, schema, files_per_batch=2))
     st.run_to_table(agg, table, st.scratch(spark, "ckpt-fresh")).awaitTermination()
     return spark.read.parquet(table)
+
+
+@register("t02_hourly_net_sale", "T-02", with_ctes(*BASE_E, final="""
+SELECT date_trunc('hour', ReceivedAt) AS window_start, count(*) AS events,
+       CAST(SUM(net_sale_vat) AS DOUBLE) / 1.05 AS total
+FROM e GROUP BY 1"""))
+def t02_hourly_net_sale(spark, sf):
+    """Hourly net-sale totals on the order stream: the derived columns (with
+    the stream-static broadcast join to the code lookup) are applied in the
+    stream, and the exact VAT-inclusive base is summed per window."""
+    landing, schema = _staged_orders(spark, sf)
+    s = with_essential_columns(st.order_stream(spark, landing, schema, files_per_batch=2))
+    agg = st.rolling_totals(s, "ReceivedAt", "net_sale_vat", "1 hour", "1 day")
+    table = st.scratch(spark, "totals-orders-hourly")
+    st.run_to_table(agg, table, st.scratch(spark, "ckpt-orders-hourly")).awaitTermination()
+    r = spark.read.parquet(table)
+    return r.select(st.instant_to_ntz(F.col("w.start")).alias("window_start"), "events",
+                    (F.col("total").cast("double") / 1.05).alias("total"))
