@@ -81,8 +81,7 @@ WHERE ts IS NOT NULL GROUP BY 1""")
 def t02_hourly_event_totals(spark, sf):
     """Tumbling 1-hour windows with a 1-day watermark over the events table."""
     ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").select("ts", "value")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _window_query(spark, ev.repartitionByRange(n, "ts"), "ts", "value", "1 hour", "events-hourly")
+    return _window_query(spark, ev.repartitionByRange(8, "ts"), "ts", "value", "1 hour", "events-hourly")
 
 
 @register("t02_daily_order_totals", "T-02", with_ctes(*ORD, final="""
@@ -92,8 +91,7 @@ def t02_daily_order_totals(spark, sf):
     """Tumbling day windows of order gross over streamed order files."""
     o = frames.orders(spark, sf).select("ReceivedAt", F.col("GrossPrice").cast("double").alias("GrossPrice"),
                                         "Month")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = _window_query(spark, o.repartitionByRange(n, "Month").drop("Month"), "ReceivedAt", "GrossPrice",
+    r = _window_query(spark, o.repartitionByRange(8, "Month").drop("Month"), "ReceivedAt", "GrossPrice",
                       "1 day", "orders-daily")
     return r
 

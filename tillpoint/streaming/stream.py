@@ -63,22 +63,34 @@ def freshness_stream(stream: DataFrame, ts: str = "ReceivedAt") -> DataFrame:
     return stream.agg(F.max(ts).alias("latest_received"), F.count(F.lit(1)).alias("rows_seen"))
 
 
-def run_to_table(agg: DataFrame, table: str, checkpoint: str, available_now: bool = True):
+def run_to_table(agg: DataFrame, table: str, checkpoint: str, available_now: bool = True,
+                 state_partitions: int = 8):
     """Run an aggregation stream in complete mode; every micro-batch rewrites
     the current totals as a Parquet table in the shared folder (file sinks
-    take appends only, so the rewrite goes through ``foreachBatch``)."""
+    take appends only, so the rewrite goes through ``foreachBatch``).
+
+    The state holds one row per window, not per order, so it gets a small
+    fixed number of state partitions (recorded in the checkpoint at the first
+    run); the stream snapshots the session conf at start, so the session's
+    own setting is restored right away."""
     def rewrite(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(table)
     w = (agg.writeStream.outputMode("complete").foreachBatch(rewrite)
             .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")
-    return w.start()
-
-
-def stage_landing(df: DataFrame, landing: str, by: str = "Month") -> None:
-    """Write source rows as several landing files (one group per ``by`` value)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, by).write.mode("overwrite").parquet(landing)
+    spark = agg.sparkSession
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        return w.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+
+
+def stage_landing(df: DataFrame, landing: str, by: str = "Month", files: int = 8) -> None:
+    """Write source rows as ``files`` landing files, each a contiguous range of
+    ``by`` (so a day never straddles two files)."""
+    df.repartitionByRange(files, by).write.mode("overwrite").parquet(landing)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
