@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import mixing, packing, quality
+from tillpoint.llm import fingerprint, html_text, line_dedup, mixing, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,53 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: Lines one edit apart share a half; of such pairs the lines are compared position by position.
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents
+), t AS (
+  SELECT doc_id, line, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS s FROM l
+), d AS (
+  SELECT s, min(struct_pack(d := doc_id, l := line)) AS first, length(s) AS n FROM t WHERE length(s) >= 8 AND doc_id IS NOT NULL GROUP BY s
+), k AS (
+  SELECT s, n, first, m, half FROM (
+    SELECT s, n, first, n + more AS m, unnest([substr(s, 1, (n + more) // 2), substr(s, n - (n + more - (n + more) // 2) + 1)]) AS half
+    FROM d, (SELECT unnest([0, 1]) AS more))
+), p AS (
+  SELECT DISTINCT b.s AS s, a.s AS kept, b.n AS n, a.n AS kept_n
+  FROM k a JOIN k b ON a.half = b.half AND a.m = b.m AND a.s <> b.s AND a.first < b.first AND abs(a.n - b.n) <= 1
+), near AS (
+  SELECT DISTINCT s FROM p WHERE CASE
+    WHEN n = kept_n THEN len(list_filter(range(1, n + 1), i -> substr(s, i, 1) <> substr(kept, i, 1))) = 1
+    WHEN n > kept_n THEN len(list_filter(range(0, n), i -> substr(s, 1, i) || substr(s, i + 2) = kept)) > 0
+    ELSE len(list_filter(range(0, kept_n), i -> substr(kept, 1, i) || substr(kept, i + 2) = s)) > 0 END
+), gone AS (
+  SELECT t.doc_id, t.line FROM t JOIN d USING (s) LEFT JOIN near USING (s)
+  WHERE near.s IS NOT NULL OR d.first.d <> t.doc_id OR d.first.l <> t.line
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed,
+         coalesce(string_agg(CASE WHEN g.line IS NULL THEN l.raw END, chr(10) ORDER BY l.line), '') AS text
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -26,13 +73,23 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    text = html_text.extract(pages.select("page_id", "url", "html"), html_text.train(pages))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_fingerprint": op5_fingerprint,
+    "op6_pii": op6_pii,
     "op7_quality": op7_quality,
+    "op8_html_text": op8_html_text,
     "op9_mixing": op9_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
