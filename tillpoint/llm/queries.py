@@ -7,13 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import fingerprint, html_text, line_dedup, mixing, packing, pii, quality
+from tillpoint.llm import fingerprint, html_text, jaccard, line_dedup, mixing, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w
+), n AS (
+  SELECT doc_id, count(sh) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 75 * (a.n + b.n - common)
+), r AS (
+  SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.seen
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.seen) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
@@ -41,9 +64,9 @@ WITH l AS (
   FROM k a JOIN k b ON a.half = b.half AND a.m = b.m AND a.s <> b.s AND a.first < b.first AND abs(a.n - b.n) <= 1
 ), near AS (
   SELECT DISTINCT s FROM p WHERE CASE
-    WHEN n = kept_n THEN len(list_filter(range(1, n + 1), i -> substr(s, i, 1) <> substr(kept, i, 1))) = 1
-    WHEN n > kept_n THEN len(list_filter(range(0, n), i -> substr(s, 1, i) || substr(s, i + 2) = kept)) > 0
-    ELSE len(list_filter(range(0, kept_n), i -> substr(kept, 1, i) || substr(kept, i + 2) = s)) > 0 END
+    WHEN n = kept_n THEN len(list_filter(range(1, n + 1), lambda i: substr(s, i, 1) <> substr(kept, i, 1))) = 1
+    WHEN n > kept_n THEN len(list_filter(range(0, n), lambda i: substr(s, 1, i) || substr(s, i + 2) = kept)) > 0
+    ELSE len(list_filter(range(0, kept_n), lambda i: substr(kept, 1, i) || substr(kept, i + 2) = s)) > 0 END
 ), gone AS (
   SELECT t.doc_id, t.line FROM t JOIN d USING (s) LEFT JOIN near USING (s)
   WHERE near.s IS NOT NULL OR d.first.d <> t.doc_id OR d.first.l <> t.line
@@ -84,6 +107,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op5_fingerprint": op5_fingerprint,
@@ -92,4 +116,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_mixing": op9_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL}
