@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import fingerprint, html_text, jaccard, line_dedup, mixing, packing, pii, quality, substring_dedup
+from tillpoint.llm import fingerprint, html_text, jaccard, line_dedup, mixing, nn_descent, packing, pii, quality, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +131,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_packing": op2_packing,
@@ -141,5 +145,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_html_text": op8_html_text,
     "op9_mixing": op9_mixing,
+    "op10_nearest": op10_nearest,
 }
 ORACLE_SQL: dict[str, str] = {"op1_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_substring_dedup": OP4_SQL}
