@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import common, packing, quality
+from tillpoint.llm import common, jaccard, line_dedup, mixing, packing, quality
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,13 +19,33 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, machine, out="quality_score").filter("quality_score >= 0.3").drop("quality_score")
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2: lines that an earlier line equals or nearly equals go, and with them documents of which no word stays."""
+    out = line_dedup.dedup_lines(docs, n_lines="lines_had", n_removed="lines_lost")
+    out = out.filter((F.col("lines_lost") == 0) | F.col("text").rlike(common.WORD))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3: of each group of near duplicates the document with the smallest id stays."""
+    found = jaccard.near_duplicates(docs)
+    copies = common.store(found.filter("component_id <> doc_id").select("doc_id"), "near-duplicates")
+    return docs.join(common.size_checked(copies, 2_000_000), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 4: sources are mixed to their target weights; a document stands for the words that each pass takes of it."""
+    return mixing.mixed_documents(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 5: pack what is left; a row per piece."""
     pieces = packing.pack(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
 
 
-STAGES = [("quality", keep_quality), ("packing", pack_sequences)]
+STAGES = [("quality", keep_quality), ("line_dedup", drop_repeated_lines), ("near_duplicates", drop_near_duplicates),
+          ("mixing", mix_sources), ("packing", pack_sequences)]
 #: Hashes and a fitted model are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 

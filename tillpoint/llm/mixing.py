@@ -64,9 +64,18 @@ def _permuted(i, n, seed):
     return F.pmod(x * F.lit(PRIMES[1]) + F.pmod(F.xxhash64(seed, F.lit(2)), n), n)
 
 
+def source_key(source: str):
+    return F.when(F.col(source).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
+
+
+def row_key(doc_id: str, text: str, source: str, seed: int):
+    """A document's place in the pseudorandom order of its source."""
+    return F.xxhash64(F.col(doc_id).cast("long"), source_key(source), F.col(text).cast("string"), F.lit(seed))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0,
         block_words: int = 64, shards: int = 64, seed: int = 17, doc_id: str = "doc_id", text: str = "text",
-        source: str = "source", counted: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+        source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(laid, slots, parts)``.
 
     ``laid``: each document (``row_key``, ``doc_id``, ``source``, ``size``,
@@ -81,10 +90,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     apart by ``row_key``.  Other columns are ignored.  An empty table gives
     empty tables.
     """
-    key = F.when(F.col(source).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
-                       key.alias("source_key"), F.col(text).cast("string").alias("text"))
-    rows = rows.select("doc_id", "source", "source_key", F.xxhash64("doc_id", "source_key", "text", F.lit(seed)).alias("row_key"),
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), source_key(source).alias("source_key"),
+                       row_key(doc_id, text, source, seed).alias("row_key"), F.col(text).cast("string").alias("text"))
+    rows = rows.select("doc_id", "source", "source_key", "row_key",
                        F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"))
     # Equal rows would share a key; they follow one another in the stream.
     rows = store(rows.groupBy("doc_id", "source", "source_key", "row_key", "size").agg(F.count("*").alias("copies")), "sizes")
@@ -96,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     by_bucket = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("bucket_at", F.coalesce(F.sum("n").over(by_bucket), F.lit(0)))
     sizes = targets(sums.groupBy("source", "source_key").agg(F.sum("n").alias("source_size")).drop("source_key"), weights, share, most)
-    sizes = store(sizes.withColumn("source_key", F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), "source"))), "targets")
+    sizes = store(sizes.withColumn("source_key", source_key("source")), "targets")
 
     within = Window.partitionBy("source_key", "bucket").orderBy("row_key").rowsBetween(Window.unboundedPreceding, -1)
     laid = rows.withColumn("bucket_in", F.coalesce(F.sum(weight).over(within), F.lit(0)))
@@ -135,3 +143,24 @@ def mixed_sizes(docs: DataFrame, **params) -> DataFrame:
     taken = parts.groupBy("row_key", "copy").agg(F.sum("n_words").alias("taken"))
     out = laid.join(taken, ["row_key", "copy"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source")
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", seed: int = 17, **params) -> DataFrame:
+    """The mix as documents, with the columns of ``docs``: for each document and pass the words that the pass takes.
+
+    A pass that takes all of a document leaves its text as it is; else the
+    taken words are joined by one space.  A document that no pass takes is not
+    in the mix, one that both take is there twice.  ``n_chars``, where there is
+    such a column, follows the text.
+    """
+    _, _, parts = mix(docs, doc_id=doc_id, text=text, source=source, seed=seed, **params)
+    taken = parts.groupBy("row_key", "copy", "pass").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("taken"), F.sum("n_words").alias("total"))
+    taken = taken.select(F.col("row_key").alias("__key"), F.col("taken").alias("__taken"), F.col("total").alias("__total"))
+    rows = docs.withColumn("__key", row_key(doc_id, text, source, seed)).dropDuplicates(["__key"])
+    rows = rows.join(taken, "__key").withColumn("__words", F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
+    slices = F.transform("__taken", lambda t: F.slice("__words", t["from_word"].cast("int") + 1, t["n_words"].cast("int")))
+    cut = F.when(F.size("__words") == F.col("__total"), F.col(text)).otherwise(F.array_join(F.flatten(slices), " "))
+    out = rows.withColumn(text, cut)
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
+    return out.select(*docs.columns)
