@@ -25,7 +25,7 @@ from tillpoint.llm.common import WORD, store
 #: Primes that multiply a block number; below 2**31, so that products of numbers below 2**32 fit a long.
 PRIMES = (2147483647, 2147483629, 2147483587)
 #: Documents to a bucket, on average.
-BUCKET_DOCS = 2048
+BUCKET_DOCS = 512
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -130,7 +130,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
                          _permuted(F.col("slot"), F.col("blocks"), F.xxhash64("source_key", "pass", F.lit(seed))).alias("block"),
                          F.least(b, F.col("need") - F.col("slot") * b).alias("words"))
     spans = laid.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))))
-    parts = spans.select("source_key", "row_key", "copy", "at", "size", "block").join(slots, ["source_key", "block"])
+    # Slots are made from a small table, so Spark would take them for a small one themselves: both sides are large.
+    parts = spans.select("source_key", "row_key", "copy", "at", "size", "block").join(slots.hint("merge"), ["source_key", "block"])
     begin = F.greatest(F.col("at"), F.col("block") * b)
     end = F.least(F.col("at") + F.col("size"), F.col("block") * b + F.col("words"))
     parts = parts.filter(end > begin).select("row_key", "copy", "pass", "shard", "block", (begin - F.col("at")).alias("from_word"), (end - begin).alias("n_words"))
