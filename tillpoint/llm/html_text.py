@@ -105,8 +105,10 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
         name = m["name"].lower()
         if m["end"]:
             k = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[k][0] == name), None)
-            put("/" + name, "")
-            if k is not None:
+            if k is None:  # closes nothing
+                put(" ", " ")
+            else:
+                put("/" + name, "")
                 close(k)
             continue
         if name in ENDS and stack:
