@@ -81,9 +81,9 @@ def test_signatures_meet_for_every_linked_pair():
     r = np.random.default_rng(2)
     for _ in range(400):
         n = int(r.integers(1, 300))
-        x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
         out = r.random(len(x)) < r.random() * 0.3
-        y = np.unique(np.concatenate([x[~out], r.integers(0, 1 << 63, int(out.sum() * r.random()), dtype=np.uint64) * np.uint64(2)]))
+        y = np.unique(np.concatenate([x[~out], r.integers(0, 1 << 63, int(out.sum() * r.random()), dtype=np.uint64)]))
         both = len(np.intersect1d(x, y))
         if not both or 100 * both < 75 * (len(x) + len(y) - both):
             continue

@@ -160,13 +160,11 @@ def _choices(n: int, k: int) -> np.ndarray:
 
 
 def signatures(h: np.ndarray, klass: np.ndarray, threshold: int) -> np.ndarray:
-    """A set's signatures.  ``klass``: each shingle's class, 1 to 3; a shingle of the upper half of the hash range is in class 1 and last in order."""
+    """A set's signatures.  ``klass``: each shingle's class, 1 to 3."""
     n = len(h)
     if not n:
         return np.zeros(0, np.uint64)
-    upper = h >> np.uint64(63) != 0
-    klass = np.where(upper, 1, klass)
-    order = np.lexsort((h, np.where(upper, 9, klass)))
+    order = np.lexsort((h, klass))
     h, klass = h[order], klass[order]
     spare, band, out = int(_spare(np.int64(n), threshold)), n.bit_length() - 1, []
     for b in (band, band + 1):
@@ -255,7 +253,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 def linked_sets(sets: DataFrame, threshold: int, rounds: int = 3) -> DataFrame:
     """``(node, component)`` of every set that links with another."""
-    tokens = sets.select("fp", F.explode("hashes").alias("h")).filter("h >= 0")
+    tokens = sets.select("fp", F.explode("hashes").alias("h"))
     low, high = CLASS_BOUNDS
     often = tokens.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") > low)
     often = store(often.select("h", F.when(F.col("df") > high, 3).otherwise(2).alias("class")), "frequent-shingles")
