@@ -87,8 +87,9 @@ def _halves(line: Column) -> Column:
 def near_earlier(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """Lines (``lh``) of ``distinct(lh, doc, line)`` with an earlier one that is one edit away."""
     halves = lines.select("lh", F.explode(_halves(F.col("line_text"))).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("lh").alias("a"), F.max("lh").alias("b"), F.count("*").alias("n")).filter("a <> b").select("half")
-    near = store(halves.distinct().join(shared, "half").select("lh").distinct().join(distinct, "lh"), "near-lines")
+    shared = store(halves.groupBy("half").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).filter("a <> b").select("half"), "shared-halves")
+    near = halves.join(size_checked(shared, 1_000_000), "half", "left_semi").select("lh").distinct()
+    near = store(near.join(distinct, "lh"), "near-lines")
     texts = lines.select(F.col("lh").alias("h"), F.col("doc").alias("d"), F.col("line").alias("l"), "line_text")
     hit = (F.col("lh") == F.col("h")) & (F.col("doc") == F.col("d")) & (F.col("line") == F.col("l"))
     texts = texts.join(size_checked(near, 1_000_000), hit).select("lh", "doc", "line", "line_text")
