@@ -16,6 +16,7 @@ import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -54,6 +55,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(cpus, 8))))
     spark = build_session(f"local[{cpus}]", parts, app="tillpoint-bench")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tillpoint-bench-"))
     reg = load_all()
     times: dict[str, float] = {}
 

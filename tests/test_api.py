@@ -28,3 +28,25 @@ def test_api_on_star_schema(spark):
     sa = SalesAnalytics.from_star_schema(spark, SF)
     assert sa.daily().count() > 0
     assert sa.discount_ranges().count() == 5
+
+
+def test_stored_orders_are_reused_and_follow_the_source(spark, tmp_path):
+    """A later session finds the stored table; a changed source file is picked up after a refresh."""
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    from tillpoint.plans import frames
+    d = str(tmp_path / "tables")
+    shutil.copytree("/root/testdata/sf0.001", d)
+    first = frames.essential(spark, d)
+    n, path = first.count(), frames._TABLES[spark.sparkContext.applicationId, d, "orders_essential"][0]
+    frames.refresh(spark, d)  # as a new session: no handle, the same files
+    assert frames.essential(spark, d).count() == n
+    assert frames._TABLES[spark.sparkContext.applicationId, d, "orders_essential"][0] == path
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    latest = orders.agg(F.max("o_orderdate")).first()[0]
+    (tmp_path / "tables" / "orders.parquet").unlink()
+    orders.filter(F.col("o_orderdate") < F.lit(latest)).write.parquet(f"{d}/orders.parquet")
+    frames.refresh(spark, d)
+    assert 0 < frames.essential(spark, d).count() < n

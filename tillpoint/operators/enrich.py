@@ -145,8 +145,3 @@ def with_extended_columns(orders: DataFrame,
                       F.coalesce(F.col("Customer_Order_Count") > PREMIUM_MIN_ORDERS, F.lit(False))
                       if "Customer_Order_Count" in df.columns else F.lit(False)))
     return df
-
-
-def category_order(col: str, edges, include_lowest: bool = False) -> Column:
-    """Ordinal for sorting an ordered category column."""
-    return bin_ordinal(col, edges, include_lowest)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillpoint.functions.exprs import VAT_FACTOR, dbl
 from tillpoint.operators.params import date_lit, fetch
 from tillpoint.operators.ranking import exact_quantile
+from tillpoint.operators.sync import end_days, on_dates
 
 
 def _round_int(c: Column) -> Column:
@@ -57,8 +58,13 @@ def free_summary(df: DataFrame, dims: Sequence[str], metrics: Sequence[str],
                  top_n: int = 20, descending: bool = True) -> DataFrame:
     """D-22: sum of the chosen metrics per combination of 1–3 dimensions
     (mean for Profit_Margin; Orders is a count), sorted by the first metric,
-    top N.  Ties are broken by the dimensions."""
-    dims = list(dims)
+    top N.  Ties are broken by the dimensions.  Metrics and dimensions that the
+    frame lacks are not offered: they are left out, as the menu leaves them out."""
+    dims = [d for d in dims if d in df.columns]
+    base = {"net_sale": "net_sale_vat", "Calculated_Discount": "calc_discount_vat"}
+    metrics = [m for m in metrics if base.get(m, m) in df.columns]
+    if not dims or not metrics:
+        raise ValueError("choose at least one dimension and one metric that the orders have")
     keyed = df
     for d in dims:
         keyed = keyed.where(F.col(d).isNotNull())
@@ -83,15 +89,14 @@ def period_comparison(df: DataFrame, first_date=None, second_date=None) -> DataF
     """D-27 + G-17: summed metrics on two chosen dates (default: the two
     earliest dates), the difference second − first, and direction words."""
     if first_date is None or second_date is None:
-        days = [r[0] for r in df.select("Date").where(F.col("Date").isNotNull()).distinct()
-                .orderBy("Date").limit(2).collect()]
+        days = end_days(df, 2, latest=False)
         first_date, second_date = (days + [None, None])[:2]
     d1, d2 = date_lit(first_date), date_lit(second_date)
     day = F.col("Date")
 
     def on(d, c):
         return F.sum(F.when(day == d, c))
-    agg = df.where(day.isin(d1, d2)).agg(
+    agg = on_dates(df, [d1, d2]).agg(
         (dbl(on(d1, F.col("net_sale_vat"))) / F.lit(VAT_FACTOR)).alias("f_net"),
         (dbl(on(d2, F.col("net_sale_vat"))) / F.lit(VAT_FACTOR)).alias("s_net"),
         F.count(F.when(day == d1, F.col("OrderID"))).cast("double").alias("f_orders"),
@@ -152,7 +157,3 @@ def membership(df: DataFrame, channels: Sequence[str] = (), brands: Sequence[str
     if brands:
         out = out.where(F.col("Brand").isin(list(brands)))
     return out
-
-
-def latest_date_value(df: DataFrame):
-    return fetch(df, d=F.max("Date"))["d"]

@@ -15,7 +15,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.functions.exprs import ordinal_day
@@ -34,6 +34,13 @@ FORECAST_FEATURES = ["date_ordinal", "day_of_week", "month", "orders", "discount
 CHURN_FEATURES = ["total_spent", "avg_order_value", "purchase_count", "recency", "lifetime"]
 
 
+def hash_split(key: Column, share: float) -> Column:
+    """Whether a row trains: the first byte of its key's MD5 is below ``share`` of 256.
+
+    The split depends on the key alone, not on partitions or row order."""
+    return F.coalesce(F.substring(F.md5(key), 1, 2) < F.lit(f"{round(share * 256):02x}"), F.lit(False))
+
+
 def _daily_features(daily: DataFrame) -> DataFrame:
     return (daily.withColumn("date_ordinal", ordinal_day("Date").cast("double"))
                  .withColumn("day_of_week", F.weekday("Date").cast("double"))
@@ -55,7 +62,8 @@ def forecast(df: DataFrame, horizon: int = FORECAST_DAYS, trees: int = TREES, se
         empty_f = spark.createDataFrame([], "Date date, lr_prediction double, rf_prediction double")
         empty_m = spark.createDataFrame([], "model string, mae double, r2 double")
         return empty_f, empty_m
-    train, test = daily.randomSplit([0.8, 0.2], seed=seed)
+    daily = daily.withColumn("in_train", hash_split(F.col("Date").cast("string"), 0.8))
+    train, test = daily.where("in_train"), daily.where("not in_train")
     asm = VectorAssembler(inputCols=FORECAST_FEATURES, outputCol="features")
     lr = Pipeline(stages=[asm, LinearRegression(featuresCol="features", labelCol="net_sale",
                                                 predictionCol="lr_prediction")]).fit(train)
@@ -91,7 +99,7 @@ def churn_model(df: DataFrame, key: str = "CustomerName", trees: int = TREES, se
                 ) -> tuple[DataFrame, DataFrame]:
     """G-10: (scored customers, feature importances).
 
-    70/30 split stratified on the label (``sampleBy``), standard scaling and
+    70/30 split by a hash of the customer, standard scaling and
     a 100-tree random forest in one pipeline; every customer is scored."""
     spark = df.sparkSession
     feats = churn_features(df, key)
@@ -101,7 +109,7 @@ def churn_model(df: DataFrame, key: str = "CustomerName", trees: int = TREES, se
     if n < MIN_CHURN_CUSTOMERS:
         return (spark.createDataFrame([], f"{key} string, churn_probability double, churn_risk string"),
                 spark.createDataFrame([], "feature string, importance double"))
-    train = feats.sampleBy("is_churned", fractions={0: 0.7, 1: 0.7}, seed=seed)
+    train = feats.where(hash_split(F.col(key), 0.7))
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=CHURN_FEATURES, outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),

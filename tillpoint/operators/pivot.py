@@ -271,12 +271,14 @@ def general_pivot(df: DataFrame, rows: Sequence[str], cols: Sequence[str], value
                       for d in dims], "value")
 
 
-def group_summary(df: DataFrame, rows: Sequence[str], value: str, how: str = "sum") -> DataFrame:
-    """P-05: group-by without columns (values rounded to 2 in the dashboard)."""
+def group_summary(df: DataFrame, rows: Sequence[str], value: str, how: str = "sum", digits: int = 2) -> DataFrame:
+    """P-05: group-by without columns, values rounded to ``digits``."""
     rows = list(rows)
     keyed = df
     for d in rows:
         keyed = keyed.where(F.col(d).isNotNull())
     if how == "median":
-        return grouped_quantile(keyed, rows, value, 0.5, value)
-    return keyed.groupBy(*rows).agg(_agg_expr(value, how).alias(value))
+        out = grouped_quantile(keyed, rows, value, 0.5, value)
+    else:
+        out = keyed.groupBy(*rows).agg(_agg_expr(value, how).alias(value))
+    return out.select(*rows, F.round(value, digits).alias(value))

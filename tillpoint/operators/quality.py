@@ -17,7 +17,7 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """D-29 (numeric): count, mean, std, min, quartiles, max per column.
+    """D-29 (numeric): type, count, mean, std, min, quartiles, max per column.
 
     Quartiles are exact and distributed (``grouped_quantile`` over the
     unpivoted frame), so no column is gathered into one task."""
@@ -26,7 +26,8 @@ def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     qs = grouped_quantiles(long, ["column"], "value", [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")])
-    return base.join(qs, "column", "left")
+    types = F.create_map(*[F.lit(x) for c in cols for x in (c, df.schema[c].dataType.simpleString())])
+    return base.join(qs, "column", "left").withColumn("dtype", types[F.col("column")])
 
 
 def categorical_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:

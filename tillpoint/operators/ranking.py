@@ -14,7 +14,6 @@ count, not by the data.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,107 +56,66 @@ def global_rank(df: DataFrame, order_cols: Sequence[str | Column], name: str = "
             .drop("_rk_pid", "_rk_mid", "_rk_off"))
 
 
-def exact_quantile(df: DataFrame, value: str, p: float, name: str = "quantile",
-                   num_partitions: int | None = None, accuracy: int = 10000) -> DataFrame:
-    """One-row DataFrame with the exact linear-interpolated ``p`` quantile of
-    ``value`` (numpy/pandas default), without one task holding all values.
-
-    Exact selection: ``percentile_approx`` brackets the two target ranks, one
-    counting pass verifies the bracket, and only the rows inside it are
-    range-ranked (offset by the count below the bracket).  If the bracket
-    misses, the whole column is ranked instead.
-    """
-    vals = df.select(F.col(value).cast("double").alias("_q_v")).where(F.col("_q_v").isNotNull())
-    n = vals.agg(F.count(F.lit(1))).first()[0]
-    if not n:
-        return vals.sparkSession.createDataFrame([(None,)], f"{name} double")
-    pos = (n - 1) * float(p)
-    lo, hi = math.floor(pos), math.ceil(pos)            # 0-based target ranks
-    slack = 2.0 / accuracy
-    qs = [max(0.0, lo / max(n - 1, 1) - slack), min(1.0, hi / max(n - 1, 1) + slack)]
-    lo_v, hi_v = vals.agg(F.percentile_approx("_q_v", qs, accuracy)).first()[0]
-    c = vals.agg(F.count_if(F.col("_q_v") < lo_v).alias("below"),
-                 F.count_if(F.col("_q_v") <= hi_v).alias("upto")).first()
-    if c["below"] <= lo and c["upto"] >= hi + 1:
-        window = vals.where((F.col("_q_v") >= lo_v) & (F.col("_q_v") <= hi_v))
-        offset = c["below"]
-    else:
-        window, offset = vals, 0
-    ranked = global_rank(window, ["_q_v"], "_q_r", num_partitions)
-    r_lo, r_hi = lo + 1 - offset, hi + 1 - offset
-    picked = ranked.where((F.col("_q_r") == r_lo) | (F.col("_q_r") == r_hi))
-    agg = picked.agg(F.max(F.when(F.col("_q_r") == r_lo, F.col("_q_v"))).alias("_a"),
-                     F.max(F.when(F.col("_q_r") == r_hi, F.col("_q_v"))).alias("_b"))
-    return agg.select(lerp(F.col("_a"), F.col("_b"), F.lit(pos - lo)).alias(name))
-
-
 def lerp(a: Column, b: Column, t: Column) -> Column:
     """numpy's interpolation: a + (b - a) * t, or b - (b - a) * (1 - t) for t >= 0.5."""
     d = b - a
     return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
-def grouped_rank(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str | Column],
-                 name: str = "rank", num_partitions: int | None = None) -> DataFrame:
-    """``row_number() over (partition by keys order by order_cols)`` without
-    putting a whole group in one task.
-
-    Rows are range-partitioned on (keys, order), so a hot group spreads over
-    many partitions; a per-(partition, group) count table (at most one row per
-    group per partition) supplies each group's offset in earlier partitions.
-    Rows with a null key are dropped (pandas grouping drops them too).
-    """
-    n = _partitions(df, num_partitions)
-    keys = list(keys)
-    not_null = F.lit(True)
-    for k in keys:
-        not_null = not_null & F.col(k).isNotNull()
-    base = df.where(not_null)
-    sort_cols = [*keys, *order_cols]
-    ordered = base.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-    tagged = _stored(ordered
-                     .withColumn("_gr_pid", F.spark_partition_id())
-                     .withColumn("_gr_mid", F.monotonically_increasing_id()))
-    counts = (tagged.groupBy("_gr_pid", *keys)
-                    .agg(F.count(F.lit(1)).alias("_gr_n"), F.min("_gr_mid").alias("_gr_first")))
-    before = Window.partitionBy(*keys).orderBy("_gr_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_gr_pid", *keys, "_gr_first",
-                            F.coalesce(F.sum("_gr_n").over(before), F.lit(0)).alias("_gr_off"))
-    return (tagged.join(offsets, ["_gr_pid", *keys])
-            .withColumn(name, (F.col("_gr_off") + F.col("_gr_mid") - F.col("_gr_first") + 1).cast("long"))
-            .drop("_gr_pid", "_gr_mid", "_gr_first", "_gr_off"))
-
-
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[tuple[float, str]],
-                      num_partitions: int | None = None) -> DataFrame:
+                      accuracy: int = 10000) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per group of ``keys``
-    for several (p, output name) pairs from a single ranked pass."""
+    for several (p, output name) pairs (numpy/pandas default).
+
+    ``percentile_approx`` brackets each target rank per group.  One pass then
+    counts rows by (group, value): a value inside a bracket stays itself, one
+    between brackets joins the bracket edge below it.  A value that most rows
+    share is one row after the map-side count, and the cumulative counts run
+    over the few distinct values inside the brackets, so neither a hot value
+    nor a hot group fills a task.  Groups too small for the sketch's error
+    margin keep all their values.  Rows with a null key are dropped (pandas
+    grouping drops them too); nothing runs before the result is used.
+    """
     keys = list(keys)
     vals = df.select(*keys, F.col(value).cast("double").alias("_q_v")).where(F.col("_q_v").isNotNull())
+    for k in keys:
+        vals = vals.where(F.col(k).isNotNull())
+    groups = keys or ["_q_all"]
     if not keys:
         vals = vals.withColumn("_q_all", F.lit(0))
-        keys_ = ["_q_all"]
-    else:
-        keys_ = keys
-    ranked = grouped_rank(vals, keys_, ["_q_v"], "_q_r", num_partitions)
-    sizes = vals.groupBy(*keys_).agg(F.count(F.lit(1)).alias("_q_n"))
-    with_n = ranked.join(sizes, keys_)
-    wanted = F.lit(False)
+    slack = 4.0 / accuracy
+    edges = [e for p, _ in ps for e in (max(0.0, p - slack), min(1.0, p + slack))]
+    stats = vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("_q_n"),
+                                      F.percentile_approx("_q_v", edges, accuracy).alias("_q_e"))
+    v, small = F.col("_q_v"), F.col("_q_n") < 4 * accuracy
+    inside, below = small, F.lit(None).cast("double")
+    for i in range(len(ps)):
+        # An edge at either end of the ranks leaves that side open.
+        lo, hi = F.col("_q_e")[2 * i], F.col("_q_e")[2 * i + 1]
+        above = v >= lo if edges[2 * i] > 0 else F.lit(True)
+        inside = inside | (above & (v <= hi) if edges[2 * i + 1] < 1 else above)
+        below = F.greatest(below, F.when(hi < v, hi))
+    counted = (vals.join(stats, groups)
+               .select(*groups, "_q_n", F.when(inside, v).otherwise(below).alias("_q_v"), (~inside).alias("_q_gap"))
+               .groupBy(*groups, "_q_v", "_q_gap").agg(F.count(F.lit(1)).alias("_q_c"), F.max("_q_n").alias("_q_n")))
+    upto = Window.partitionBy(*groups).orderBy(F.col("_q_v").asc_nulls_first(), "_q_gap").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_q_upto", F.sum("_q_c").over(upto))
     aggs = []
-    for i, (p, name) in enumerate(ps):
+    for i, (p, _) in enumerate(ps):
         pos = (F.col("_q_n") - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(pos).cast("long") + 1, F.ceil(pos).cast("long") + 1
-        wanted = wanted | (F.col("_q_r") == lo) | (F.col("_q_r") == hi)
-        aggs += [F.max(F.when(F.col("_q_r") == lo, F.col("_q_v"))).alias(f"_a{i}"),
-                 F.max(F.when(F.col("_q_r") == hi, F.col("_q_v"))).alias(f"_b{i}"),
-                 F.max(pos - F.floor(pos)).alias(f"_t{i}")]
-    agg = with_n.where(wanted).groupBy(*keys_).agg(*aggs)
-    out = agg.select(*keys_, *[lerp(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_t{i}")).alias(name)
+        for rank, name in ((F.floor(pos) + 1, f"_a{i}"), (F.ceil(pos) + 1, f"_b{i}")):
+            aggs.append(F.min(F.when(~F.col("_q_gap") & (F.col("_q_upto") >= rank), F.col("_q_v"))).alias(name))
+        aggs.append(F.max(pos - F.floor(pos)).alias(f"_t{i}"))
+    out = ranked.groupBy(*groups).agg(*aggs)
+    return out.select(*keys, *[lerp(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_t{i}")).alias(name)
                                for i, (_, name) in enumerate(ps)])
-    return out.drop("_q_all") if not keys else out
 
 
-def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float,
-                     name: str = "quantile", num_partitions: int | None = None) -> DataFrame:
+def exact_quantile(df: DataFrame, value: str, p: float, name: str = "quantile", accuracy: int = 10000) -> DataFrame:
+    """One-row DataFrame with the exact linear-interpolated ``p`` quantile of ``value``; null without values."""
+    return grouped_quantiles(df, [], value, [(p, name)], accuracy).agg(F.max(name).alias(name))
+
+
+def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str = "quantile") -> DataFrame:
     """Exact linear-interpolated quantile of ``value`` per group of ``keys``."""
-    return grouped_quantiles(df, keys, value, [(p, name)], num_partitions)
+    return grouped_quantiles(df, keys, value, [(p, name)])

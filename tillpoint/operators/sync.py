@@ -25,8 +25,35 @@ def drop_fully_discounted(df: DataFrame) -> DataFrame:
     return df.where(F.coalesce(F.col("GrossPrice") != F.col("Discount"), F.lit(True)))
 
 
+def end_days(df: DataFrame, n: int = 2, latest: bool = True) -> list[dt.date]:
+    """The ``n`` latest dates, newest first, or the ``n`` earliest, oldest first.
+
+    On a month-partitioned table the months come from partition values alone,
+    and ``Date`` is read from the last (or first) month on, one more month at
+    a time until ``n`` dates are found."""
+    date, month = F.col("Date"), F.col("Month")
+
+    def first(part: DataFrame) -> list[dt.date]:
+        rows = part.select("Date").where(date.isNotNull()).distinct().orderBy(date.desc() if latest else date.asc()).limit(n)
+        return [r[0] for r in rows.collect()]
+    if "Month" not in df.columns:
+        return first(df)
+    end = F.max("Month") if latest else F.min("Month")
+    found: list[dt.date] = []
+    m = fetch(df.select("Month"), m=end)["m"]
+    while m is not None and len(found) < n:
+        found += first(df.where(month == F.lit(m)))
+        m = fetch(df.where(month < F.lit(m) if latest else month > F.lit(m)).select("Month"), m=end)["m"]
+    return found[:n]
+
+
+def latest_days(df: DataFrame, n: int = 2) -> list[dt.date]:
+    return end_days(df, n)
+
+
 def latest_date(df: DataFrame) -> Column:
-    return date_lit(fetch(df, d=F.max("Date"))["d"])
+    days = latest_days(df, 1)
+    return date_lit(days[0] if days else None)
 
 
 def default_date_pair(df: DataFrame, table: DataFrame | None = None) -> tuple[Column, Column]:
@@ -52,9 +79,10 @@ def default_date_pair(df: DataFrame, table: DataFrame | None = None) -> tuple[Co
 
 def last_two(df: DataFrame) -> dict:
     """Latest date, the latest date before it, and the last instant of the latest date."""
-    p = fetch(df, latest=F.max("Date"), n=F.countDistinct("Date"), max_ts=F.max("ReceivedAt"))
-    q = fetch(df.where(F.col("Date") < date_lit(p["latest"])), prev=F.max("Date"))
-    return {**p, **q}
+    days = latest_days(df)
+    latest, prev = (days + [None, None])[:2]
+    max_ts = fetch(on_dates(df, [date_lit(latest)]), t=F.max("ReceivedAt"))["t"] if latest else None
+    return {"latest": latest, "prev": prev, "max_ts": max_ts}
 
 
 def _month(d: Column) -> Column:
@@ -106,9 +134,9 @@ def exact_sync(df: DataFrame) -> DataFrame:
     Any other number of dates: each date up to its last order, floored to
     the minute.
     """
-    p = last_two(df)
     ts, day = F.col("ReceivedAt"), F.col("Date")
-    if p["n"] == 2:
+    if len(latest_days(df, 3)) == 2:
+        p = last_two(df)
         latest, prev, max_ts = p["latest"], p["prev"], p["max_ts"]
         cutoff = dt.datetime.combine(prev, max_ts.time())
         c = fetch(df.where((ts == ts_lit(max_ts)) | (ts == ts_lit(cutoff))),
@@ -142,7 +170,7 @@ def time_synced_comparison(df: DataFrame) -> DataFrame:
     day = F.col("Date")
     in_latest = day == latest
     in_prev = (day == prev) & (seconds_of_day("ReceivedAt") <= tod)
-    scoped = df.where(in_latest | in_prev).withColumn("_is_latest", in_latest)
+    scoped = on_dates(df, [latest, prev]).where(in_latest | in_prev).withColumn("_is_latest", in_latest)
     il = F.col("_is_latest")
     agg = scoped.agg(
         F.count_if(il).cast("double").alias("L_Orders"),
@@ -180,14 +208,15 @@ def same_day_projection(df: DataFrame) -> DataFrame:
     tod = seconds_of_day(ts_lit(p["max_ts"]))
     day = F.col("Date")
     v = F.col("net_sale_vat")
-    agg = df.where((day == latest) | (day == prev)).agg(
+    agg = on_dates(df, [latest, prev]).agg(
         F.coalesce(F.sum(F.when(day == prev, v)), F.lit(0)).alias("_prev_full"),
         F.coalesce(F.sum(F.when(day == latest, v)), F.lit(0)).alias("_today"),
         F.coalesce(F.sum(F.when((day == prev) & (seconds_of_day("ReceivedAt") <= tod), v)), F.lit(0))
         .alias("_prev_same"))
     prev_full = F.col("_prev_full").cast("double") / 1.05
     diff = (F.col("_today") - F.col("_prev_same")).cast("double") / 1.05
-    return agg.select(latest.alias("Latest_Date"), prev.alias("Previous_Date"),
+    # Below two dates there is nothing to project from.
+    return agg.where(F.lit(p["prev"] is not None)).select(latest.alias("Latest_Date"), prev.alias("Previous_Date"),
                       (prev_full + diff).alias("Prediction"),
                       prev_full.alias("Previous_Day_Net_Sale"), diff.alias("Net_Sale_Diff"))
 
@@ -241,4 +270,4 @@ def last_vs_previous_week(df: DataFrame) -> DataFrame:
 def month_to_date(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     """B-10: from the first of ``as_of``'s month through ``as_of`` (default: latest date)."""
     as_of = latest_date(df) if as_of is None else as_of
-    return df.where(F.col("Date").between(F.trunc(as_of, "month"), as_of))
+    return between_dates(df, F.trunc(as_of, "month"), as_of)

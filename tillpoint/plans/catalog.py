@@ -39,16 +39,12 @@ def register(name: str, ids: tuple[str, ...] | str, sql: str | None = None, note
 
 
 MODULES = ("q_pivot", "q_ingest", "q_metrics", "q_customers", "q_discounts",
-           "q_quality", "q_models", "q_stream", "q_scalars")
+           "q_models", "q_stream", "q_scalars")
 
 
 def load_all() -> dict[str, Query]:
     """Import the query modules (importing fills the registry)."""
     import importlib
     for m in MODULES:
-        try:
-            importlib.import_module(f"tillpoint.plans.{m}")
-        except ModuleNotFoundError as exc:
-            if exc.name != f"tillpoint.plans.{m}":
-                raise
+        importlib.import_module(f"tillpoint.plans.{m}")
     return REGISTRY

@@ -2,8 +2,8 @@
 
 The dashboard loads the order table once per session and derives its
 columns once; every tab then works on that frame.  Here the same happens on
-Spark: the canonical order table (and its derived columns) is written once per
-session as a Parquet table (partitioned by month, sorted by date) under the cluster's shared
+Spark: the canonical order table (and its derived columns) is written once for
+each state of its source files as a Parquet table (partitioned by month, sorted by date) under the cluster's shared
 checkpoint folder, then read back.  That write cuts the lineage (an executor
 loss re-reads files instead of re-running the joins), lets date filters prune
 partitions, and lets the scalar parameters (latest date, cut-off time) be
@@ -16,6 +16,7 @@ import hashlib
 import threading
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from tillpoint.operators.enrich import with_essential_columns, with_extended_col
 from tillpoint.session import shared_dir
 from tillpoint.sources.canonical import ORDER_COLUMNS, orders_view
 
+SOURCE_TABLES = ("orders", "lineitem", "customer", "part", "nation")
 _TABLES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 _LOCK = threading.RLock()
 
@@ -44,22 +46,55 @@ def write_by_month(df: DataFrame, path: str, mode: str = "overwrite") -> None:
        .write.mode(mode).partitionBy("Month").parquet(path))
 
 
+def source_signature(spark: SparkSession, sf_dir: str) -> str:
+    """A short text that changes with any file of the order tables (name, size or time); no file is read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                  .load([f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES])
+                  .select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h")))
+    row = files.agg(F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
+    return hashlib.sha1(f"{row['h']}_{row['n']}".encode()).hexdigest()[:12]
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path`` if its write ended."""
+    try:
+        spark.read.parquet(f"{path}-done")
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def materialize(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Write ``build()`` once per (session, input, name) partitioned by Date; read it back.
+    """Write ``build()`` partitioned by month in the shared folder, once for each state of the source files; read it back.
 
-    The DataFrame handle is kept, so the file listing is done once."""
+    The path names the source and its files' signature: a later session finds
+    the table and reads it, and after a change of any source file it is built
+    anew.  The DataFrame handle is kept, so the file listing is done once a
+    session; ``refresh`` looks at the files again."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     with _LOCK:
         hit = _TABLES.get(key)
         if hit is None:
             tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
-            path = shared_dir(spark, f"tables/{name}-{tag}")
-            write_by_month(build(), path)
-            hit = (path, spark.read.parquet(path))
+            path = f"{shared_dir(spark)}/tillpoint/tables/{name}-{tag}-{source_signature(spark, sf_dir)}"
+            df = _stored(spark, path)
+            if df is None:
+                write_by_month(build(), path)
+                spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
+                df = spark.read.parquet(path)
+            hit = (path, df)
             _TABLES[key] = hit
     return hit[1]
 
 
+def refresh(spark: SparkSession, sf_dir: str) -> None:
+    """Forget the session's handles on tables, frames and models derived from ``sf_dir``: the next query looks at the source files again."""
+    with _LOCK:
+        for kept in (_TABLES, _DERIVED, _MODELS):
+            for key in [k for k in kept if k[:2] == (spark.sparkContext.applicationId, sf_dir)]:
+                kept.pop(key)
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical order table (the ingested sales table): the canonical columns
     of the stored essential table, so the joins run once per session."""

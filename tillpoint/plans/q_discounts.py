@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions import discounts as dg
 from tillpoint.operators import discount_perf as dp
+from tillpoint.operators import kpis
 from tillpoint.plans import frames
 from tillpoint.plans.catalog import register
 from tillpoint.plans.sqlparts import BASE, with_ctes
@@ -175,7 +176,7 @@ def d19_scorecard_verdicts(spark, sf):
 @register("d34_largest_discount", "D-34", with_ctes(*BASE, final="""
 SELECT max(Calculated_Discount) AS max_discount FROM e"""))
 def d34_largest_discount(spark, sf):
-    return frames.essential(spark, sf).agg(F.max("Calculated_Discount").alias("max_discount"))
+    return kpis.largest_discount(frames.essential(spark, sf))
 
 
 @register("h06_deepest_discounts", "H-06", with_ctes(*BASE, final="""

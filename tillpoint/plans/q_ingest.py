@@ -7,27 +7,30 @@ from pyspark.sql import types as T
 
 from tillpoint.operators import discount_perf as dp
 from tillpoint.operators import quality
-from tillpoint.operators.params import fetch
+from tillpoint.operators import sync
 from tillpoint.plans import frames
 from tillpoint.plans.catalog import register
 from tillpoint.plans.sqlparts import BASE, quantile_sql, with_ctes
 from tillpoint.session import shared_dir
 from tillpoint.sources import landing, sink
-from tillpoint.sources.canonical import ORDERS_SQL
+from tillpoint.sources.canonical import ORDER_COLUMNS, ORDERS_SQL
 
 ORD = [ORDERS_SQL.strip()]
 KEPT = [*BASE, "k AS (SELECT * FROM e WHERE COALESCE(GrossPrice <> Discount, TRUE))"]
 NET = "CAST(SUM(net_sale_vat) AS DOUBLE) / 1.05"
 
-_CLEAN_COLS = ["OrderID", "UniqueOrderID", "ReceivedAt", "Channel", "Brand", "CustomerName",
-               "GrossPrice", "Discount", "Total", "Date"]
+_CLEAN_MONEY = [*landing.COERCED_NUMERIC, *landing.OTHER_MONEY]
+_CLEAN_COLS = [*landing.COLUMN_MAP.values(), "Date"]
 
 
-@register("a06_clean_landing_export", ("A-06", "A-07", "A-08", "A-11", "F-13"), with_ctes(*ORD, final="""
-SELECT OrderID, UniqueOrderID, ReceivedAt, Channel, Brand, CustomerName, CAST(GrossPrice AS DOUBLE) AS GrossPrice,
-       CAST(CASE WHEN UniqueOrderID % 103 = 5 THEN 0 ELSE Discount END AS DOUBLE) AS Discount,
-       CAST(Total AS DOUBLE) AS Total, Date
-FROM orders_c WHERE UniqueOrderID % 101 <> 7"""))
+def _clean_sql(c: str) -> str:
+    if c == "Discount":
+        return "CAST(CASE WHEN UniqueOrderID % 103 = 5 THEN 0 ELSE COALESCE(Discount, 0) END AS DOUBLE) AS Discount"
+    return f"CAST(COALESCE({c}, 0) AS DOUBLE) AS {c}" if c in _CLEAN_MONEY else c
+
+
+@register("a06_clean_landing_export", ("A-06", "A-07", "A-08", "A-11", "F-13"), with_ctes(*ORD, final=f"""
+SELECT {', '.join(map(_clean_sql, _CLEAN_COLS))} FROM orders_c WHERE UniqueOrderID % 101 <> 7"""))
 def a06_clean_landing_export(spark, sf):
     """Untyped export (human headers, text cells, bad cells) → cleaned canonical rows.
 
@@ -37,18 +40,19 @@ def a06_clean_landing_export(spark, sf):
     (rows without a valid time are dropped), not a sampling filter."""
     raw = landing.landing_export(frames.orders(spark, sf))
     clean = landing.clean_export(raw)
-    return clean.select(*[F.col(c).cast("double").alias(c) if c in ("GrossPrice", "Discount", "Total")
-                          else F.col(c) for c in _CLEAN_COLS])
+    return clean.select(*[F.col(c).cast("double").alias(c) if c in _CLEAN_MONEY else F.col(c) for c in _CLEAN_COLS])
+
 
+_LOAD_SQL = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in _CLEAN_MONEY else c for c in landing.LOAD_COLUMNS)
 
-@register("a01_range_load", ("A-01", "H-01"), with_ctes(*ORD, final="""
-SELECT OrderID, CustomerName, Telephone, ReceivedAt, CAST(GrossPrice AS DOUBLE) AS GrossPrice, Channel, Brand
+
+@register("a01_range_load", ("A-01", "H-01"), with_ctes(*ORD, final=f"""
+SELECT {_LOAD_SQL}
 FROM orders_c WHERE ReceivedAt >= TIMESTAMP '1998-01-01 00:00:00' AND ReceivedAt < TIMESTAMP '1998-04-01 00:00:00'"""))
 def a01_range_load(spark, sf):
     """A-01: 1998-01-01 through the whole of 1998-03-31, newest first."""
     r = landing.load_range(frames.orders(spark, sf), "1998-01-01", "1998-03-31")
-    return r.select("OrderID", "CustomerName", "Telephone", "ReceivedAt",
-                    F.col("GrossPrice").cast("double").alias("GrossPrice"), "Channel", "Brand")
+    return r.select(*[F.col(c).cast("double").alias(c) if c in _CLEAN_MONEY else F.col(c) for c in landing.LOAD_COLUMNS])
 
 
 @register("a02_present_day_load", ("A-02", "B-11"), with_ctes(*ORD, final="""
@@ -58,7 +62,7 @@ WHERE ReceivedAt >= CAST(date_trunc('month', (SELECT max(Date) FROM orders_c)) A
 def a02_present_day_load(spark, sf):
     """A-02 / B-11: month start → as-of day (the latest date) read in full."""
     o = frames.orders(spark, sf)
-    as_of = fetch(o, d=F.max("Date"))["d"]
+    as_of = sync.latest_days(o, 1)[0]
     r = landing.load_range(o, as_of.replace(day=1), as_of)
     return r.agg(F.count(F.lit(1)).alias("orders"), F.max("ReceivedAt").alias("latest"))
 
@@ -72,8 +76,7 @@ SELECT Date, count(*) AS orders, CAST(SUM(Tips) AS DOUBLE) AS tips FROM merged G
 def a09_replace_by_day(spark, sf):
     """A-09: a re-sent export of the latest three days replaces those days."""
     o = frames.orders(spark, sf)
-    latest = [r[0] for r in o.select("Date").distinct().orderBy(F.col("Date").desc()).limit(3).collect()]
-    batch = o.where(F.col("Date").isin(latest)).withColumn("Tips", (F.col("Tips") + 1).cast(T.DecimalType(18, 4)))
+    batch = sync.on_dates(o, [F.lit(d) for d in sync.latest_days(o, 3)]).withColumn("Tips", (F.col("Tips") + 1).cast(T.DecimalType(18, 4)))
     merged = sink.replace_by_day(o, batch)
     return merged.groupBy("Date").agg(F.count(F.lit(1)).alias("orders"),
                                       F.sum("Tips").cast("double").alias("tips"))
@@ -122,24 +125,28 @@ def f16_day_fingerprints(spark, sf):
     return quality.day_fingerprints(frames.orders(spark, sf))
 
 
-_NUM = ["GrossPrice", "Discount", "net_sale", "Calculated_Discount", "Profit_Margin"]
-_CAT = ["Channel", "Brand", "Location", "PaymentMethod", "DiscountCode"]
+#: The numeric columns of the order table with its derived ones, and their types.
+_NUM = {c: "decimal(18,4)" for c in _CLEAN_MONEY} | {
+    "UniqueOrderID": "bigint", "net_sale": "double", "Calculated_Discount": "double", "Profit_Margin": "double",
+    "Discount_Percentage": "double", "Hour": "int", "Minute": "int"}
+_CAT = [c for c in ORDER_COLUMNS if c not in _NUM and c not in ("ReceivedAt", "Date")] + ["Discount_Group", "DayOfWeek", "Order_Size_Category"]
 
 
 def _num_profile_sql() -> str:
     parts = " UNION ALL ".join(f"SELECT '{c}' AS column_, CAST({c} AS DOUBLE) AS v FROM e" for c in _NUM)
     qs = [quantile_sql("lg", ["column_"], "v", p, n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-    return with_ctes(*BASE, f"lg AS ({parts})", f"q1 AS ({qs[0]})", f"q2 AS ({qs[1]})", f"q3 AS ({qs[2]})",
+    types = ", ".join(f"('{c}', '{k}')" for c, k in _NUM.items())
+    return with_ctes(*BASE, f"lg AS ({parts})", f"t(column_, dtype) AS (VALUES {types})", f"q1 AS ({qs[0]})", f"q2 AS ({qs[1]})", f"q3 AS ({qs[2]})",
                      final="""
-SELECT b.column_ AS column, count, mean, std, min, max, p25, p50, p75
+SELECT b.column_ AS column, t.dtype, count, mean, std, min, max, p25, p50, p75
 FROM (SELECT column_, count(v) AS count, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, max(v) AS max
-      FROM lg WHERE v IS NOT NULL GROUP BY column_) b
-LEFT JOIN q1 USING (column_) LEFT JOIN q2 USING (column_) LEFT JOIN q3 USING (column_)""")
+      FROM lg WHERE v IS NOT NULL GROUP BY column_) b JOIN t ON t.column_ = b.column_
+LEFT JOIN q1 ON q1.column_ = b.column_ LEFT JOIN q2 ON q2.column_ = b.column_ LEFT JOIN q3 ON q3.column_ = b.column_""")
 
 
 @register("d29_numeric_profile", ("D-29",), _num_profile_sql())
 def d29_numeric_profile(spark, sf):
-    return quality.numeric_profile(frames.essential(spark, sf), _NUM)
+    return quality.numeric_profile(frames.essential(spark, sf), list(_NUM))
 
 
 def _cat_profile_sql() -> str:
@@ -155,21 +162,17 @@ def d29_categorical_profile(spark, sf):
     return quality.categorical_profile(frames.essential(spark, sf), _CAT)
 
 
-_MISS = ["Brand", "Channel", "Location", "CustomerName", "DiscountCode", "VATID", "PaymentMethod", "ReceivedAt"]
-
-
 @register("d30_missing_by_column", "D-30", with_ctes(*ORD, final=" UNION ALL ".join(
-    f"SELECT '{c}' AS column, CAST(count_if({c} IS NULL) AS BIGINT) AS missing FROM orders_c" for c in _MISS)))
+    f"SELECT '{c}' AS column, CAST(count_if({c} IS NULL) AS BIGINT) AS missing FROM orders_c" for c in ORDER_COLUMNS)))
 def d30_missing_by_column(spark, sf):
-    return quality.missing_by_column(frames.orders(spark, sf), _MISS)
-
+    return quality.missing_by_column(frames.orders(spark, sf), ORDER_COLUMNS)
 
-_DUP = ["Channel", "Brand", "Location", "PaymentMethod", "Date"]
 
-
-@register("d31_duplicate_rows", "D-31", with_ctes(*ORD, final=f"""
+@register("d31_duplicate_rows", "D-31", with_ctes(*ORD, """
+staged AS (SELECT * FROM orders_c UNION ALL SELECT * FROM orders_c WHERE UniqueOrderID % 50 = 0)""", final=f"""
 SELECT CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS duplicate_rows
-FROM (SELECT count(*) AS n FROM orders_c GROUP BY {', '.join(_DUP)})"""))
+FROM (SELECT count(*) AS n FROM staged GROUP BY {', '.join(ORDER_COLUMNS)})"""))
 def d31_duplicate_rows(spark, sf):
-    """D-31 over a projection with real repeats (whole rows are unique by order id)."""
-    return quality.duplicate_rows(frames.orders(spark, sf), _DUP)
+    """D-31 over whole rows.  Rows are unique by order id, so the staged input repeats those whose key ends a run of fifty."""
+    o = frames.orders(spark, sf)
+    return quality.duplicate_rows(o.unionByName(o.where(F.col("UniqueOrderID") % 50 == 0)), ORDER_COLUMNS)

@@ -1,12 +1,13 @@
-"""Model queries (G-06, G-10..G-12, H-08, H-10): rows-only checks, no SQL twin."""
+"""Model queries (G-06, G-10..G-12, H-08, H-10): the splits have SQL twins, model outputs are rows-only."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillpoint.operators import models
+from tillpoint.operators import models, sync
 from tillpoint.plans import frames
 from tillpoint.plans.catalog import register
+from tillpoint.plans.sqlparts import BASE, with_ctes
 
 
 @register("g06_sales_forecast", "G-06", note="model output")
@@ -22,6 +23,22 @@ def g06_forecast_metrics(spark, sf):
     return metrics
 
 
+@register("g06_split_days", "G-06", with_ctes(*BASE, final="""
+SELECT Date, substr(md5(CAST(Date AS VARCHAR)), 1, 2) < 'cd' AS in_train FROM e WHERE Date IS NOT NULL GROUP BY Date"""))
+def g06_split_days(spark, sf):
+    """The days that the forecast trains on."""
+    daily = sync.daily_series(frames.essential(spark, sf))
+    return daily.select("Date", models.hash_split(F.col("Date").cast("string"), 0.8).alias("in_train"))
+
+
+@register("g10_split_customers", "G-10", with_ctes(*BASE, final="""
+SELECT CustomerName, substr(md5(CustomerName), 1, 2) < 'b3' AS in_train FROM e WHERE CustomerName IS NOT NULL GROUP BY CustomerName"""))
+def g10_split_customers(spark, sf):
+    """The customers that the churn model trains on."""
+    names = frames.essential(spark, sf).where(F.col("CustomerName").isNotNull()).select("CustomerName").distinct()
+    return names.select("CustomerName", models.hash_split(F.col("CustomerName"), 0.7).alias("in_train"))
+
+
 @register("g10_churn_scores", ("G-10", "G-11"), note="model output")
 def g10_churn_scores(spark, sf):
     scored, _ = frames.fitted(spark, sf, "churn", lambda: models.churn_model(frames.essential(spark, sf)))

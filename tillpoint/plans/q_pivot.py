@@ -116,13 +116,13 @@ def p04_pivot_hour_by_weekday(spark, sf):
 
 
 @register("p05_group_summary", "P-05", with_ctes(*KEPT, final="""
-SELECT Brand, AVG(CAST(net_sale AS DOUBLE)) AS net_sale FROM k WHERE Brand IS NOT NULL GROUP BY Brand"""))
+SELECT Brand, round(AVG(CAST(net_sale AS DOUBLE)), 2) AS net_sale FROM k WHERE Brand IS NOT NULL GROUP BY Brand"""))
 def p05_group_summary(spark, sf):
     return pivot.group_summary(frames.kept(spark, sf), ["Brand"], "net_sale", "mean")
 
 
-@register("p05_group_summary_median", "P-05", with_ctes(*KEPT, final=quantile_sql(
-    "k", ["Location"], "net_sale", 0.5, "net_sale")))
+@register("p05_group_summary_median", "P-05", with_ctes(*KEPT, "q AS (" + quantile_sql(
+    "k", ["Location"], "net_sale", 0.5, "net_sale") + ")", final="SELECT Location, round(net_sale, 2) AS net_sale FROM q"))
 def p05_group_summary_median(spark, sf):
     return pivot.group_summary(frames.kept(spark, sf), ["Location"], "net_sale", "median")
 

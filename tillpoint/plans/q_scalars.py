@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillpoint.functions.exprs import (floor_minute, format_local, histogram_bucket, ordinal_day,
+from tillpoint.functions.exprs import (time_range_text, floor_minute, format_local, histogram_bucket, ordinal_day,
                                        seconds_of_day, to_local)
 from tillpoint.operators.params import fetch, lit
 from tillpoint.plans import frames
@@ -45,7 +45,9 @@ SELECT OrderID, Date, CAST(hour(ReceivedAt) AS INTEGER) AS hour, CAST(minute(Rec
        CAST(hour(ReceivedAt) * 3600 + minute(ReceivedAt) * 60 + second(ReceivedAt) AS DOUBLE) AS seconds_of_day,
        date_trunc('minute', ReceivedAt) AS minute_start,
        ReceivedAt + INTERVAL 4 HOUR AS local_time,
-       strftime(ReceivedAt, '%Y-%m-%d %H:%M:%S') AS local_text
+       strftime(ReceivedAt, '%Y-%m-%d %H:%M:%S') AS local_text,
+       strftime(date_trunc('minute', ReceivedAt), '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(ReceivedAt, '%Y-%m-%d %H:%M:%S')
+         || ' (UAE Local Time)' AS range_text
 FROM e"""))
 def f07_calendar_parts(spark, sf):
     """F-07 date parts (weekday Monday = 0, Python ordinal), F-09 seconds of
@@ -57,7 +59,8 @@ def f07_calendar_parts(spark, sf):
                     F.month(ts).alias("month"), ordinal_day("Date").alias("ordinal"),
                     seconds_of_day(ts).alias("seconds_of_day"), floor_minute(ts).alias("minute_start"),
                     to_local(ts, "+04:00", "+00:00").alias("local_time"),
-                    format_local(ts).alias("local_text"))
+                    format_local(ts).alias("local_text"),
+                    time_range_text(floor_minute(ts), ts).alias("range_text"))
 
 
 def _hist_sql(n: int) -> str:

@@ -9,19 +9,25 @@ from pyspark.sql import types as T
 
 from tillpoint.plans import frames
 from tillpoint.plans.catalog import register
+from tillpoint.operators import sync
 from tillpoint.operators.enrich import with_essential_columns
 from tillpoint.plans.sqlparts import BASE as BASE_E
 from tillpoint.plans.sqlparts import with_ctes
+from tillpoint.sources import sink
 from tillpoint.sources.canonical import ORDERS_SQL
 from tillpoint.streaming import stream as st
 
 ORD = [ORDERS_SQL.strip()]
+#: The staged files hold the whole history in no order of time, and availability-now runs read them in any order.
+WATERMARK = "36500 days"
 
 
-def _staged_orders(spark, sf):
+def _staged_orders(spark, sf, *columns):
+    """The orders as one delivery whose files cut across days."""
     o = frames.orders(spark, sf)
+    o = o.select(*columns) if columns else o
     landing = st.scratch(spark, "landing-orders")
-    st.stage_landing(o, landing, "Month")
+    st.stage_landing(o, landing, files=13)
     return landing, o.schema
 
 
@@ -39,7 +45,7 @@ SELECT Date, count(*) AS orders, CAST(SUM(GrossPrice) AS DOUBLE) AS gross FROM o
 def t01_incremental_load(spark, sf):
     """Order files streamed in micro-batches into the day-partitioned table."""
     table, _ = _load(spark, sf)
-    t = spark.read.parquet(table)
+    t = sink.read_deliveries(spark, table)
     return t.groupBy("Date").agg(F.count(F.lit(1)).alias("orders"), F.sum("GrossPrice").cast("double").alias("gross"))
 
 
@@ -50,28 +56,28 @@ merged AS (SELECT * FROM orders_c WHERE Date NOT IN (SELECT Date FROM bd) UNION
                                                                 final="""
 SELECT Date, count(*) AS orders, CAST(SUM(Tips) AS DOUBLE) AS tips FROM merged GROUP BY Date"""))
 def t03_resent_days_replace(spark, sf):
-    """After the incremental load, a re-sent file for the latest three days
-    arrives late; its micro-batch replaces exactly those days."""
+    """After the incremental load, a re-sent delivery of the latest three days
+    arrives late, a file a batch; it replaces exactly those days."""
     table, schema = _load(spark, sf)
     o = frames.orders(spark, sf)
-    latest = [r[0] for r in o.select("Date").distinct().orderBy(F.col("Date").desc()).limit(3).collect()]
-    resent = o.where(F.col("Date").isin(latest)).withColumn("Tips", (F.col("Tips") + 1).cast(T.DecimalType(18, 4)))
+    resent = sync.on_dates(o, [F.lit(d) for d in sync.latest_days(o, 3)])
+    resent = resent.withColumn("Tips", (F.col("Tips") + 1).cast(T.DecimalType(18, 4)))
     landing2 = st.scratch(spark, "landing-resent")
-    resent.write.mode("overwrite").parquet(landing2)
-    q = st.load_incrementally(st.order_stream(spark, landing2, schema), table, st.scratch(spark, "ckpt-resent"))
+    st.stage_landing(resent, landing2, "0002", files=4)
+    q = st.load_incrementally(st.order_stream(spark, landing2, schema, files_per_batch=1), table, st.scratch(spark, "ckpt-resent"))
     q.awaitTermination()
-    t = spark.read.parquet(table)
+    t = sink.read_deliveries(spark, table)
     return t.groupBy("Date").agg(F.count(F.lit(1)).alias("orders"), F.sum("Tips").cast("double").alias("tips"))
 
 
 def _window_query(spark, src_df, ts, value, width, name):
     landing = st.scratch(spark, f"landing-{name}")
-    src_df.write.mode("overwrite").parquet(landing)
+    st.stage_landing(src_df, landing)
     s = st.order_stream(spark, landing, src_df.schema, files_per_batch=2)
-    agg = st.rolling_totals(s, ts, value, width, "1 day")
+    agg = st.rolling_totals(s, ts, value, width, WATERMARK)
     table = st.scratch(spark, f"totals-{name}")
     st.run_to_table(agg, table, st.scratch(spark, f"ckpt-{name}")).awaitTermination()
-    r = spark.read.parquet(table)
+    r = st.read_totals(spark, table, ["w"])
     return r.select(st.instant_to_ntz(F.col("w.start")).alias("window_start"), "events", "total")
 
 
@@ -99,11 +105,11 @@ def t02_daily_order_totals(spark, sf):
 @register("t04_running_freshness", ("T-04", "A-03"), with_ctes(*ORD, final="""
 SELECT max(ReceivedAt) AS latest_received, count(*) AS rows_seen FROM orders_c"""))
 def t04_running_freshness(spark, sf):
-    landing, schema = _staged_orders(spark, sf)
+    landing, schema = _staged_orders(spark, sf, "ReceivedAt")
     table = st.scratch(spark, "freshness")
     agg = st.freshness_stream(st.order_stream(spark, landing, schema, files_per_batch=2))
     st.run_to_table(agg, table, st.scratch(spark, "ckpt-fresh")).awaitTermination()
-    return spark.read.parquet(table)
+    return st.read_totals(spark, table, []).select("latest_received", "rows_seen")
 
 
 @register("t02_hourly_net_sale", "T-02", with_ctes(*BASE_E, final="""
@@ -116,9 +122,9 @@ def t02_hourly_net_sale(spark, sf):
     stream, and the exact VAT-inclusive base is summed per window."""
     landing, schema = _staged_orders(spark, sf)
     s = with_essential_columns(st.order_stream(spark, landing, schema, files_per_batch=2))
-    agg = st.rolling_totals(s, "ReceivedAt", "net_sale_vat", "1 hour", "1 day")
+    agg = st.rolling_totals(s, "ReceivedAt", "net_sale_vat", "1 hour", WATERMARK)
     table = st.scratch(spark, "totals-orders-hourly")
     st.run_to_table(agg, table, st.scratch(spark, "ckpt-orders-hourly")).awaitTermination()
-    r = spark.read.parquet(table)
+    r = st.read_totals(spark, table, ["w"])
     return r.select(st.instant_to_ntz(F.col("w.start")).alias("window_start"), "events",
                     (F.col("total").cast("double") / 1.05).alias("total"))

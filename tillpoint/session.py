@@ -8,7 +8,6 @@ tests, the bench and the driver entry point.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -49,15 +48,13 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession, sub: str = "") -> str:
     """A folder every executor can see: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) do we pick one under the
-    system temp folder and register it as the checkpoint dir.
+    The library never picks a folder itself: one on the driver's disk would
+    be lost on other machines.  Sessions without the setting (tests, the
+    bench, the entry point) set a checkpoint folder first.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tillpoint-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = base.rstrip("/")
     if sub:
         return f"{base}/tillpoint/{sub}-{uuid.uuid4().hex[:12]}"
@@ -65,10 +62,9 @@ def shared_dir(spark: SparkSession, sub: str = "") -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint()`` usable: reuse the configured dir."""
+    """Make ``DataFrame.checkpoint()`` usable: reuse the configured folder."""
     d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    base = shared_dir(spark)
-    spark.sparkContext.setCheckpointDir(base)
-    return base
+    if not d:
+        d = shared_dir(spark)
+        spark.sparkContext.setCheckpointDir(d)
+    return d

@@ -136,8 +136,10 @@ def load_range(orders: DataFrame, start: dt.date | str, end: dt.date | str,
     s = F.lit(str(start)).cast("date").cast("timestamp_ntz")
     e = F.date_add(F.lit(str(end)).cast("date"), 1).cast("timestamp_ntz")
     cols = [c for c in (columns or LOAD_COLUMNS) if c in orders.columns]
-    return (orders.where((F.col("ReceivedAt") >= s) & (F.col("ReceivedAt") < e))
-                  .select(*cols).orderBy(F.col("ReceivedAt").desc(), F.col("OrderID")))
+    rows = orders.where((F.col("ReceivedAt") >= s) & (F.col("ReceivedAt") < e))
+    if "Month" in orders.columns:  # partition pruning on a stored table
+        rows = rows.where(F.col("Month").between(str(start)[:7], str(end)[:7]))
+    return (rows.select(*cols).orderBy(F.col("ReceivedAt").desc(), F.col("OrderID")))
 
 
 def as_text(df: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ def replace_by_day(existing: DataFrame, batch: DataFrame) -> DataFrame:
 def write_replace_by_day(batch: DataFrame, path: str) -> None:
     """A-09 / T-03 as a sink: dynamic partition overwrite of the batch's days.
 
-    Only the ``Date`` partitions present in the batch are replaced; the
-    commit swaps them in, so there is no window with the day deleted but
-    not yet re-appended.  The batch must hold whole days (an export does)."""
+    Only the ``Date`` partitions present in the batch are replaced.  The batch
+    must hold whole days (an export does).  Plain Parquet commits file by
+    file: a reader during the write may see a day between its two states.
+    ``write_delivery`` leaves earlier deliveries' files alone instead."""
     spark = batch.sparkSession
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
@@ -32,6 +33,33 @@ def write_replace_by_day(batch: DataFrame, path: str) -> None:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
 
+def write_delivery(batch: DataFrame, path: str) -> None:
+    """T-01 / T-03 as a sink: ``Date=/delivery_id=/delivery_file=`` partitions, one for each landing file and day.
+
+    ``batch`` carries the columns ``delivery_id`` (in order of arrival) and
+    ``delivery_file`` (of the landing file).  A file that is processed again overwrites
+    its own partitions alone, so replays change nothing, and a delivery's
+    files may come in any number of batches."""
+    spark = batch.sparkSession
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        (batch.where(F.col("Date").isNotNull()).sortWithinPartitions("Date")
+              .write.mode("overwrite").partitionBy("Date", "delivery_id", "delivery_file").parquet(path))
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+
+
+def read_deliveries(spark, path: str) -> DataFrame:
+    """The table that ``write_delivery`` keeps: of each day the rows of its latest delivery.
+
+    Which delivery holds a day is read from partition values; the table of
+    days has a row a calendar day, so it is broadcast."""
+    table = spark.read.parquet(path)
+    latest = table.groupBy("Date").agg(F.max("delivery_id").alias("delivery_id"))
+    return table.join(F.broadcast(latest), ["Date", "delivery_id"]).drop("delivery_id", "delivery_file")
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """A-10: header CSV files of a result table."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -2,9 +2,9 @@
 
 The dashboard polls the table's latest timestamp and reloads; here arriving
 order files are read as a stream (``Trigger.AvailableNow`` for catch-up
-runs, a processing-time trigger in production), each micro-batch replaces
-the days it carries in the day-partitioned table, and rolling totals and
-the freshness maximum are streaming aggregations.
+runs, a processing-time trigger in production), each delivery replaces the
+days it carries in the day-partitioned table, and rolling totals and the
+freshness maximum are streaming aggregations.
 
 Watermarks need TIMESTAMP (not NTZ) event time.  Wall-clock NTZ values are
 mapped to an instant as if they were UTC — zone-free, by epoch arithmetic —
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tillpoint.session import shared_dir
-from tillpoint.sources.sink import write_replace_by_day
+from tillpoint.sources.sink import write_delivery
+
 
 def _epoch() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -35,18 +36,27 @@ def instant_to_ntz(c: str | Column) -> Column:
 
 
 def order_stream(spark: SparkSession, landing: str, schema: StructType, files_per_batch: int = 16) -> DataFrame:
-    """T-01: arriving Parquet order files as a stream (fixed schema, no inference)."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-                 .parquet(landing))
+    """T-01: arriving Parquet order files as a stream (fixed schema, no inference).
+
+    A delivery is a folder ``delivery-<id>`` of any number of files, ids in
+    order of arrival; the columns ``delivery_id`` and ``delivery_file`` name each row's.
+    ``files_per_batch`` only paces the stream: no result depends on it."""
+    rows = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+                 .option("recursiveFileLookup", "true").parquet(landing))
+    path = F.col("_metadata.file_path")
+    return rows.select(*schema.fieldNames(), F.regexp_extract(path, "/delivery-([^/]+)/", 1).alias("delivery_id"),
+                       F.substring(F.sha2(path, 256), 1, 16).alias("delivery_file"))
 
 
 def load_incrementally(stream: DataFrame, table: str, checkpoint: str, available_now: bool = True):
-    """T-01 + T-03: each micro-batch replaces its days in the table (dynamic
-    partition overwrite by Date); the checkpoint makes the load restartable
-    and exactly-once per file."""
-    def upsert(batch: DataFrame, _epoch: int) -> None:
-        write_replace_by_day(batch, table)
-    w = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    """T-01 + T-03: each micro-batch adds its files to their delivery; of a
+    day the latest delivery counts (``read_deliveries``).  A day may come in
+    any number of files and batches, and a re-sent day replaces the earlier
+    one as soon as its first file is there.  The checkpoint makes the load
+    restartable; a file that is replayed replaces itself."""
+    def add(batch: DataFrame, _epoch: int) -> None:
+        write_delivery(batch, table)
+    w = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")
     return w.start()
 
@@ -65,17 +75,20 @@ def freshness_stream(stream: DataFrame, ts: str = "ReceivedAt") -> DataFrame:
 
 def run_to_table(agg: DataFrame, table: str, checkpoint: str, available_now: bool = True,
                  state_partitions: int = 8):
-    """Run an aggregation stream in complete mode; every micro-batch rewrites
-    the current totals as a Parquet table in the shared folder (file sinks
-    take appends only, so the rewrite goes through ``foreachBatch``).
+    """Run an aggregation stream in update mode into a Parquet table in the shared folder.
+
+    Each micro-batch writes the rows that changed to a folder of its own
+    (``epoch=``), which a replay of the batch overwrites; ``read_totals`` takes
+    each key's last row.  With a watermark the state of closed windows goes, so
+    neither the state nor a batch's write grows with the history.
 
-    The state holds one row per window, not per order, so it gets a small
+    The state holds one row per open window, not per order, so it gets a small
     fixed number of state partitions (recorded in the checkpoint at the first
     run); the stream snapshots the session conf at start, so the session's
     own setting is restored right away."""
-    def rewrite(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
-    w = (agg.writeStream.outputMode("complete").foreachBatch(rewrite)
+    def add(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+    w = (agg.writeStream.outputMode("update").foreachBatch(add)
             .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")
     spark = agg.sparkSession
@@ -87,10 +100,18 @@ def run_to_table(agg: DataFrame, table: str, checkpoint: str, available_now: boo
         spark.conf.set("spark.sql.shuffle.partitions", prev)
 
 
-def stage_landing(df: DataFrame, landing: str, by: str = "Month", files: int = 8) -> None:
-    """Write source rows as ``files`` landing files, each a contiguous range of
-    ``by`` (so a day never straddles two files)."""
-    df.repartitionByRange(files, by).write.mode("overwrite").parquet(landing)
+def read_totals(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+    """The current totals that ``run_to_table`` keeps: each key's row of the last batch that changed it."""
+    rows = spark.read.parquet(table)
+    others = [c for c in rows.columns if c not in (*keys, "epoch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "epoch").alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
+def stage_landing(df: DataFrame, landing: str, delivery: str = "0001", files: int | None = None) -> None:
+    """Write source rows as the landing files of one delivery, rows in no order (``files``: how many; else as the rows lie)."""
+    rows = df.repartition(files) if files else df
+    rows.write.mode("overwrite").parquet(f"{landing}/delivery-{delivery}")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

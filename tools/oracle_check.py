@@ -12,6 +12,7 @@ import datetime as dt
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -56,6 +57,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     pats = sys.argv[2:]
     spark = build_session("local[8]", 8)
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tillpoint-check-"))
     con = duckdb.connect()
     for t in TABLES:
         p = f"{sf}/{t}.parquet"
