@@ -15,8 +15,11 @@ percent.
    small parts of a class.  A document's prefix is extended until its slots
    hold ``sum(max(0, n_slot - (k - 1))) > floor((1 - threshold) n)`` shingles:
    two sets that link then share a whole signature, as no more shingles than
-   that can be missing.  Slots depend on the size band of the larger set, so a
-   long document has no more combinations a shingle than a short one.
+   that can be missing.  A set that links with one at least as large lacks even
+   fewer, so the shorter prefix that this needs (its core) must share a
+   signature with the larger set's prefix.  Slots depend on the size band of
+   the larger set, so a long document has no more combinations a shingle than a
+   short one.
 3. *Verification.*  Within a signature, each document is compared with one
    representative, over a few rounds with different ones; those that are in
    one component by then need no comparison.  What is left apart is compared
@@ -159,14 +162,16 @@ def _choices(n: int, k: int) -> np.ndarray:
     return _CHOICES[n, k]
 
 
-def signatures(h: np.ndarray, klass: np.ndarray, threshold: int) -> np.ndarray:
-    """A set's signatures.  ``klass``: each shingle's class, 1 to 3."""
+def signatures(h: np.ndarray, klass: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's signatures, and whether each is of its core.  ``klass``: each shingle's class, 1 to 3."""
     n = len(h)
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
     order = np.lexsort((h, klass))
     h, klass = h[order], klass[order]
-    spare, band, out = int(_spare(np.int64(n), threshold)), n.bit_length() - 1, []
+    spare, band, out, cores = int(_spare(np.int64(n), threshold)), n.bit_length() - 1, [], []
+    # With a set of m >= n: at least threshold / (100 + threshold) * (n + m) shingles are common.
+    core_spare = n - -(-2 * threshold * n // (100 + threshold))
     for b in (band, band + 1):
         # The next band's larger sets link with this one only if it is nearly as large.
         if b > band and 100 * n < threshold * (1 << b):
@@ -181,9 +186,11 @@ def signatures(h: np.ndarray, klass: np.ndarray, threshold: int) -> np.ndarray:
         place = np.empty(n, np.int64)
         place[by_slot] = np.arange(n) - np.searchsorted(s, s)
         unit = (k == 1) | (place >= k - 1)
-        end = int(np.searchsorted(np.cumsum(unit), spare + 1)) + 1
-        single = k[:end] == 1
-        out.append(mix(h[:end][single] * _C + config))
+        units = np.cumsum(unit)
+        end, core_end = (int(np.searchsorted(units, x + 1)) + 1 for x in (spare, core_spare))
+        single = np.flatnonzero(k[:end] == 1)
+        out.append(mix(h[single] * _C + config))
+        cores.append(single < core_end)
         often = by_slot[(by_slot < end) & (s > 0)]
         if len(often):
             keys = slot[often]
@@ -191,33 +198,44 @@ def signatures(h: np.ndarray, klass: np.ndarray, threshold: int) -> np.ndarray:
             for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                 c = int(keys[a] >> 40)
                 if z - a >= c:
-                    chosen = h[often[a:z]][_choices(int(z - a), c)]
+                    choice = _choices(int(z - a), c)
+                    chosen = h[often[a:z]][choice]
+                    cores.append(often[a:z][choice[:, -1]] < core_end)
                     both = mix(chosen[:, 0])
                     for j in range(1, c):
                         both = mix(both * _C + chosen[:, j])
                     out.append(both ^ mix(np.full(1, keys[a], np.int64).view(np.uint64) + config))
-    return np.unique(np.concatenate(out))
+    sig, core = np.concatenate(out), np.concatenate(cores)
+    order = np.lexsort((~core, sig))
+    sig, core = sig[order], core[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = sig[1:] != sig[:-1]
+    return sig[new], core[new]
 
 
 def _sign(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x).view(np.int64)) for x in (sig, fp, n)), pa.array(np.concatenate(core))], ["sig", "fp", "n", "core"])
+
         for batch in batches:
-            sig, fp, n, held = [], [], [], 0
+            sig, fp, n, core, held = [], [], [], [], 0
             for f, hashes, often in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 h = np.sort(np.asarray(hashes.values).view(np.uint64))
                 klass = np.ones(len(h), np.int64)
                 for at in often.as_py() or ():
                     klass[np.searchsorted(h, np.uint64(at["h"] % (1 << 64)))] = at["class"]
-                made = signatures(h, klass, threshold)
-                sig.append(made)
-                fp.append(np.full(len(made), f.as_py(), np.int64))
-                n.append(np.full(len(made), len(h), np.int64))
-                held += len(made)
+                signed, cores = signatures(h, klass, threshold)
+                sig.append(signed)
+                core.append(cores)
+                fp.append(np.full(len(signed), f.as_py(), np.int64))
+                n.append(np.full(len(signed), len(h), np.int64))
+                held += len(signed)
                 if held > 1 << 17:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (sig, fp, n)], ["sig", "fp", "n"])
-                    sig, fp, n, held = [], [], [], 0
+                    yield made()
+                    sig, fp, n, core, held = [], [], [], [], 0
             if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (sig, fp, n)], ["sig", "fp", "n"])
+                yield made()
     return run
 
 
@@ -258,22 +276,25 @@ def linked_sets(sets: DataFrame, threshold: int, rounds: int = 3) -> DataFrame:
     often = tokens.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") > low)
     often = store(often.select("h", F.when(F.col("df") > high, 3).otherwise(2).alias("class")), "frequent-shingles")
     mine = tokens.join(size_checked(often, 500_000), "h").groupBy("fp").agg(F.collect_list(F.struct("h", "class")).alias("often"))
-    signed = sets.join(mine, "fp", "left").select("fp", "hashes", "often").mapInArrow(_sign(threshold), "sig long, fp long, n long")
+    signed = sets.join(mine, "fp", "left").select("fp", "hashes", "often").mapInArrow(_sign(threshold), "sig long, fp long, n long, core boolean")
     signed = store(signed, "signatures")
-    shared = signed.groupBy("sig").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("sig")
+    shared = signed.groupBy("sig").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.max("core").alias("c")).filter("a <> b and c").select("sig")
     signed = store(signed.join(shared, "sig").withColumn("component", F.col("fp")), "shared-signatures")
     links = tried = None
     for turn in range(rounds + 1):
         flip = F.lit((turn * 0x9E3779B97F4A7C15) % (1 << 63))
+        # Signatures that still join several components, each with a representative that has it in its core.
+        apart = signed.groupBy("sig").agg(F.min(F.when(F.col("core"), F.col("fp").bitwiseXOR(flip))).bitwiseXOR(flip).alias("b"),
+                                          F.min("component").alias("c"), F.max("component").alias("d"))
+        apart = apart.filter("c <> d").select("sig", "b")
+        other = signed.filter("core").select("sig", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
         if turn < rounds:
-            # One representative a signature, another one each round.
-            rep = signed.groupBy("sig").agg(F.min(F.col("fp").bitwiseXOR(flip)).bitwiseXOR(flip).alias("b"), F.min("component").alias("c"), F.max("component").alias("d"))
-            rep = rep.filter("c <> d").select("sig", "b")
-            of_rep = signed.select("sig", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = signed.join(rep.join(of_rep, ["sig", "b"]), "sig").filter("component <> cb")
+            other = apart.join(other, ["sig", "b"])
         else:
-            other = signed.select("sig", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = signed.join(other, "sig").filter("component < cb")
+            other = other.join(apart.select("sig"), "sig")
+        # The core is the smaller set's; a larger representative is met by the cores of smaller sets.
+        meet = "component <> cb and (n >= nb or core)" if turn < rounds else "component <> cb and n >= nb"
+        pairs = signed.join(other, "sig").filter(meet)
         pairs = pairs.filter((100 * F.least("n", "nb") >= threshold * F.greatest("n", "nb")))
         pairs = pairs.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
         if tried is not None:
@@ -288,7 +309,7 @@ def linked_sets(sets: DataFrame, threshold: int, rounds: int = 3) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         if turn < rounds:
             known = components(links).withColumnRenamed("component", "now")
-            signed = store(signed.join(known, signed.fp == known.node, "left").select("sig", "fp", "n", F.coalesce("now", "fp").alias("component")), "shared-signatures")
+            signed = store(signed.join(known, signed.fp == known.node, "left").select("sig", "fp", "n", "core", F.coalesce("now", "fp").alias("component")), "shared-signatures")
     if links is None:
         return sets.select(F.col("fp").alias("node"), F.col("fp").alias("component")).limit(0)
     return components(links)
