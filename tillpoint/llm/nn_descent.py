@@ -30,7 +30,7 @@ from tillpoint.llm.common import store
 DEGREE = 30
 TABLES, BLOCK = 4, 256
 #: Centres to a group of the local join; queries to a group of the search.
-CENTRES, QUERIES = 512, 64
+CENTRES, QUERIES = 64, 4
 #: Rounds end below this share of new neighbours, or after so many.
 SETTLED, MOST_ROUNDS = 0.35, 7
 POOL, SEARCH_ROUNDS = 256, 4
