@@ -21,7 +21,7 @@ percent.
    the larger set, so a long document has no more combinations a shingle than a
    short one.
 3. *Verification.*  Within a signature, each document is compared with one
-   representative, over a few rounds with different ones; those that are in
+   representative, over two rounds with different ones; those that are in
    one component by then need no comparison.  What is left apart is compared
    in full.  So large groups of copies take linear work and no link between
    different components is missed.
@@ -36,7 +36,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import size_checked, store
@@ -269,7 +269,22 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def linked_sets(sets: DataFrame, threshold: int, rounds: int = 3) -> DataFrame:
+def _full(signed: DataFrame, apart: DataFrame) -> DataFrame:
+    """Pairs of all sets in different components that meet in a signature of ``apart``.
+
+    Two sets that share many signatures would come up at each of them.  A row
+    knows the signatures just before it, so a pair is left to an earlier
+    signature where both are seen to have one.
+    """
+    rows = signed.join(apart.select("sig"), "sig")
+    before = lambda n: Window.partitionBy("fp").orderBy("sig").rowsBetween(-n, -1)
+    own = rows.withColumn("before", F.collect_list("sig").over(before(16)))
+    core = rows.filter("core").withColumn("before", F.collect_list("sig").over(before(8)))
+    core = core.select("sig", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("before").alias("before_b"))
+    return own.join(core, "sig").filter("component <> cb and n >= nb and not arrays_overlap(before, before_b)")
+
+
+def linked_sets(sets: DataFrame, threshold: int, rounds: int = 2) -> DataFrame:
     """``(node, component)`` of every set that links with another."""
     tokens = sets.select("fp", F.explode("hashes").alias("h"))
     low, high = CLASS_BOUNDS
@@ -279,37 +294,35 @@ def linked_sets(sets: DataFrame, threshold: int, rounds: int = 3) -> DataFrame:
     signed = sets.join(mine, "fp", "left").select("fp", "hashes", "often").mapInArrow(_sign(threshold), "sig long, fp long, n long, core boolean")
     signed = store(signed, "signatures")
     shared = signed.groupBy("sig").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.max("core").alias("c")).filter("a <> b and c").select("sig")
-    signed = store(signed.join(shared, "sig").withColumn("component", F.col("fp")), "shared-signatures")
+    signed = signed.join(shared, "sig").withColumn("component", F.col("fp"))
+    # The original of a group of near copies shares more signatures than they do: it represents them first.
+    signed = signed.withColumn("pick", -(F.shiftleft(F.count("*").over(Window.partitionBy("fp")), 32) + F.col("fp").bitwiseAND(0xFFFFFFFF)))
+    signed = store(signed, "shared-signatures")
     links = tried = None
     for turn in range(rounds + 1):
-        flip = F.lit((turn * 0x9E3779B97F4A7C15) % (1 << 63))
         # Signatures that still join several components, each with a representative that has it in its core.
-        apart = signed.groupBy("sig").agg(F.min(F.when(F.col("core"), F.col("fp").bitwiseXOR(flip))).bitwiseXOR(flip).alias("b"),
-                                          F.min("component").alias("c"), F.max("component").alias("d"))
-        apart = apart.filter("c <> d").select("sig", "b")
-        other = signed.filter("core").select("sig", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+        pick = F.col("pick") if turn == 0 else F.col("fp").bitwiseXOR(F.lit((turn * 0x9E3779B97F4A7C15) % (1 << 63)))
+        apart = signed.groupBy("sig").agg(F.min(F.when(F.col("core"), pick)).alias("pick_b"), F.min("component").alias("c"), F.max("component").alias("d"))
+        apart = apart.filter("c <> d").select("sig", "pick_b")
         if turn < rounds:
-            other = apart.join(other, ["sig", "b"])
+            rep = signed.filter("core").select("sig", pick.alias("pick_b"), F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+            # The core is the smaller set's; a larger representative is met by the cores of smaller sets.
+            pairs = signed.join(apart.join(rep, ["sig", "pick_b"]), "sig").filter("component <> cb and (n >= nb or core)")
         else:
-            other = other.join(apart.select("sig"), "sig")
-        # The core is the smaller set's; a larger representative is met by the cores of smaller sets.
-        meet = "component <> cb and (n >= nb or core)" if turn < rounds else "component <> cb and n >= nb"
-        pairs = signed.join(other, "sig").filter(meet)
+            pairs = _full(signed, apart)
         pairs = pairs.filter((100 * F.least("n", "nb") >= threshold * F.greatest("n", "nb")))
         pairs = pairs.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = store(pairs, "candidates")
         if pairs.isEmpty():
-            if turn >= rounds or signed.groupBy("sig").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c <> d").isEmpty():
-                break
             continue
         found = store(verified(pairs, sets, threshold), "links")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if turn < rounds:
             known = components(links).withColumnRenamed("component", "now")
-            signed = store(signed.join(known, signed.fp == known.node, "left").select("sig", "fp", "n", "core", F.coalesce("now", "fp").alias("component")), "shared-signatures")
+            signed = store(signed.join(known, signed.fp == known.node, "left").select("sig", "fp", "n", "core", "pick", F.coalesce("now", "fp").alias("component")), "shared-signatures")
     if links is None:
         return sets.select(F.col("fp").alias("node"), F.col("fp").alias("component")).limit(0)
     return components(links)
