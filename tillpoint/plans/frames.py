@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import threading
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,18 +109,14 @@ def essential(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DERIVED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _session_frame(spark: SparkSession, sf_dir: str, name: str, build, persist: bool = False) -> DataFrame:
-    """A derived frame kept for the session (its data-dependent parameters are
-    computed once).  ``persist`` keeps small, hot slices in memory and disk;
-    a lost block is recomputed from the stored table."""
+def _session_frame(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived frame's plan kept for the session, so that its data-dependent
+    parameters are computed once; its rows are read from the stored table each time."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     with _LOCK:
         df = _DERIVED.get(key)
         if df is None:
-            df = build()
-            if persist:
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            _DERIVED[key] = df
+            df = _DERIVED[key] = build()
     return df
 
 
@@ -143,8 +138,9 @@ def command_centre(df: DataFrame) -> DataFrame:
 
 
 def synced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The command-centre slice (two dates, sync cut), derived once per session."""
-    return _session_frame(spark, sf_dir, "synced", lambda: command_centre(essential(spark, sf_dir)), persist=True)
+    """The command-centre slice (two dates, sync cut): its dates and cut-off are found once per session, and each
+    query scans its own columns of at most two months."""
+    return _session_frame(spark, sf_dir, "synced", lambda: command_centre(essential(spark, sf_dir)))
 
 
 _MODELS: dict[tuple[str, str, str], tuple] = {}
