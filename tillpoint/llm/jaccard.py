@@ -261,27 +261,35 @@ def profiles(docs: DataFrame, size: int, threshold: int, doc_id: str, text: str)
     return found.filter("is_doc").select("fp", "doc_id", "copies", "n").join(passed, "fp", "left").withColumn("passed", F.coalesce("passed", F.lit(False)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link."""
+def compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``pairs(a, b)`` with the number of common shingles, ``both``, and whether they ``link``."""
     left = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (100 * both >= threshold * (F.col("na") + F.col("nb") - both)).alias("link"))
 
 
-def _full(signed: DataFrame, apart: DataFrame) -> DataFrame:
+def _full(signed: DataFrame, apart: DataFrame, tried: DataFrame, threshold: int) -> DataFrame:
     """Pairs of all sets in different components that meet in a signature of ``apart``.
 
     Two sets that share many signatures would come up at each of them.  A row
     knows the signatures just before it, so a pair is left to an earlier
-    signature where both are seen to have one.
+    signature where both are seen to have one.  Two sets that were compared
+    with one representative have no more in common than the smaller of what
+    they share with it and the smaller of what they do not.
     """
-    rows = signed.join(apart.select("sig"), "sig")
+    met = tried.select(F.col("a").alias("fp"), F.col("b").alias("rep"), "both").union(tried.select("b", "a", "both"))
+    # The representative that a set shares most with, of equal ones the smallest.
+    met = met.groupBy("fp").agg(F.max_by("rep", F.struct("both", F.bitwise_not("rep"))).alias("rep"), F.max("both").alias("both"))
+    rows = signed.join(apart.select("sig"), "sig").join(met, "fp", "left")
     before = lambda n: Window.partitionBy("fp").orderBy("sig").rowsBetween(-n, -1)
     own = rows.withColumn("before", F.collect_list("sig").over(before(16)))
     core = rows.filter("core").withColumn("before", F.collect_list("sig").over(before(8)))
-    core = core.select("sig", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("before").alias("before_b"))
-    return own.join(core, "sig").filter("component <> cb and n >= nb and not arrays_overlap(before, before_b)")
+    core = core.select("sig", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("before").alias("before_b"),
+                       F.col("rep").alias("rep_b"), F.col("both").alias("both_b"))
+    most = F.least("both", "both_b") + F.least(F.col("n") - F.col("both"), F.col("nb") - F.col("both_b"))
+    cannot = F.coalesce((F.col("rep") == F.col("rep_b")) & (100 * most < threshold * (F.col("n") + F.col("nb") - most)), F.lit(False))
+    return own.join(core, "sig").filter(F.expr("component <> cb and n >= nb and not arrays_overlap(before, before_b)") & ~cannot)
 
 
 def linked_sets(sets: DataFrame, threshold: int, rounds: int = 2) -> DataFrame:
@@ -298,7 +306,8 @@ def linked_sets(sets: DataFrame, threshold: int, rounds: int = 2) -> DataFrame:
     # The original of a group of near copies shares more signatures than they do: it represents them first.
     signed = signed.withColumn("pick", -(F.shiftleft(F.count("*").over(Window.partitionBy("fp")), 32) + F.col("fp").bitwiseAND(0xFFFFFFFF)))
     signed = store(signed, "shared-signatures")
-    links = tried = None
+    links = None
+    tried = sets.sparkSession.createDataFrame([], "a long, b long, both int, link boolean")
     for turn in range(rounds + 1):
         # Signatures that still join several components, each with a representative that has it in its core.
         pick = F.col("pick") if turn == 0 else F.col("fp").bitwiseXOR(F.lit((turn * 0x9E3779B97F4A7C15) % (1 << 63)))
@@ -309,17 +318,14 @@ def linked_sets(sets: DataFrame, threshold: int, rounds: int = 2) -> DataFrame:
             # The core is the smaller set's; a larger representative is met by the cores of smaller sets.
             pairs = signed.join(apart.join(rep, ["sig", "pick_b"]), "sig").filter("component <> cb and (n >= nb or core)")
         else:
-            pairs = _full(signed, apart)
+            pairs = _full(signed, apart, tried, threshold)
         pairs = pairs.filter((100 * F.least("n", "nb") >= threshold * F.greatest("n", "nb")))
         pairs = pairs.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = store(pairs, "candidates")
+        pairs = store(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
         if pairs.isEmpty():
             continue
-        found = store(verified(pairs, sets, threshold), "links")
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = tried.unionByName(store(compared(pairs, sets, threshold), "compared"))
+        links = tried.filter("link").select("a", "b")
         if turn < rounds:
             known = components(links).withColumnRenamed("component", "now")
             signed = store(signed.join(known, signed.fp == known.node, "left").select("sig", "fp", "n", "core", "pick", F.coalesce("now", "fp").alias("component")), "shared-signatures")
