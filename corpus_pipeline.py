@@ -23,7 +23,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Stage 2: lines that an earlier line equals or nearly equals go, and with them documents of which no word stays."""
     out = line_dedup.dedup_lines(docs, n_lines="lines_had", n_removed="lines_lost")
     out = out.filter((F.col("lines_lost") == 0) | F.col("text").rlike(common.WORD))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", F.coalesce(n_chars, "n_chars")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
