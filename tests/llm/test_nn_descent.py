@@ -62,3 +62,20 @@ def test_fewer_candidates_than_asked(spark):
     rows = [(0, [1.0] * 8), (10, [2.0] * 8), (13, [4.0] * 8)]
     assert {q: [i for _, i, _ in v] for q, v in run(spark, rows).items()} == {0: [10, 13], 10: [0, 13]}
     assert run(spark, [(0, [1.0] * 8)]) == {} and run(spark, []) == {}
+
+
+def test_near_equal_vectors_and_a_huge_one(spark):
+    r = np.random.default_rng(3)
+    group = r.normal(size=8)
+    group /= np.linalg.norm(group)
+    rows = [(i, (group + 1e-5 * r.normal(size=8)).tolist()) for i in range(2000)]
+    centres = r.normal(size=(12, 8))
+    rows += [(i, (centres[i % 12] + 0.3 * r.normal(size=8)).tolist()) for i in range(2000, 3000)]
+    rows += [(3000, [1e8] + [1.0] * 7)]
+    got, want = run(spark, rows), exact(rows)
+    assert set(got) == set(want)
+    recall = []
+    for low, high in ((0, 2000), (2000, 3000)):
+        asked = [q for q in want if low <= q < high]
+        recall.append(sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) for q in asked) / (10 * len(asked)))
+    assert min(recall) >= 0.95, recall

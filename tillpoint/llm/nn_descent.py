@@ -9,8 +9,9 @@ few neighbours are new.
 
 A search holds a pool of nodes for each query and replaces it, round by round,
 with the nearest of the pool and of its nodes' neighbours.  Vectors travel as
-half floats; the pool's distances are computed anew on the original ones in
-double precision before the answer.
+floats and are compared in double precision, so neither near-equal vectors nor
+a huge one change what the others' distances say; the whole pool's distances
+are computed anew on the original vectors before the answer.
 
 Work is dealt in groups of bounded size, whose number grows with the table: a
 group's vectors are sent to it once, however many of its nodes need them.
@@ -34,7 +35,7 @@ CENTRES, QUERIES = 64, 4
 #: Rounds end below this share of new neighbours, or after so many.
 SETTLED, MOST_ROUNDS = 0.35, 7
 POOL, SEARCH_ROUNDS = 256, 4
-_EDGES = "a long, b long, d float"
+_EDGES = "a long, b long, d double"
 
 
 def valid(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -55,13 +56,16 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype: str) -> np.ndarray:
     return np.asarray(column.flatten(), np.float32).reshape(len(column), -1)
 
 
-def _square(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T), 0)
+def _apart(x: np.ndarray) -> np.ndarray:
+    """Distances within ``x``; the products cancel for near-equal vectors, hence double precision."""
+    x = x.astype(float)
+    own = (x * x).sum(1)
+    return np.sqrt(np.maximum(own[:, None] + own[None] - 2 * (x @ x.T), 0))
 
 
 def _edges(a: list, b: list, d: list) -> pa.Table:
     cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return pa.table({"a": cat(a, np.int64), "b": cat(b, np.int64), "d": cat(d, np.float32)})
+    return pa.table({"a": cat(a, np.int64), "b": cat(b, np.int64), "d": cat(d, np.float64)})
 
 
 def _nearest(table: pa.Table, degree: int) -> pa.Table:
@@ -78,10 +82,10 @@ def _nearest(table: pa.Table, degree: int) -> pa.Table:
 
 def _block(degree: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, x = np.asarray(table.column("id")), _matrix(table.column("short"), "<f2")
+        ids, x = np.asarray(table.column("id")), _matrix(table.column("short"), "<f4")
         if len(ids) < 2:
             return _edges([], [], [])
-        d = _square(x, x)
+        d = _apart(x)
         np.fill_diagonal(d, np.inf)
         k = min(degree, len(ids) - 1)
         near = np.argpartition(d, k - 1, axis=1)[:, :k]
@@ -94,7 +98,7 @@ def _local_join(degree: int):
         if not members.num_rows:
             return _edges([], [], [])
         ids, first = np.unique(np.asarray(vectors.column("node")), return_index=True)
-        x, radius = _matrix(vectors.column("short"), "<f2")[first], np.asarray(vectors.column("radius"))[first]
+        x, radius = _matrix(vectors.column("short"), "<f4")[first], np.asarray(vectors.column("radius"))[first]
         centre, member = np.asarray(members.column("centre")), np.searchsorted(ids, np.asarray(members.column("id")))
         fresh = np.asarray(members.column("fresh"))
         order = np.argsort(centre, kind="stable")
@@ -104,7 +108,7 @@ def _local_join(degree: int):
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             m, f = member[s:e], fresh[s:e]
             if len(m) > 1 and f.any():
-                near = _square(x[m], x[m])
+                near = _apart(x[m])
                 i, j = np.nonzero((near < radius[m][:, None]) & (f[:, None] | f[None]) & (m[:, None] != m[None]))
                 a.append(ids[m[i]])
                 b.append(ids[m[j]])
@@ -124,30 +128,32 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(nodes, copies)``: ``(id, vec, short)`` of each distinct vector, by its smallest id, and ``(vec_id, id)`` of every vector."""
     vectors = store(vectors.withColumn("key", F.xxhash64("vec")), "vectors")
     nodes = vectors.groupBy("key", "vec").agg(F.min("vec_id").alias("id"))
+    # Floats as they are, unless their range is too small for the largest component.
     most = vectors.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
+    scale = most / min(max(most, 2.0 ** -60), 2.0 ** 100)
 
     def shorten(batches):
         for batch in batches:
             v = batch.column(2)
-            x = np.asarray(v.flatten()).reshape(len(v), -1) / most if len(v) else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary())], ["id", "key", "vec", "short"])
+            x = np.asarray(v.flatten()).reshape(len(v), -1) / scale if len(v) else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())], ["id", "key", "vec", "short"])
     nodes = store(nodes.select("id", "key", "vec").mapInArrow(shorten, "id long, key long, vec array<double>, short binary"), "nodes")
     copies = vectors.join(nodes.select("id", F.col("key"), "vec"), ["key", "vec"]).select("vec_id", "id")
     return nodes.select("id", "vec", "short"), store(copies, "copies")
 
 
 def _first_edges(nodes: DataFrame, n: int, degree: int) -> DataFrame:
-    """Neighbours within blocks of vectors that lie on the same sides of random planes through the mean."""
+    """Neighbours within blocks of vectors that lie on the same sides of random planes through the median of each component."""
     size = nodes.select(F.size("vec")).first()[0]
-    mean = nodes.select(*[F.avg(F.get("vec", F.lit(i))).alias(f"m{i}") for i in range(size)]).first()
+    middle = nodes.select(*[F.percentile_approx(F.get("vec", F.lit(i)), 0.5, 1000).alias(f"m{i}") for i in range(size)]).first()
     random, bits, tables = np.random.default_rng(3), max(0, int(np.ceil(np.log2(max(1, n / (0.75 * BLOCK)))))), []
     planes = random.normal(size=(TABLES, bits, size))
-    means = np.array(mean, float)
+    middles = np.array(middle, float)
 
     def sides(batches):
         for batch in batches:
             v = batch.column(1)
-            x = np.asarray(v.flatten()).reshape(len(v), -1) - means
+            x = np.asarray(v.flatten()).reshape(len(v), -1) - middles
             for t in range(TABLES):
                 cell = ((x @ planes[t].T) > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(x), t, np.int32)), pa.array(cell.astype(np.int64))], ["id", "turn", "cell"])
@@ -169,16 +175,16 @@ def _around(graph: DataFrame, degree: int) -> DataFrame:
 
 
 def neighbour_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
-    """``(a, b, d, fresh)``: about the ``degree`` nearest nodes of every node; ``d`` is squared, of the scaled vectors."""
+    """``(a, b, d, fresh)``: about the ``degree`` nearest nodes of every node; ``d`` is the distance as far as floats tell."""
     n = nodes.count()
     if n < 2:
-        return nodes.sparkSession.createDataFrame([], "a long, b long, d float, place int, fresh boolean")
+        return nodes.sparkSession.createDataFrame([], "a long, b long, d double, place int, fresh boolean")
     graph, groups = _first_edges(nodes, n, degree), -(-n // CENTRES)
     for _ in range(MOST_ROUNDS):
         members = _around(graph, degree).withColumn("part", F.pmod(F.xxhash64("centre"), F.lit(groups)))
         members = store(members, "members")
         radius = graph.groupBy("a").agg(F.when(F.count("*") >= degree, F.max("d")).otherwise(float("inf")).alias("radius"))
-        known = nodes.select("id", "short").join(radius.withColumnRenamed("a", "id"), "id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))).cast("float"))
+        known = nodes.select("id", "short").join(radius.withColumnRenamed("a", "id"), "id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
         sent = members.select(F.col("part").alias("to"), F.col("id").alias("node")).distinct().join(known.withColumnRenamed("id", "node"), "node")
         found = members.groupBy("part").cogroup(sent.select("to", "node", "short", "radius").groupBy("to")).applyInArrow(_local_join(degree), _EDGES)
         every = found.withColumn("old", F.lit(0)).unionByName(graph.select("a", "b", "d", F.lit(1).alias("old")))
@@ -192,14 +198,14 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
 def _distances(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
     """``pairs(query, id, done)`` and the vectors of both to ``(query, id, d, done)``."""
     ids, first = np.unique(np.asarray(vectors.column("node")), return_index=True)
-    x = _matrix(vectors.column("short"), "<f2")[first]
+    x = _matrix(vectors.column("short"), "<f4")[first]
     q, i = np.asarray(pairs.column("query")), np.asarray(pairs.column("id"))
     left, right = np.searchsorted(ids, q), np.searchsorted(ids, i)
-    d = np.empty(len(q), np.float32)
+    d = np.empty(len(q))
     for s in range(0, len(q), 1 << 16):
         e = slice(s, s + (1 << 16))
-        y = x[left[e]] - x[right[e]]
-        d[e] = (y * y).sum(1)
+        y = x[left[e]].astype(float) - x[right[e]]
+        d[e] = np.sqrt((y * y).sum(1))
     return pa.table({"query": q, "id": i, "d": d})
 
 
@@ -208,13 +214,13 @@ def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, pool: int = PO
     around = store(_around(graph, degree).select(F.col("centre").alias("id"), F.col("id").alias("next")), "around")
     groups = -(-starts.select("query").distinct().count() // QUERIES) or 1
     part = F.pmod(F.xxhash64("query"), F.lit(groups))
-    seen = starts.select("query", "id", F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("done"))
+    seen = starts.select("query", "id", F.lit(0.0).alias("d"), F.lit(False).alias("done"))
     for _ in range(rounds):
         ahead = seen.filter(~F.col("done")).join(around, "id").select("query", F.col("next").alias("id")).distinct()
         ahead = store(ahead.withColumn("part", part), "ahead")
         needed = ahead.select("part", "id").union(ahead.select("part", "query")).distinct().toDF("to", "node")
         needed = needed.join(nodes.select(F.col("id").alias("node"), "short"), "node").select("to", "node", "short")
-        found = ahead.groupBy("part").cogroup(needed.groupBy("to")).applyInArrow(_distances, "query long, id long, d float")
+        found = ahead.groupBy("part").cogroup(needed.groupBy("to")).applyInArrow(_distances, "query long, id long, d double")
         every = found.withColumn("done", F.lit(False)).unionByName(seen.withColumn("done", F.lit(True)))
         every = every.groupBy("query", "id").agg(F.max("d").alias("d"), F.max("done").alias("done"))
         place = F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))
@@ -249,9 +255,6 @@ def nearest(rows: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embe
     low = copies.withColumn("order", order).filter(F.col("order") <= k + 1).select("id", "vec_id")
     left = nodes.select(F.col("id").alias("query"), F.col("vec").alias("x"))
     right = nodes.select("id", F.col("vec").alias("y"))
-    # The pool holds far more than k nodes: the first few dozen by the short distance hold the nearest.
-    near = F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))
-    found = found.withColumn("near", near).filter(F.col("near") <= 4 * k + 8)
     scored = found.join(left, "query").join(right, "id").select("query", "id", "x", "y").mapInArrow(_scores, "query long, id long, score double")
     answers = queries.join(scored, "query").join(low, "id").filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
