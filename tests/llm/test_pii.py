@@ -59,3 +59,19 @@ def test_query_rows(spark):
     assert got[1, 1].base == "email:2:10,ip:11:18" and got[1, 1].spans == got[1, 1].base
     assert got[2, 0].spans == "" and got[3, 0].spans == "" and got[None, 1].base == "email:0:6" and got[5, 0].n_phone == 3000
     assert pii.find(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("n", [500, 512, 600, 2000, 200_000])
+def test_long_secrets_are_masked_whole(n):
+    value = "".join(random.Random(n).choices("abcdefXYZ0189-_/", k=n))
+    for text in (f"token={value} after", f'secret: "{value}" after'):
+        a, b = pii.spans(text)["secret"][0]
+        assert text[a:b] == value and value[-20:] not in pii.masked(text)
+
+
+def test_cues_within_a_value_are_part_of_it():
+    value = "/token=abcdef" * 20_000
+    text = f"password={value} and token=123456789"
+    assert [text[a:b] for a, b in pii.spans(text)["secret"]] == [value, "123456789"]
+    text = "password=abc_def/token: xyz123456 x"
+    assert [text[a:b] for a, b in pii.spans(text)["secret"]] == ["abc_def/token:", "xyz123456"]

@@ -43,7 +43,8 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?:\s?(?:no|nr|number|num|id)\b\.?)?\s{0,2}[:#=]?\s{0,2}([A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[\x20./-]?[A-Za-z0-9]*[0-9][A-Za-z0-9]*)*)", re.I)
-_VALUE = re.compile(r"\s{0,2}[:=]\s{0,2}[\"']?([^\s\"',;]{6,})")
+_HEAD = re.compile(r"\s{0,2}[:=]\s{0,2}[\"']?")
+_VALUE = re.compile(_HEAD.pattern + r"([^\s\"',;]{6,})")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SPELLED_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\s?\Z")
 _SPELLED_HOST = re.compile(r"\s?[A-Za-z0-9-]+(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\sdot\s)\s?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+")
@@ -124,9 +125,14 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
             more["account"].append(m.span(1))
     if any("A" <= c <= "Z" for c in text):
         more["account"] += [m.span() for m in _IBAN.finditer(text) if iban(m.group())]
+    # A value ends by itself; one that would begin within another is part of it, so each code point is read once.
+    free = 0
     for a, b in anchors.get("secret", ()):
-        if not (a and text[a - 1].isalnum()) and (m := _VALUE.match(text, b, b + 512)):
+        if (a and text[a - 1].isalnum()) or not (head := _HEAD.match(text, b)) or head.end() < free:
+            continue
+        if m := _VALUE.match(text, b):
             more["secret"].append(m.span(1))
+            free = m.end()
     for a, b in anchors.get("spelled", ()):
         host = _SPELLED_HOST.match(text, b, b + 256)
         # " at " is a word of prose: it needs a spelled-out dot as well.
