@@ -68,3 +68,23 @@ def test_best_region_is_the_maximum_sum():
         best = max((sum(w[a:b]) for a in range(len(w)) for b in range(a + 1, len(w) + 1)), default=0)
         got = ht.main_text(text, {}).split()
         assert (best > 0) == bool(got)
+
+
+@pytest.mark.parametrize("menu", [
+    "<nav>" + "<font color=red>x " * 1000 + "</nav>",
+    "<div class=sidebar>" + "<b><span>x " * 500 + "</div>",
+    "<nav><ul>" + "<li><a href=/x><b><font>x " * 400 + "</ul></nav>",
+    "<form>" + "<b>x " * 50_000 + "</form>",
+])
+def test_unclosed_inline_tags_keep_no_element_open(menu):
+    assert ht.main_text(f"<body>{menu}<p>{prose(1, 200)}</p></body>", {}) == prose(1, 200)
+
+
+def test_implied_ends_pass_any_number_of_inline_tags():
+    kinds = [k for k, _, _ in ht.tokens("<ul><li><b><i><u><s>one<li>two</ul><p>three")]
+    assert kinds == ["ul", "li", "b", "i", "u", "s", "=li", "li", "=li", "/ul", "p", "=p"]
+    many = "<table>" + "<tr><td>" + "<b>" * 10 + "x"
+    page = "<ul>" + "<li>" + "<b>" * 10 + "one" + "<li>two" + "</ul>"
+    assert ht.main_text(page, {}) == "one two" and ht.main_text(many + "</table><p>" + prose(2, 200), {}).endswith(prose(2, 200))
+    # Without the implied end the second item would be within the first.
+    assert ht.main_text("<li class=ad>" + "<b>" * 10 + "buy<li>" + prose(3, 50), {}) == prose(3, 50)

@@ -76,14 +76,22 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
     for each stretch, without text; if the page names an article, so are words outside it.
     """
     stack: list[tuple[str, int, bool]] = []  # name, whether something above is set aside, whether it is an article
+    places: dict[str, list[int]] = {}  # by name, where it is in the stack
+    blocks: list[int] = []  # where blocks are in the stack
+    around: list[int] = []  # where blocks and links are in the stack
     out: list[tuple[str, str, bool]] = []
     aside, inside, named = 0, 0, False
 
     def close(k: int) -> None:
         nonlocal aside, inside
         aside = stack[k][1]
-        inside -= sum(i for _, _, i in stack[k:])
+        for n, _, i in stack[k:]:
+            inside -= i
+            places[n].pop()
         del stack[k:]
+        for open_ in (blocks, around):
+            while open_ and open_[-1] >= k:
+                open_.pop()
 
     def put(kind: str, text: str) -> None:
         if aside:
@@ -98,30 +106,32 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             if text.isspace():
                 put(" ", " ")
             else:
-                put("=" + next((n for n, _, _ in reversed(stack) if n in BLOCK or n == "a"), ""), text)
+                put("=" + (stack[around[-1]][0] if around else ""), text)
             continue
         if m["name"] is None:
             continue
         name = m["name"].lower()
         if m["end"]:
-            k = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[k][0] == name), None)
-            if k is None:  # closes nothing
+            if not places.get(name):  # closes nothing
                 put(" ", " ")
             else:
                 put("/" + name, "")
-                close(k)
+                close(places[name][-1])
             continue
         if name in ENDS and stack:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-                if stack[k][0] in ENDS[name].split():
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+            # Of the nearest block and what is open within it.
+            k = max((places[n][-1] for n in ENDS[name].split() if places.get(n)), default=-1)
+            if k >= (blocks[-1] if blocks else 0):
+                close(k)
         put(name, "")
         if name not in VOID and not m["attrs"].endswith("/"):
             off = sets_aside(name, m["attrs"]) or (name == "header" and not inside)
             article = name in ("article", "main") and not off
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
+            if name in BLOCK or name == "a":
+                around.append(len(stack))
             stack.append((name, aside, article))
             # An article is one wherever it stands; a nested one is what its surroundings are.
             aside = 0 if article and not inside else aside + off
