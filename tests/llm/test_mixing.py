@@ -62,3 +62,14 @@ def test_blocks_are_permuted_once_a_pass(spark):
 
 def test_empty_table(spark):
     assert mixing.mixed_sizes(docs(spark, [])).count() == 0
+
+
+def test_small_sources_meet_their_targets(spark):
+    sizes = {f"s{n:03d}": n for n in (*range(2, 20), 63, 64, 65, 66, 127, 128, 129, 130, 191, 193, 255, 257, 300)}
+    rows = [(k, prose(k, n), s) for k, (s, n) in enumerate(sizes.items())]
+    want = filled(sizes)
+    taken = {r.source: r.taken for r in mixing.mixed_sizes(docs(spark, rows)).collect()}
+    assert {s: taken[s] - want[s] for s in sizes if abs(taken[s] - want[s]) > 0.5 + 1e-6} == {}
+    _, slots, _ = mixing.mix(docs(spark, rows))
+    seen = [(r.source_key, r["pass"], r.block) for r in slots.collect()]
+    assert len(seen) == len(set(seen))

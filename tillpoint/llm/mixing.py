@@ -116,19 +116,27 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
 
     b = F.lit(block_words).cast("long")
     blocks = F.ceil(F.col("source_size") / b)
-    # A pass takes its blocks whole; its last slot takes the words that are missing from the target.
+    # A pass takes its blocks whole, in the order of its slots; its last slot takes the words that are missing from
+    # the target.  Only a source's last block may be short: where a pass takes it before its last slot, the
+    # slots after it lie that much earlier, and one more slot may be needed.
     passes = sizes.filter(F.col("source_size") > 0).select("source_key", "source_size", "target", blocks.alias("blocks"), F.explode(
         F.array(*[F.lit(p) for p in range(int(-(-most // 1)))])).alias("pass"))
     passes = passes.withColumn("need", F.greatest(F.lit(0), F.least(F.col("source_size"), F.round("target").cast("long") - F.col("pass") * F.col("source_size"))))
-    passes = passes.withColumn("n_slots", F.ceil(F.col("need") / b)).filter("n_slots > 0")
+    short = F.col("blocks") * b - F.col("source_size")
+    passes = passes.withColumn("n_slots", F.least("blocks", F.ceil((F.col("need") + short) / b))).filter("need > 0")
     # Slots in chunks first, so that a large source's slots are made by many tasks.
     chunk = 65536
     passes = passes.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / chunk)))).repartition(F.col("source_key"), "pass", "chunk")
     slots = passes.withColumn("slot", F.explode(F.sequence(F.col("chunk") * chunk, F.least(F.col("n_slots"), (F.col("chunk") + 1) * chunk) - 1)))
     draw = F.xxhash64("source_key", "pass", "slot", F.lit(seed))
-    slots = slots.select("source_key", "pass", F.pmod(draw, F.lit(shards)).alias("shard"),
-                         _permuted(F.col("slot"), F.col("blocks"), F.xxhash64("source_key", "pass", F.lit(seed))).alias("block"),
-                         F.least(b, F.col("need") - F.col("slot") * b).alias("words"))
+    # The permutation is turned so that the slot of the last block is known: ``last``, itself drawn by hash.
+    permuted = lambda slot: _permuted(slot, F.col("blocks"), F.xxhash64("source_key", "pass", F.lit(seed)))
+    slots = slots.withColumn("last", F.pmod(F.xxhash64("source_key", "pass", F.lit(seed), F.lit("last")), F.col("blocks")))
+    slots = slots.withColumn("block", F.pmod(permuted(F.col("slot")) - permuted(F.col("last")) - 1, F.col("blocks")))
+    slots = slots.withColumn("own", b - F.when(F.col("slot") == F.col("last"), short).otherwise(0))
+    slots = slots.withColumn("at", F.col("slot") * b - F.when(F.col("last") < F.col("slot"), short).otherwise(0))
+    slots = slots.select("source_key", "pass", F.pmod(draw, F.lit(shards)).alias("shard"), "block",
+                         F.least(F.col("own"), F.col("need") - F.col("at")).alias("words")).filter("words > 0")
     spans = laid.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b))))
     # Slots are made from a small table, so Spark would take them for a small one themselves: both sides are large.
     parts = spans.select("source_key", "row_key", "copy", "at", "size", "block").join(slots.hint("merge"), ["source_key", "block"])
