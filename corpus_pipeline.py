@@ -28,10 +28,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 3: of each group of near duplicates the document with the smallest id stays."""
-    found = jaccard.near_duplicates(docs)
-    copies = common.store(found.filter("component_id <> doc_id").select("doc_id"), "near-duplicates")
-    return docs.join(common.size_checked(copies, 2_000_000), "doc_id", "left_anti").select(*docs.columns)
+    """Stage 3: of each group of near duplicates one row stays, that with the smallest id (no id comes last), then key.
+
+    Rows are judged each by itself, whatever their ids: rows of one id with
+    different texts, and rows without id, are compared as any others.  Of
+    wholly equal rows one stays.  Rows without words are no one's copies.
+    """
+    key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    keyed = docs.withColumn("__row", key)
+    found = jaccard.near_duplicates(keyed.select("__row", "text"), doc_id="__row").filter("n_shingles > 0")
+    found = found.groupBy(F.col("doc_id").alias("__row"), "component_id").agg(F.count("*").alias("copies"))
+    found = common.store(found.join(keyed.select("__row", "doc_id").distinct(), "__row"), "components-of-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    groups = found.groupBy("component_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    groups = common.store(groups.select("component_id", F.col("first.__row").alias("stays")), "near-duplicate-groups")
+    copies = found.join(common.size_checked(groups, 1_000_000), "component_id").filter("__row <> stays").select("__row")
+    copies = common.store(copies, "near-duplicates")
+    equal = common.store(found.filter("copies > 1").select("__row"), "equal-rows")
+    left = keyed.join(common.size_checked(copies, 2_000_000), "__row", "left_anti")
+    equal = common.size_checked(equal, 1_000_000)
+    once = left.join(equal, "__row", "left_semi").dropDuplicates(["__row"])
+    return left.join(equal, "__row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

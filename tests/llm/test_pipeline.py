@@ -61,3 +61,19 @@ def test_entry_lists_every_operator():
     names = set(e.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    a, b, c, d, e = (prose(500 + k, 60) for k in range(5))
+    near_a = "changed " + a.split(" ", 1)[1]
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (8, near_a), (9, d), (9, "changed " + d.split(" ", 1)[1]),
+            (None, a), (None, e), (None, e), (None, "changed " + e.split(" ", 1)[1]), (11, None), (11, None), (12, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOC_SCHEMA)
+    out = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == df.columns
+    assert sorted(i for i, _ in got if i is not None) == [3, 5, 7, 9, 11, 11, 12]
+    assert (3, a) in got and (5, b) in got and (7, c) in got
+    assert len([t for i, t in got if i is None]) == 1 and [t for i, t in got if i is None][0].split(" ", 1)[1] == e.split(" ", 1)[1]
+    again = corpus_pipeline.drop_near_duplicates(spark, df.repartition(7), "")
+    assert sorted(got, key=str) == sorted(((r.doc_id, r.text) for r in again.collect()), key=str)
