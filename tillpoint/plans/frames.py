@@ -2,9 +2,9 @@
 
 The dashboard loads the order table once per session and derives its
 columns once; every tab then works on that frame.  Here the same happens on
-Spark: the canonical order table (and its derived columns) is written once for
-each state of its source files as a Parquet table (partitioned by month, sorted by date) under the cluster's shared
-checkpoint folder, then read back.  That write cuts the lineage (an executor
+Spark: the canonical order table (and its derived columns) is a day table
+(by month, sorted by date) under the cluster's shared checkpoint folder that
+follows its source files: only days that changed are written again.  That write cuts the lineage (an executor
 loss re-reads files instead of re-running the joins), lets date filters prune
 partitions, and lets the scalar parameters (latest date, cut-off time) be
 answered by cheap scans instead of re-running the joins per subquery.
@@ -15,73 +15,33 @@ from __future__ import annotations
 import hashlib
 import threading
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tillpoint.operators import sync
 from tillpoint.operators.enrich import with_essential_columns, with_extended_columns
 from tillpoint.session import shared_dir
+from tillpoint.sources import changes
 from tillpoint.sources.canonical import ORDER_COLUMNS, orders_view
+from tillpoint.sources.daytable import DayTable
 
-SOURCE_TABLES = ("orders", "lineitem", "customer", "part", "nation")
 _TABLES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 _LOCK = threading.RLock()
 
 
-def write_by_month(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Working table: partitioned by ``Month`` (yyyy-MM), rows sorted by Date.
-
-    Range-partitioning on (Date, OrderID) gives each write task a contiguous
-    run of days, so files are few and each covers a narrow date range: a
-    month filter prunes directories and the Parquet min/max of ``Date``
-    skips row groups inside the month.  A very large day still spreads over
-    several tasks.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.withColumn("Month", F.date_format("Date", "yyyy-MM"))
-       .repartitionByRange(n, "Date", "OrderID")
-       .sortWithinPartitions("Date", "OrderID")
-       .write.mode(mode).partitionBy("Month").parquet(path))
-
-
-def source_signature(spark: SparkSession, sf_dir: str) -> str:
-    """A short text that changes with any file of the order tables (name, size or time); no file is read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                  .load([f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES])
-                  .select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h")))
-    row = files.agg(F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
-    return hashlib.sha1(f"{row['h']}_{row['n']}".encode()).hexdigest()[:12]
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path`` if its write ended."""
-    try:
-        spark.read.parquet(f"{path}-done")
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def materialize(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Write ``build()`` partitioned by month in the shared folder, once for each state of the source files; read it back.
+    """The day table of ``sf_dir`` in the shared folder, brought up to its source files, and read.
 
-    The path names the source and its files' signature: a later session finds
-    the table and reads it, and after a change of any source file it is built
-    anew.  The DataFrame handle is kept, so the file listing is done once a
-    session; ``refresh`` looks at the files again."""
+    A later session finds the table and writes only the days that changed
+    (``changes.follow``; ``build(days)`` makes them).  The DataFrame handle is
+    kept, so files are listed once a session; ``refresh`` looks at them again."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     with _LOCK:
         hit = _TABLES.get(key)
         if hit is None:
             tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
-            path = f"{shared_dir(spark)}/tillpoint/tables/{name}-{tag}-{source_signature(spark, sf_dir)}"
-            df = _stored(spark, path)
-            if df is None:
-                write_by_month(build(), path)
-                spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
-                df = spark.read.parquet(path)
-            hit = (path, df)
+            path = f"{shared_dir(spark)}/tillpoint/tables/{name}-{tag}"
+            changes.follow(spark, sf_dir, path, build)
+            hit = (path, DayTable(spark, path, undated=True).read())
             _TABLES[key] = hit
     return hit[1]
 
@@ -103,7 +63,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def essential(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical orders with the B-01 columns (the dashboard's working frame)."""
     return materialize(spark, sf_dir, "orders_essential",
-                       lambda: with_essential_columns(orders_view(spark, sf_dir)))
+                       lambda days: with_essential_columns(orders_view(spark, sf_dir, days)))
 
 
 _DERIVED: dict[tuple[str, str, str], DataFrame] = {}

@@ -18,8 +18,8 @@ from tillpoint.sources.canonical import ORDERS_SQL
 from tillpoint.streaming import stream as st
 
 ORD = [ORDERS_SQL.strip()]
-#: The staged files hold the whole history in no order of time, and availability-now runs read them in any order.
-WATERMARK = "36500 days"
+#: Windows close two days behind the latest row; later rows are folded in as corrections.
+DELAY = "2 days"
 
 
 def _staged_orders(spark, sf, *columns):
@@ -70,24 +70,26 @@ def t03_resent_days_replace(spark, sf):
     return t.groupBy("Date").agg(F.count(F.lit(1)).alias("orders"), F.sum("Tips").cast("double").alias("tips"))
 
 
-def _window_query(spark, src_df, ts, value, width, name):
+def _window_query(spark, stream, ts, value, width, name):
+    totals = st.WindowTotals(spark, st.scratch(spark, f"totals-{name}"), width, DELAY)
+    totals.start(stream, ts, value, st.scratch(spark, f"ckpt-{name}")).awaitTermination()
+    return totals.read().select(st.instant_to_ntz(F.col("w.start")).alias("window_start"), "events", "total")
+
+
+def _staged(spark, df, name, files):
     landing = st.scratch(spark, f"landing-{name}")
-    st.stage_landing(src_df, landing)
-    s = st.order_stream(spark, landing, src_df.schema, files_per_batch=2)
-    agg = st.rolling_totals(s, ts, value, width, WATERMARK)
-    table = st.scratch(spark, f"totals-{name}")
-    st.run_to_table(agg, table, st.scratch(spark, f"ckpt-{name}")).awaitTermination()
-    r = st.read_totals(spark, table, ["w"])
-    return r.select(st.instant_to_ntz(F.col("w.start")).alias("window_start"), "events", "total")
+    st.stage_landing(df, landing, files=files)
+    return st.order_stream(spark, landing, df.schema, files_per_batch=2)
 
 
 @register("t02_hourly_event_totals", "T-02", """
 SELECT date_trunc('hour', ts) AS window_start, count(*) AS events, SUM(value) AS total FROM events
 WHERE ts IS NOT NULL GROUP BY 1""")
 def t02_hourly_event_totals(spark, sf):
-    """Tumbling 1-hour windows with a 1-day watermark over the events table."""
+    """Tumbling 1-hour windows over the events table.  The landing files cut across
+    time, so most rows come after their window was closed and go the way of corrections."""
     ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").select("ts", "value")
-    return _window_query(spark, ev.repartitionByRange(8, "ts"), "ts", "value", "1 hour", "events-hourly")
+    return _window_query(spark, _staged(spark, ev, "events-hourly", 7), "ts", "value", "1 hour", "events-hourly")
 
 
 @register("t02_daily_order_totals", "T-02", with_ctes(*ORD, final="""
@@ -95,11 +97,9 @@ SELECT CAST(Date AS TIMESTAMP) AS window_start, count(*) AS events, CAST(SUM(Gro
 FROM orders_c GROUP BY Date"""))
 def t02_daily_order_totals(spark, sf):
     """Tumbling day windows of order gross over streamed order files."""
-    o = frames.orders(spark, sf).select("ReceivedAt", F.col("GrossPrice").cast("double").alias("GrossPrice"),
-                                        "Month")
-    r = _window_query(spark, o.repartitionByRange(8, "Month").drop("Month"), "ReceivedAt", "GrossPrice",
-                      "1 day", "orders-daily")
-    return r
+    o = frames.orders(spark, sf).select("ReceivedAt", "GrossPrice")
+    r = _window_query(spark, _staged(spark, o, "orders-daily", 7), "ReceivedAt", "GrossPrice", "1 day", "orders-daily")
+    return r.withColumn("total", F.col("total").cast("double"))
 
 
 @register("t04_running_freshness", ("T-04", "A-03"), with_ctes(*ORD, final="""
@@ -122,9 +122,5 @@ def t02_hourly_net_sale(spark, sf):
     stream, and the exact VAT-inclusive base is summed per window."""
     landing, schema = _staged_orders(spark, sf)
     s = with_essential_columns(st.order_stream(spark, landing, schema, files_per_batch=2))
-    agg = st.rolling_totals(s, "ReceivedAt", "net_sale_vat", "1 hour", WATERMARK)
-    table = st.scratch(spark, "totals-orders-hourly")
-    st.run_to_table(agg, table, st.scratch(spark, "ckpt-orders-hourly")).awaitTermination()
-    r = st.read_totals(spark, table, ["w"])
-    return r.select(st.instant_to_ntz(F.col("w.start")).alias("window_start"), "events",
-                    (F.col("total").cast("double") / 1.05).alias("total"))
+    r = _window_query(spark, s, "ReceivedAt", "net_sale_vat", "1 hour", "orders-hourly")
+    return r.select("window_start", "events", (F.col("total").cast("double") / 1.05).alias("total"))

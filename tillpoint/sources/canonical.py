@@ -18,6 +18,9 @@ Scale notes
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,15 +134,28 @@ def build_orders(orders: DataFrame, lineitem: DataFrame, customer: DataFrame,
     return out.withColumn("Date", F.to_date("ReceivedAt"))
 
 
-def orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical order DataFrame over the driver tables in ``sf_dir``."""
-    return build_orders(
-        read_table(spark, sf_dir, "orders"),
-        read_table(spark, sf_dir, "lineitem"),
-        read_table(spark, sf_dir, "customer"),
-        read_table(spark, sf_dir, "part"),
-        read_table(spark, sf_dir, "nation"),
-    )
+def orders_view(spark: SparkSession, sf_dir: str, days: Sequence[dt.date | None] | None = None) -> DataFrame:
+    """Canonical order DataFrame over the driver tables in ``sf_dir``, of all days or of ``days`` alone (None: rows without a date).
+
+    For chosen days the orders are filtered at the scan and only their lines
+    are aggregated, so the work goes with those days."""
+    orders, lineitem = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
+    if days is not None:
+        on = F.to_date("o_orderdate")
+        dated = sorted(d for d in days if d is not None)
+        # An order's time lies within a day of its date: the scan may skip all else.
+        near = F.lit(False)
+        if dated:
+            near = F.col("o_orderdate").between(F.lit(dated[0] - dt.timedelta(days=1)).cast(orders.schema["o_orderdate"].dataType),
+                                                F.lit(dated[-1] + dt.timedelta(days=1)).cast(orders.schema["o_orderdate"].dataType))
+            near = near & on.isin([d + dt.timedelta(days=k) for d in dated for k in (-1, 0)])
+        orders = orders.where((near | on.isNull()) if None in days else near)
+        lineitem = lineitem.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    out = build_orders(orders, lineitem, read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "part"), read_table(spark, sf_dir, "nation"))
+    if days is None:
+        return out
+    chosen = F.col("Date").isin(dated) if dated else F.lit(False)
+    return out.where((chosen | F.col("Date").isNull()) if None in days else chosen)
 
 
 # DuckDB twin of ``build_orders`` used by the oracle SQL.

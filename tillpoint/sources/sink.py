@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillpoint.sources.daytable import DayTable
+
 
 def replace_by_day(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """A-09 as a query: drop stored rows on every date present in the batch,
@@ -14,50 +16,33 @@ def replace_by_day(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def write_replace_by_day(batch: DataFrame, path: str) -> None:
-    """A-09 / T-03 as a sink: dynamic partition overwrite of the batch's days.
+    """A-09 / T-03 as a plain Parquet sink: dynamic partition overwrite of the batch's days.
 
     Only the ``Date`` partitions present in the batch are replaced.  The batch
     must hold whole days (an export does).  Plain Parquet commits file by
     file: a reader during the write may see a day between its two states.
-    ``write_delivery`` leaves earlier deliveries' files alone instead."""
-    spark = batch.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        # Range on (Date, OrderID): few files per day, and a big day spans tasks.
-        (batch.where(F.col("Date").isNotNull())
-              .repartitionByRange(n, "Date", "OrderID")
-              .write.mode("overwrite").partitionBy("Date").parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-
-
-def write_delivery(batch: DataFrame, path: str) -> None:
-    """T-01 / T-03 as a sink: ``Date=/delivery_id=/delivery_file=`` partitions, one for each landing file and day.
-
-    ``batch`` carries the columns ``delivery_id`` (in order of arrival) and
-    ``delivery_file`` (of the landing file).  A file that is processed again overwrites
-    its own partitions alone, so replays change nothing, and a delivery's
-    files may come in any number of batches."""
-    spark = batch.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (batch.where(F.col("Date").isNotNull()).sortWithinPartitions("Date")
-              .write.mode("overwrite").partitionBy("Date", "delivery_id", "delivery_file").parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-
-
-def read_deliveries(spark, path: str) -> DataFrame:
-    """The table that ``write_delivery`` keeps: of each day the rows of its latest delivery.
-
-    Which delivery holds a day is read from partition values; the table of
-    days has a row a calendar day, so it is broadcast."""
-    table = spark.read.parquet(path)
-    latest = table.groupBy("Date").agg(F.max("delivery_id").alias("delivery_id"))
-    return table.join(F.broadcast(latest), ["Date", "delivery_id"]).drop("delivery_id", "delivery_file")
+    ``publish_days`` changes all days at once."""
+    (batch.where(F.col("Date").isNotNull())
+          .hint("rebalance", F.col("Date")).sortWithinPartitions("Date")
+          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Date").parquet(path))
+
+
+def publish_days(batch: DataFrame, path: str) -> None:
+    """A-09 / T-03: the days of the batch are replaced in the day table at ``path``, all of them in one version.
+
+    Readers see the version before or the one after; a write that fails leaves
+    the one before.  Another writer of one of the days is a ``Conflict``."""
+    DayTable(batch.sparkSession, path).replace_days(batch)
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a day table as of its latest version (whatever wrote it: ``publish_days`` or deliveries)."""
+    return DayTable(spark, path).read().drop("Month")
+
+
+def read_deliveries(spark: SparkSession, path: str) -> DataFrame:
+    """The table that deliveries keep: of each day the rows of its latest whole delivery."""
+    return read_days(spark, path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
