@@ -12,8 +12,9 @@ from tillpoint.plans import frames
 from tillpoint.plans.catalog import register
 from tillpoint.plans.sqlparts import BASE, quantile_sql, with_ctes
 from tillpoint.session import shared_dir
-from tillpoint.sources import landing, sink
-from tillpoint.sources.canonical import ORDER_COLUMNS, ORDERS_SQL
+from tillpoint.sources import changes, landing, sink
+from tillpoint.sources.canonical import ORDER_COLUMNS, ORDERS_SQL, orders_view
+from tillpoint.sources.daytable import DayTable
 
 ORD = [ORDERS_SQL.strip()]
 KEPT = [*BASE, "k AS (SELECT * FROM e WHERE COALESCE(GrossPrice <> Discount, TRUE))"]
@@ -82,6 +83,49 @@ def a09_replace_by_day(spark, sf):
                                       F.sum("Tips").cast("double").alias("tips"))
 
 
+@register("a09_atomic_replace", "A-09", with_ctes(*ORD, """
+bd AS (SELECT DISTINCT Date FROM orders_c ORDER BY Date DESC LIMIT 3),
+n AS (SELECT Date, count(*) AS orders, CAST(SUM(Tips) AS DOUBLE) AS tips FROM orders_c GROUP BY Date)""", final="""
+SELECT Date, orders, tips, tips + CASE WHEN Date IN (SELECT Date FROM bd) THEN orders ELSE 0 END AS tips_after FROM n"""))
+def a09_atomic_replace(spark, sf):
+    """A-09: three days replaced in one version; a reader that holds the version before still sees all of it."""
+    o = frames.orders(spark, sf)
+    days = DayTable(spark, shared_dir(spark, "orders-published"))
+    first = days.replace_days(o)
+    days.replace_days(sync.on_dates(o, [F.lit(d) for d in sync.latest_days(o, 3)]).withColumn("Tips", (F.col("Tips") + 1).cast(T.DecimalType(18, 4))))
+    totals = lambda version, name: days.read(version).groupBy("Date").agg(F.count(F.lit(1)).alias("orders"), F.sum("Tips").cast("double").alias(name))
+    return totals(first, "tips").join(totals(None, "tips_after").drop("orders"), "Date")
+
+
+@register("f16_changed_days_rebuilt", "F-16", with_ctes(*ORD, """
+n AS (SELECT Date, count(*) AS orders, CAST(SUM(Total) AS DOUBLE) AS total FROM orders_c GROUP BY Date),
+cut AS (SELECT max(Date) - 40 AS day FROM orders_c),
+late AS (SELECT Date, count(*) AS orders FROM orders_c, cut WHERE Date = cut.day OR Date = cut.day + 1 GROUP BY Date)""", final="""
+SELECT n.Date, n.orders, n.total, COALESCE(l.orders, 0) AS rewritten FROM n LEFT JOIN late l USING (Date)"""))
+def f16_changed_days_rebuilt(spark, sf):
+    """F-16: the sources lack the lines of one day at first; when a file with them arrives, only that day is written again
+    (and the day after, into which times may reach).  ``rewritten`` counts the rows that the second build wrote."""
+    base = sf.rstrip("/")
+    copy = shared_dir(spark, "sources")
+    read = lambda t: spark.read.parquet(f"{base}/{t}.parquet")
+    day = F.date_sub(F.lit(sync.latest_days(frames.orders(spark, sf), 1)[0]), 40)
+    keys = read("orders").where(F.to_date("o_orderdate") == day).select(F.col("o_orderkey").alias("l_orderkey"))
+    for t in changes.SOURCE_TABLES:
+        rows = read(t).join(keys, "l_orderkey", "left_anti") if t == "lineitem" else read(t)
+        rows.write.parquet(f"{copy}/{t}.parquet")
+    path = shared_dir(spark, "followed")
+    build = lambda days: orders_view(spark, copy, days)
+    changes.follow(spark, copy, path, build)
+    table = DayTable(spark, path, undated=True)
+    first = table.version()
+    read("lineitem").join(keys, "l_orderkey", "left_semi").write.mode("append").parquet(f"{copy}/lineitem.parquet")
+    changes.follow(spark, copy, path, build)
+    known = table.days(first).select("part").distinct()
+    again = table.days().where("live").join(known, "part", "left_anti").select("Date", F.col("rows").alias("rewritten"))
+    n = table.read().groupBy("Date").agg(F.count(F.lit(1)).alias("orders"), F.sum("Total").cast("double").alias("total"))
+    return n.join(again, "Date", "left").select("Date", "orders", "total", F.coalesce("rewritten", F.lit(0)).cast("long").alias("rewritten"))
+
+
 _BRAND_SQL = with_ctes(*KEPT, f"""
 dk AS (SELECT *, Profit_Margin AS CM FROM k WHERE Calculated_Discount > 0)""", final=f"""
 SELECT Brand, count(OrderID) AS Orders, CAST(SUM(calc_discount_vat) AS DOUBLE) / 1.05 AS Total_Discount,

@@ -14,6 +14,7 @@ from tillpoint.operators.enrich import with_essential_columns
 from tillpoint.plans.sqlparts import BASE as BASE_E
 from tillpoint.plans.sqlparts import with_ctes
 from tillpoint.sources import sink
+from tillpoint.sources.daytable import DayTable
 from tillpoint.sources.canonical import ORDERS_SQL
 from tillpoint.streaming import stream as st
 
@@ -34,7 +35,7 @@ def _staged_orders(spark, sf, *columns):
 def _load(spark, sf):
     landing, schema = _staged_orders(spark, sf)
     table = st.scratch(spark, "orders-by-day")
-    q = st.load_incrementally(st.order_stream(spark, landing, schema, files_per_batch=2), table,
+    q = st.load_incrementally(st.order_stream(spark, landing, schema, files_per_batch=4), table,
                               st.scratch(spark, "ckpt-load"))
     q.awaitTermination()
     return table, schema
@@ -57,14 +58,14 @@ merged AS (SELECT * FROM orders_c WHERE Date NOT IN (SELECT Date FROM bd) UNION
 SELECT Date, count(*) AS orders, CAST(SUM(Tips) AS DOUBLE) AS tips FROM merged GROUP BY Date"""))
 def t03_resent_days_replace(spark, sf):
     """After the incremental load, a re-sent delivery of the latest three days
-    arrives late, a file a batch; it replaces exactly those days."""
+    arrives late, a few files a batch; it replaces exactly those days."""
     table, schema = _load(spark, sf)
     o = frames.orders(spark, sf)
     resent = sync.on_dates(o, [F.lit(d) for d in sync.latest_days(o, 3)])
     resent = resent.withColumn("Tips", (F.col("Tips") + 1).cast(T.DecimalType(18, 4)))
     landing2 = st.scratch(spark, "landing-resent")
     st.stage_landing(resent, landing2, "0002", files=4)
-    q = st.load_incrementally(st.order_stream(spark, landing2, schema, files_per_batch=1), table, st.scratch(spark, "ckpt-resent"))
+    q = st.load_incrementally(st.order_stream(spark, landing2, schema, files_per_batch=2), table, st.scratch(spark, "ckpt-resent"))
     q.awaitTermination()
     t = sink.read_deliveries(spark, table)
     return t.groupBy("Date").agg(F.count(F.lit(1)).alias("orders"), F.sum("Tips").cast("double").alias("tips"))
@@ -79,7 +80,32 @@ def _window_query(spark, stream, ts, value, width, name):
 def _staged(spark, df, name, files):
     landing = st.scratch(spark, f"landing-{name}")
     st.stage_landing(df, landing, files=files)
-    return st.order_stream(spark, landing, df.schema, files_per_batch=2)
+    return st.order_stream(spark, landing, df.schema, files_per_batch=4)
+
+
+@register("t03_half_delivery_changes_nothing", ("T-03", "T-01"), with_ctes(*ORD, """
+n AS (SELECT Date, count(*) AS orders, CAST(SUM(Tips) AS DOUBLE) AS tips FROM orders_c GROUP BY Date),
+bd AS (SELECT DISTINCT Date FROM orders_c ORDER BY Date DESC LIMIT 2)""", final="""
+SELECT Date, orders, tips, tips + CASE WHEN Date IN (SELECT Date FROM bd) THEN orders ELSE 0 END AS tips_after FROM n"""))
+def t03_half_delivery_changes_nothing(spark, sf):
+    """A re-sent delivery of which a file and the mark are still to come changes no day; once both are there all its days change."""
+    o = frames.orders(spark, sf)
+    days = DayTable(spark, st.scratch(spark, "orders-published"))
+    days.replace_days(o)
+    resent = sync.on_dates(o, [F.lit(d) for d in sync.latest_days(o, 2)]).withColumn("Tips", (F.col("Tips") + 1).cast(T.DecimalType(18, 4)))
+    landing, ckpt = st.scratch(spark, "landing-half"), st.scratch(spark, "ckpt-half")
+    on_time = F.col("UniqueOrderID") % 2 == 0
+
+    def arrive(rows, name):
+        rows.write.parquet(f"{landing}/delivery-0002/{name}")
+        st.load_incrementally(st.order_stream(spark, landing, o.schema), days.path, ckpt).awaitTermination()
+    arrive(resent.where(on_time), "a")
+    totals = lambda name: days.read().groupBy("Date").agg(F.count(F.lit(1)).alias("orders"), F.sum("Tips").cast("double").alias(name))
+    half = totals("tips")
+    arrive(resent.where(~on_time), "b")
+    st.mark_complete(spark, f"{landing}/delivery-0002", o.schema)
+    st.settle(spark, landing, days.path, o.schema)
+    return half.join(totals("tips_after").drop("orders"), "Date")
 
 
 @register("t02_hourly_event_totals", "T-02", """
@@ -107,7 +133,7 @@ SELECT max(ReceivedAt) AS latest_received, count(*) AS rows_seen FROM orders_c""
 def t04_running_freshness(spark, sf):
     landing, schema = _staged_orders(spark, sf, "ReceivedAt")
     table = st.scratch(spark, "freshness")
-    agg = st.freshness_stream(st.order_stream(spark, landing, schema, files_per_batch=2))
+    agg = st.freshness_stream(st.order_stream(spark, landing, schema, files_per_batch=4))
     st.run_to_table(agg, table, st.scratch(spark, "ckpt-fresh")).awaitTermination()
     return st.read_totals(spark, table, []).select("latest_received", "rows_seen")
 
@@ -121,6 +147,6 @@ def t02_hourly_net_sale(spark, sf):
     the stream-static broadcast join to the code lookup) are applied in the
     stream, and the exact VAT-inclusive base is summed per window."""
     landing, schema = _staged_orders(spark, sf)
-    s = with_essential_columns(st.order_stream(spark, landing, schema, files_per_batch=2))
+    s = with_essential_columns(st.order_stream(spark, landing, schema, files_per_batch=4))
     r = _window_query(spark, s, "ReceivedAt", "net_sale_vat", "1 hour", "orders-hourly")
     return r.select("window_start", "events", (F.col("total").cast("double") / 1.05).alias("total"))

@@ -46,18 +46,28 @@ class DayTable:
 
     # Parts ----------------------------------------------------------------
     def _write_part(self, rows: DataFrame, part: str) -> None:
-        """Rows as files of about the advisory size, whatever their number: Spark cuts large months and joins small ones."""
+        """Rows as files of about the advisory size, whatever their number: Spark cuts large months and joins small ones.
+
+        A batch of a stream (``b-``) is small and lies in one folder, in order of the day; else a part has a folder a month."""
         rows = (rows if self.undated else rows.where(F.col("Date").isNotNull())).withColumn("Month", F.date_format("Date", "yyyy-MM"))
-        (rows.hint("rebalance", F.col("delivery_id"), F.col("Month")).sortWithinPartitions("delivery_id", "Month", "Date")
-             .write.mode("overwrite").partitionBy("delivery_id", "Month").parquet(f"{self.path}/data/part={part}"))
+        flat = part.startswith("b-")
+        dealt = rows.hint("rebalance") if flat else rows.hint("rebalance", F.col("Month"))
+        by = ["delivery_id"] if flat else ["delivery_id", "Month"]
+        dealt.sortWithinPartitions(*by, "Date").write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/data/part={part}")
 
     def _days_of(self, part: str, schema: T.StructType) -> DataFrame:
         rows = self._scan([f"{self.path}/data/part={part}"], schema)
         return rows.groupBy("part", "delivery_id", "Date").agg(F.count(F.lit(1)).alias("rows")).withColumn("live", F.lit(True))
 
     def _scan(self, folders: Sequence[str], schema: T.StructType) -> DataFrame:
-        """Rows of part folders with ``part``, ``delivery_id`` and ``Month`` as partition columns."""
-        return self.spark.read.schema(_scan_schema(schema)).option("basePath", f"{self.path}/data").parquet(*folders)
+        """Rows of part folders with ``part``, ``delivery_id`` and ``Month``."""
+        batches = [f for f in folders if f.removeprefix(f"{self.path}/data/part=").startswith("b-")]
+        out = None
+        for some in (batches, [f for f in folders if f not in set(batches)]):
+            if some:
+                rows = self.spark.read.schema(_scan_schema(schema)).option("basePath", f"{self.path}/data").parquet(*some)
+                out = rows if out is None else out.unionByName(rows)
+        return out if out is not None else self.spark.createDataFrame([], _scan_schema(schema))
 
     # Reading --------------------------------------------------------------
     def version(self) -> Version | None:
@@ -87,7 +97,7 @@ class DayTable:
         units = listed.groupBy("part", "delivery_id").agg(F.bool_and("live").alias("whole"), F.bool_or("live").alias("any")).where("any").collect()
         where = lambda u: f"{self.path}/data/part={u['part']}/delivery_id={u['delivery_id']}"
         whole, mixed = [where(u) for u in units if u["whole"]], [where(u) for u in units if not u["whole"]]
-        out = self._scan(whole, schema) if whole else self.spark.createDataFrame([], _scan_schema(schema))
+        out = self._scan(whole, schema)
         if mixed:
             dead = listed.where(~F.col("live")).select("part", "delivery_id", _day())
             small = dead.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -160,7 +170,7 @@ class DayTable:
             return
         if have:
             batch = batch.where(F.struct("delivery_id", "delivery_file").isin([F.struct(F.lit(d).alias("delivery_id"), F.lit(f).alias("delivery_file")) for d, f in todo]))
-        part = uuid.uuid5(uuid.NAMESPACE_URL, repr(todo)).hex[:16]
+        part = "b-" + uuid.uuid5(uuid.NAMESPACE_URL, repr(todo)).hex[:16]
         self._write_part(batch, part)
         record = batch.groupBy("delivery_id", "delivery_file", "Date").agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit(part))
         # One file a delivery and batch: the record is there whole or not at all.

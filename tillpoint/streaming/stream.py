@@ -134,8 +134,9 @@ def stage_landing(df: DataFrame, landing: str, delivery: str = "0001", files: in
 
 def mark_complete(spark: SparkSession, folder: str, schema: StructType) -> None:
     """The mark of a delivery whose files are all there: each file with the number of its rows."""
-    rows = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder)
-    rows = rows.groupBy(F.col("_metadata.file_name").alias("delivery_file")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(folder)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/delivery-[A-Za-z0-9._-]+/(.+)$", 1)
+    rows = rows.groupBy(name.alias("delivery_file")).agg(F.count(F.lit(1)).alias("rows"))
     rows.coalesce(1).write.mode("overwrite").json(f"{folder}/complete.json")
 
 
