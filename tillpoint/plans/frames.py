@@ -17,12 +17,13 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillpoint.operators import sync
+from tillpoint.operators import daily, sync
 from tillpoint.operators.enrich import with_essential_columns, with_extended_columns
 from tillpoint.session import shared_dir
 from tillpoint.sources import changes
 from tillpoint.sources.canonical import ORDER_COLUMNS, orders_view
 from tillpoint.sources.daytable import DayTable
+from tillpoint.sources.snapshots import Snapshots
 
 _TABLES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 _LOCK = threading.RLock()
@@ -66,6 +67,45 @@ def essential(spark: SparkSession, sf_dir: str) -> DataFrame:
                        lambda days: with_essential_columns(orders_view(spark, sf_dir, days)))
 
 
+def _by_day(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A day table made of the stored orders: ``build(rows)`` is run for the days that differ since it was last made."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    with _LOCK:
+        hit = _TABLES.get(key)
+        if hit is None:
+            rows = essential(spark, sf_dir)
+            source = DayTable(spark, _TABLES[(key[0], sf_dir, "orders_essential")][0], undated=True)
+            now = source.version()
+            path = f"{source.path}-{name}"
+            table = DayTable(spark, path, undated=True)
+            had = table.version()
+            if had is None:
+                table.replace_days(build(rows), whole=True, info={"of": now.number})
+            elif had.info["of"] != now.number:
+                marks = [source.log.read(v, "fingerprints") for v in (source.log.version(had.info["of"]), now)]
+                days = changes.days_that_differ(*marks)
+                table.replace_days(build(changes.on_days(rows, days)), also=days, info={"of": now.number})
+            hit = _TABLES[key] = (path, table.read())
+    return hit[1]
+
+
+def daily_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily cells of the orders (``operators.daily``), without fully discounted ones."""
+    return _by_day(spark, sf_dir, "cells", lambda rows: daily.cells(sync.drop_fully_discounted(rows)))
+
+
+def customer_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by day as bitmaps; the numbering of customers is a table of its own, in versions."""
+    def build(rows: DataFrame) -> DataFrame:
+        kept_rows = sync.drop_fully_discounted(rows)
+        log = Snapshots(spark, f"{_TABLES[(spark.sparkContext.applicationId, sf_dir, 'orders_essential')][0]}-customers")
+        last = log.latest()
+        known = log.read(last) if last else None
+        last = log.commit(last, {"rows": daily.customer_numbers(kept_rows, known)}, {})
+        return daily.customer_bitmaps(kept_rows, log.read(last))
+    return _by_day(spark, sf_dir, "bitmaps", build)
+
+
 _DERIVED: dict[tuple[str, str, str], DataFrame] = {}
 
 

@@ -57,6 +57,15 @@ def days_that_differ(old: DataFrame, new: DataFrame) -> Days:
     return [r[0] for r in both.select("Date").distinct().collect()]
 
 
+def on_days(rows: DataFrame, days: Days) -> DataFrame:
+    """Rows of these days (None: without a date), by month where the table has one."""
+    dated = [d for d in days if d is not None]
+    chosen = F.col("Date").isin(dated) if dated else F.lit(False)
+    if dated and "Month" in rows.columns:
+        chosen = chosen & F.col("Month").isin(sorted({d.strftime("%Y-%m") for d in dated}))
+    return rows.where((chosen | F.col("Date").isNull()) if None in days else chosen)
+
+
 def _days_of_new_files(spark: SparkSession, sf_dir: str, new: list) -> Days:
     base = sf_dir.rstrip("/")
     o_date = F.to_date("o_orderdate").alias("Date")
