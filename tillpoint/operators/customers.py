@@ -62,7 +62,7 @@ def behaviour_summary(table: DataFrame) -> DataFrame:
     """D-26: repeat rate, new / repeat counts, mean lifetime, largest segment."""
     seg = (table.where(F.col("Segment").isNotNull()).groupBy("Segment").agg(F.count(F.lit(1)).alias("n"))
                 .agg(F.min_by("Segment", F.struct(-F.col("n"), F.col("Segment"))).alias("s")))
-    largest = lit(fetch(seg, s=F.first("s"))["s"]).cast("string")
+    largest = seg.scalar()
     rep = F.col("Order_Count") > 1
     return table.agg(
         (F.avg(F.when(rep, 1.0).otherwise(0.0)) * 100).alias("Repeat_Rate_Pct"),
@@ -92,9 +92,11 @@ def clv(df: DataFrame, key: str = "CustomerName") -> DataFrame:
 
 
 def with_equal_width_segment(t: DataFrame, value: str, labels: Sequence[str], out: str) -> DataFrame:
-    """F-05 on a per-customer table: equal-width bins over [min, max]."""
-    p = fetch(t, lo=F.min(value), hi=F.max(value))
-    b = equal_width_bin(value, lit(p["lo"]).cast("double"), lit(p["hi"]).cast("double"), len(labels))
+    """F-05 on a per-customer table: equal-width bins over [min, max].
+
+    The bounds are a subquery over the same aggregate, whose exchange Spark runs once for both."""
+    p = t.agg(F.struct(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))).scalar()
+    b = equal_width_bin(value, p["lo"], p["hi"], len(labels))
     expr = None
     for i, lab in enumerate(labels):
         expr = F.when(b == i + 1, F.lit(lab)) if expr is None else expr.when(b == i + 1, F.lit(lab))

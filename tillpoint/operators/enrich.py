@@ -130,7 +130,8 @@ def with_extended_columns(orders: DataFrame,
           .withColumn("Is_Weekend", F.col("DayOfWeek").isin(WEEKEND_DAYS))
           .withColumn("Time_Period", fixed_bins("Hour", TIME_PERIOD_EDGES, TIME_PERIOD_LABELS,
                                                 include_lowest=True)))
-    q80 = F.lit(exact_quantile(df, "net_sale", HIGH_VALUE_QUANTILE, "q").first()[0]).cast("double")
+    # A scalar subquery: it runs with the query, and only if the column is used.
+    q80 = exact_quantile(df, "net_sale", HIGH_VALUE_QUANTILE, "q").scalar()
     if customer_key in df.columns:
         df = with_customer_stats(df, customer_key)
         df = df.withColumn("Customer_Value_Tier",

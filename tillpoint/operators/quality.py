@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.operators.ranking import grouped_quantiles
@@ -47,10 +47,22 @@ def missing_by_column(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     return agg.select(F.explode(pairs).alias("p")).select("p.column", "p.missing")
 
 
-def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """D-31: rows beyond the first occurrence of an identical row."""
+def row_digest(cols: Sequence[str]) -> Column:
+    """128 bits of a row: two 64-bit hashes of every column, nulls told from values."""
+    whole = [F.col(c) for c in cols] + [F.col(c).isNull() for c in cols]
+    return F.struct(F.xxhash64(*whole).alias("a"), F.xxhash64(F.lit(1), *whole).alias("b"))
+
+
+def duplicate_rows(df: DataFrame, cols: Sequence[str] | None = None, digest: Column | None = None) -> DataFrame:
+    """D-31: rows beyond the first occurrence of an identical row.
+
+    Only digests are shuffled for all rows.  Rows whose digest comes once have
+    no duplicate; the others are compared column by column, so rows that share
+    a digest by chance are told apart."""
     cols = list(cols or df.columns)
-    per_row = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    keyed = df.select(*cols).withColumn("_digest", row_digest(cols) if digest is None else digest)
+    often = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_digest")
+    per_row = keyed.join(often, "_digest", "left_semi").groupBy("_digest", *cols).agg(F.count(F.lit(1)).alias("n"))
     return per_row.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 

@@ -62,6 +62,10 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
+#: Stretches that a bracket is cut into; one is counted by itself.
+STRETCHES = 64
+
+
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[tuple[float, str]],
                       accuracy: int = 10000) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per group of ``keys``
@@ -70,13 +74,16 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequen
     ``percentile_approx`` brackets each target rank per group.  One pass then
     counts rows by (group, value): a value inside a bracket stays itself, one
     between brackets joins the bracket edge below it.  A value that most rows
-    share is one row after the map-side count, and the cumulative counts run
-    over the few distinct values inside the brackets, so neither a hot value
-    nor a hot group fills a task.  Groups too small for the sketch's error
-    margin keep all their values.  Rows with a null key are dropped (pandas
-    grouping drops them too); nothing runs before the result is used.
+    share is one row after the map-side count.  Each bracket is cut into
+    ``STRETCHES`` of equal width; prefix sums of their totals (a few rows a
+    group) say in which of them a rank lies, and only these are counted value
+    by value, each stretch by itself.  So of a group with continuous values no
+    task gets more than a small part of a bracket.  Groups too small for the
+    sketch's error margin keep all their values.  Rows with a null key are
+    dropped (pandas grouping drops them too); nothing runs before the result
+    is used.
     """
-    keys = list(keys)
+    keys, ps = list(keys), sorted(ps)
     vals = df.select(*keys, F.col(value).cast("double").alias("_q_v")).where(F.col("_q_v").isNotNull())
     for k in keys:
         vals = vals.where(F.col(k).isNotNull())
@@ -85,27 +92,43 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequen
         vals = vals.withColumn("_q_all", F.lit(0))
     slack = 4.0 / accuracy
     edges = [e for p, _ in ps for e in (max(0.0, p - slack), min(1.0, p + slack))]
-    stats = vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("_q_n"),
+    stats = vals.groupBy(*groups).agg(F.count(F.lit(1)).alias("_q_n"), F.min("_q_v").alias("_q_lo"), F.max("_q_v").alias("_q_hi"),
                                       F.percentile_approx("_q_v", edges, accuracy).alias("_q_e"))
     v, small = F.col("_q_v"), F.col("_q_n") < 4 * accuracy
-    inside, below = small, F.lit(None).cast("double")
+    inside, below, part = small, F.lit(None).cast("double"), F.when(small, F.lit(0))
     for i in range(len(ps)):
         # An edge at either end of the ranks leaves that side open.
-        lo, hi = F.col("_q_e")[2 * i], F.col("_q_e")[2 * i + 1]
-        above = v >= lo if edges[2 * i] > 0 else F.lit(True)
-        inside = inside | (above & (v <= hi) if edges[2 * i + 1] < 1 else above)
+        lo = F.col("_q_e")[2 * i] if edges[2 * i] > 0 else F.col("_q_lo")
+        hi = F.col("_q_e")[2 * i + 1] if edges[2 * i + 1] < 1 else F.col("_q_hi")
+        here = (v >= lo) & (v <= hi)
+        inside = inside | here
         below = F.greatest(below, F.when(hi < v, hi))
+        at = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * STRETCHES), F.lit(STRETCHES - 1))).otherwise(F.lit(0))
+        part = part.when(here, F.lit(1 + i * STRETCHES) + at)
+    # Values between brackets are one row for each bracket below them.
     counted = (vals.join(stats, groups)
-               .select(*groups, "_q_n", F.when(inside, v).otherwise(below).alias("_q_v"), (~inside).alias("_q_gap"))
-               .groupBy(*groups, "_q_v", "_q_gap").agg(F.count(F.lit(1)).alias("_q_c"), F.max("_q_n").alias("_q_n")))
-    upto = Window.partitionBy(*groups).orderBy(F.col("_q_v").asc_nulls_first(), "_q_gap").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_q_upto", F.sum("_q_c").over(upto))
+               .select(*groups, "_q_n", F.when(inside, v).otherwise(below).alias("_q_v"), (~inside).alias("_q_gap"), part.cast("int").alias("_q_p"))
+               .groupBy(*groups, "_q_v", "_q_gap", "_q_p").agg(F.count(F.lit(1)).alias("_q_c"), F.max("_q_n").alias("_q_n")))
+    part_key = F.when(F.col("_q_gap"), F.struct(F.col("_q_v").alias("v"), F.lit(-1).alias("p"))).otherwise(
+        F.struct(F.lit(None).cast("double").alias("v"), F.col("_q_p").alias("p"))).alias("_q_s")
+    counted = counted.withColumn("_q_s", part_key)
+    totals = counted.groupBy(*groups, "_q_s").agg(F.sum("_q_c").alias("_q_t"), F.max("_q_n").alias("_q_n"),
+                                                  F.min(F.struct(F.col("_q_v").isNotNull().alias("some"), F.col("_q_v").alias("v"), F.col("_q_gap").alias("gap"))).alias("_q_at"))
+    before = Window.partitionBy(*groups).orderBy("_q_at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_q_off", F.coalesce(F.sum("_q_t").over(before), F.lit(0)))
+    pos = [(F.col("_q_n") - 1).cast("double") * F.lit(float(p)) for p, _ in ps]
+    ranks = [r for x in pos for r in (F.floor(x) + 1, F.ceil(x) + 1)]
+    wanted = F.lit(False)
+    for r in ranks:
+        wanted = wanted | ((r > F.col("_q_off")) & (r <= F.col("_q_off") + F.col("_q_t")))
+    asked = totals.where(wanted).select(*groups, F.col("_q_s"), "_q_off")
+    upto = Window.partitionBy(*groups, "_q_s").orderBy("_q_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(asked, [*groups, "_q_s"]).withColumn("_q_upto", F.col("_q_off") + F.sum("_q_c").over(upto))
     aggs = []
-    for i, (p, _) in enumerate(ps):
-        pos = (F.col("_q_n") - 1).cast("double") * F.lit(float(p))
-        for rank, name in ((F.floor(pos) + 1, f"_a{i}"), (F.ceil(pos) + 1, f"_b{i}")):
+    for i, x in enumerate(pos):
+        for rank, name in ((F.floor(x) + 1, f"_a{i}"), (F.ceil(x) + 1, f"_b{i}")):
             aggs.append(F.min(F.when(~F.col("_q_gap") & (F.col("_q_upto") >= rank), F.col("_q_v"))).alias(name))
-        aggs.append(F.max(pos - F.floor(pos)).alias(f"_t{i}"))
+        aggs.append(F.max(x - F.floor(x)).alias(f"_t{i}"))
     out = ranked.groupBy(*groups).agg(*aggs)
     return out.select(*keys, *[lerp(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_t{i}")).alias(name)
                                for i, (_, name) in enumerate(ps)])
