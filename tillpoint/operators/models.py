@@ -14,7 +14,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +48,59 @@ def _daily_features(daily: DataFrame) -> DataFrame:
                  .withColumn("orders", F.col("orders").cast("double")))
 
 
+#: A feature whose variance, given the features before it, is below this share of its own is left out: others say it already.
+COLLINEAR = 1e-9
+
+
+def linear_fit(rows: DataFrame, features: list[str], label: str) -> dict[str, float]:
+    """Least squares by the normal equations: ``{feature: coefficient}``, with the intercept under "".
+
+    One aggregate makes the Gram matrix of the centred columns (covariances),
+    whose size the features fix; elimination on the driver solves it.  Features
+    are taken in their order; a constant or collinear one gets 0."""
+    cols = [*features, label]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    row = fetch(rows.where(F.col(label).isNotNull()), **{f"m_{i}": F.avg(c) for i, c in enumerate(cols)},
+                **{f"c_{cols.index(a)}_{cols.index(b)}": F.covar_pop(F.col(b), F.col(a)) for a, b in pairs})
+    n = len(features)
+    at = lambda i, j: row[f"c_{min(i, j)}_{max(i, j)}"] or 0.0
+    m = [[at(i, j) for j in range(n + 1)] for i in range(n)]
+    own = [m[k][k] for k in range(n)]
+    for k in range(n):
+        by = 1 / m[k][k] if m[k][k] > COLLINEAR * own[k] and own[k] > 0 else 0.0
+        pivot = [x * by for x in m[k]]
+        m = [pivot if i == k else [x - r[k] * p for x, p in zip(r, pivot, strict=True)] for i, r in enumerate(m)]
+    beta = {f: m[i][n] for i, f in enumerate(features)}
+    return beta | {"": (row[f"m_{n}"] or 0.0) - sum(b * (row[f"m_{i}"] or 0.0) for i, b in enumerate(beta.values()))}
+
+
+def linear_prediction(fit: dict[str, float]) -> Column:
+    out = F.lit(fit[""])
+    for f, b in fit.items():
+        if f:
+            out = out + F.lit(b) * F.col(f)
+    return out
+
+
+def _future(daily: DataFrame, horizon: int) -> DataFrame:
+    """The ``horizon`` days after the last, with the mean orders and discount."""
+    p = fetch(daily, last=F.max("Date"), orders=F.avg("orders"), discount=F.avg("discount"))
+    days = daily.sparkSession.range(1, horizon + 1).select(F.date_add(F.lit(p["last"].isoformat()).cast("date"), F.col("id").cast("int")).alias("Date"))
+    return _daily_features(days.withColumn("orders", F.lit(float(p["orders"]))).withColumn("discount", F.lit(float(p["discount"]))))
+
+
+def linear_forecast(df: DataFrame, horizon: int = FORECAST_DAYS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """G-06, the linear model alone: (future predictions, coefficients, held-out MAE and R²)."""
+    daily = _daily_features(daily_series(df)).withColumn("in_train", hash_split(F.col("Date").cast("string"), 0.8))
+    fit = linear_fit(daily.where("in_train"), FORECAST_FEATURES, "net_sale")
+    scored = daily.where("not in_train").withColumn("p", linear_prediction(fit))
+    mean = scored.agg(F.avg("net_sale")).scalar()
+    metrics = scored.agg(F.avg(F.abs(F.col("net_sale") - F.col("p"))).alias("mae"),
+                         (F.lit(1.0) - F.sum(F.pow(F.col("net_sale") - F.col("p"), F.lit(2))) / F.sum(F.pow(F.col("net_sale") - mean, F.lit(2)))).alias("r2"))
+    coefficients = df.sparkSession.createDataFrame([(f or "intercept", b) for f, b in fit.items()], "feature string, coefficient double")
+    return _future(daily, horizon).select("Date", linear_prediction(fit).alias("lr_prediction")), coefficients, metrics
+
+
 def forecast(df: DataFrame, horizon: int = FORECAST_DAYS, trees: int = TREES, seed: int = SEED
              ) -> tuple[DataFrame, DataFrame]:
     """G-06: (future predictions, model metrics).
@@ -65,24 +118,16 @@ def forecast(df: DataFrame, horizon: int = FORECAST_DAYS, trees: int = TREES, se
     daily = daily.withColumn("in_train", hash_split(F.col("Date").cast("string"), 0.8))
     train, test = daily.where("in_train"), daily.where("not in_train")
     asm = VectorAssembler(inputCols=FORECAST_FEATURES, outputCol="features")
-    lr = Pipeline(stages=[asm, LinearRegression(featuresCol="features", labelCol="net_sale",
-                                                predictionCol="lr_prediction")]).fit(train)
+    fit = linear_fit(train, FORECAST_FEATURES, "net_sale")
     rf = Pipeline(stages=[asm, RandomForestRegressor(featuresCol="features", labelCol="net_sale",
                                                      predictionCol="rf_prediction", numTrees=trees,
                                                      seed=seed)]).fit(train)
     metrics = []
-    for name, model, col in (("linear_regression", lr, "lr_prediction"), ("random_forest", rf, "rf_prediction")):
-        scored = model.transform(test)
+    for name, scored, col in (("linear_regression", test.withColumn("lr_prediction", linear_prediction(fit)), "lr_prediction"), ("random_forest", rf.transform(test), "rf_prediction")):
         ev = RegressionEvaluator(labelCol="net_sale", predictionCol=col)
         metrics.append((name, float(ev.setMetricName("mae").evaluate(scored)),
                         float(ev.setMetricName("r2").evaluate(scored))))
-    p = fetch(daily, last=F.max("Date"), orders=F.avg("orders"), discount=F.avg("discount"))
-    future = (spark.range(1, horizon + 1)
-                   .select(F.date_add(F.lit(p["last"].isoformat()).cast("date"), F.col("id").cast("int")).alias("Date"))
-                   .withColumn("orders", F.lit(float(p["orders"])))
-                   .withColumn("discount", F.lit(float(p["discount"]))))
-    future = _daily_features(future)
-    scored = rf.transform(lr.transform(future).drop("features"))
+    scored = rf.transform(_future(daily, horizon).withColumn("lr_prediction", linear_prediction(fit)))
     preds = scored.select("Date", "lr_prediction", "rf_prediction")
     return preds, spark.createDataFrame(metrics, "model string, mae double, r2 double")
 

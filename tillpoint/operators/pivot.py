@@ -94,9 +94,28 @@ def pivot_long(table: DataFrame, dim: str = "Channel") -> DataFrame:
     return prev.unionByName(latest)
 
 
-def pivot_wide(cells: DataFrame, dim: str, dates: list, value: str) -> DataFrame:
-    """Wide pivot with an explicit date list (no extra distinct job); 0 fill."""
-    return cells.groupBy(dim).pivot("Date", dates).agg(F.first(value)).fillna(0)
+#: Columns that a wide table may have.
+MOST_COLUMNS = 1000
+
+
+def wide_matrix(cells: DataFrame, rows: Sequence[str], cols: Sequence[str], value: str = "value", most: int = MOST_COLUMNS) -> DataFrame:
+    """P-04 / P-11 as a wide table: a row for each ``rows`` value, a column for each ``cols`` value, missing cells 0.
+
+    ``cells`` is in long form, a row a cell (``general_pivot``, margins and
+    all).  The column labels are looked up first, at most ``most`` of them (more is
+    an error, as no one could read them); with the labels known the pivot
+    is one aggregate.  Several ``cols`` are joined by " | "; ``Total`` columns come last."""
+    label = F.concat_ws(" | ", *[F.col(c).cast("string") for c in cols])
+    cells = cells.withColumn("_label", label)
+    found = [r[0] for r in cells.select("_label").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} columns: choose other column dimensions")
+    if {*found} & {*rows}:
+        raise ValueError(f"a column would be called as a row dimension: {sorted({*found} & {*rows})}")
+    found.sort(key=lambda x: (x.split(" | ").count(TOTAL_LABEL), x))
+    if not found:
+        return cells.select(*rows).distinct()
+    return cells.groupBy(*rows).pivot("_label", found).agg(F.first(value)).fillna(0, found)
 
 
 def channel_date_cells(df: DataFrame, dim: str = "Channel") -> DataFrame:

@@ -23,6 +23,58 @@ def g06_forecast_metrics(spark, sf):
     return metrics
 
 
+_X = ["date_ordinal", "day_of_week", "month", "orders", "discount"]
+
+
+def _linear_sql(final: str) -> str:
+    """The normal equations in SQL: covariances of the training days, eliminated feature by feature."""
+    cols, n = [*_X, "net_sale"], len(_X)
+    moments = ", ".join([f"avg({c}) AS m_{i}" for i, c in enumerate(cols)] + [f"covar_pop({cols[j]}, {cols[i]}) AS a_{i}_{j}" for i in range(n) for j in range(n + 1)] + [f"var_pop({c}) AS v_{i}" for i, c in enumerate(_X)])
+    keep = ", ".join([f"m_{i}" for i in range(n + 1)] + [f"v_{i}" for i in range(n)])
+    ctes = ["""
+ds AS (SELECT Date, CAST(SUM(net_sale_vat) AS DOUBLE) / 1.05 AS net_sale, CAST(count(OrderID) AS DOUBLE) AS orders, CAST(SUM(calc_discount_vat) AS DOUBLE) / 1.05 AS discount
+       FROM e WHERE Date IS NOT NULL GROUP BY Date)""", """
+df AS (SELECT *, CAST(date_diff('day', DATE '1970-01-01', Date) + 719163 AS DOUBLE) AS date_ordinal, CAST(isodow(Date) - 1 AS DOUBLE) AS day_of_week, CAST(month(Date) AS DOUBLE) AS month,
+              substr(md5(CAST(Date AS VARCHAR)), 1, 2) < 'cd' AS in_train FROM ds)""", f"s0 AS (SELECT {moments} FROM df WHERE in_train)"]
+    for k in range(n):
+        by = f"CASE WHEN a_{k}_{k} > 1e-9 * v_{k} AND v_{k} > 0 THEN 1 / a_{k}_{k} ELSE 0 END"
+        cells = [f"a_{k}_{j} * d AS a_{k}_{j}" if i == k else f"a_{i}_{j} - a_{i}_{k} * (a_{k}_{j} * d) AS a_{i}_{j}" for i in range(n) for j in range(n + 1)]
+        ctes += [f"d{k} AS (SELECT *, {by} AS d FROM s{k})", f"s{k + 1} AS (SELECT {keep}, {', '.join(cells)} FROM d{k})"]
+    beta = ", ".join(f"a_{i}_{n} AS b_{i}" for i in range(n))
+    ctes.append(f"fit AS (SELECT {beta}, m_{n} - ({' + '.join(f'a_{i}_{n} * m_{i}' for i in range(n))}) AS b FROM s{n})")
+    return with_ctes(*BASE, *ctes, final=final)
+
+
+_PREDICTED = "b + " + " + ".join(f"b_{i} * {c}" for i, c in enumerate(_X))
+
+
+def _linear(spark, sf):
+    return frames.fitted(spark, sf, "linear", lambda: models.linear_forecast(frames.essential(spark, sf)))
+
+
+@register("g06_linear_forecast", "G-06", _linear_sql(f"""
+SELECT Date, round({_PREDICTED}, 2) AS lr_prediction FROM fit, (
+  SELECT Date, orders, discount, CAST(date_diff('day', DATE '1970-01-01', Date) + 719163 AS DOUBLE) AS date_ordinal, CAST(isodow(Date) - 1 AS DOUBLE) AS day_of_week, CAST(month(Date) AS DOUBLE) AS month
+  FROM (SELECT CAST(max(Date) + CAST(unnest(range(1, 31)) AS INTEGER) AS DATE) AS Date, avg(orders) AS orders, avg(discount) AS discount FROM df))"""))
+def g06_linear_forecast(spark, sf):
+    """The next 30 days from the linear model, to the cent."""
+    return _linear(spark, sf)[0].select("Date", F.round("lr_prediction", 2).alias("lr_prediction"))
+
+
+@register("g06_linear_coefficients", "G-06", _linear_sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(b_{i}, 4) AS coefficient FROM fit" for i, c in enumerate(_X))))
+def g06_linear_coefficients(spark, sf):
+    """The linear model's coefficients."""
+    return _linear(spark, sf)[1].where("feature <> 'intercept'").select("feature", F.round("coefficient", 4).alias("coefficient"))
+
+
+@register("g06_linear_metrics", "G-06", _linear_sql(f"""
+SELECT round(avg(abs(net_sale - p)), 4) AS mae, round(1 - sum((net_sale - p) ** 2) / sum((net_sale - mean) ** 2), 8) AS r2
+FROM (SELECT net_sale, {_PREDICTED} AS p, avg(net_sale) OVER () AS mean FROM df, fit WHERE NOT in_train)"""))
+def g06_linear_metrics(spark, sf):
+    """MAE and R² of the linear model on the days it did not see."""
+    return _linear(spark, sf)[2].select(F.round("mae", 4).alias("mae"), F.round("r2", 8).alias("r2"))
+
+
 @register("g06_split_days", "G-06", with_ctes(*BASE, final="""
 SELECT Date, substr(md5(CAST(Date AS VARCHAR)), 1, 2) < 'cd' AS in_train FROM e WHERE Date IS NOT NULL GROUP BY Date"""))
 def g06_split_days(spark, sf):

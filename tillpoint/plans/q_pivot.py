@@ -267,3 +267,36 @@ FROM k WHERE Channel IS NOT NULL AND Date IS NOT NULL GROUP BY Channel, Date""")
 def p11_heatmap_cells(spark, sf):
     """P-11 over every date: the Channel × Date matrix without totals."""
     return pivot.channel_date_cells(frames.kept(spark, sf), "Channel")
+
+
+#: The channels and weekdays that the driver tables hold; SQL must name its columns.
+_CHANNELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+
+
+def _wide_sql(row: str, col: str, labels: list[str], how: str, margins: bool) -> str:
+    """Conditional aggregates over the orders, with the margins as further columns and a further row."""
+    agg = {"sum": f"SUM(CASE WHEN {{}} THEN {VALUE} END)", "mean": f"AVG(CASE WHEN {{}} THEN {VALUE} END)"}[how]
+    cells = [f"COALESCE({agg.format(f'{col} = {chr(39)}{x}{chr(39)}')}, 0) AS \"{x}\"" for x in labels] + ([f"COALESCE({agg.format('TRUE')}, 0) AS \"Total\""] if margins else [])
+    src = f"FROM k WHERE {row} IS NOT NULL AND {col} IS NOT NULL"
+    one = f"SELECT {row}, {', '.join(cells)} {src} GROUP BY {row}"
+    return f"{one} UNION ALL SELECT 'Total', {', '.join(cells)} {src}" if margins else one
+
+
+VALUE = "net_sale"
+
+for _how in ("sum", "mean"):
+    def _mk_wide(how):
+        def q(spark, sf):
+            long = pivot.general_pivot(frames.kept(spark, sf), ["Brand"], ["Channel"], "net_sale", how)
+            return pivot.wide_matrix(long, ["Brand"], ["Channel"])
+        q.__doc__ = f"P-04 as the wide table ({how}): brands by channels, with totals, missing cells 0."
+        return q
+    register(f"p04_wide_pivot_{_how}", "P-04", with_ctes(*KEPT, final=_wide_sql("Brand", "Channel", _CHANNELS, _how, True)))(_mk_wide(_how))
+
+
+@register("p11_heatmap_matrix", "P-11", with_ctes(*KEPT, final=_wide_sql("Channel", "DayOfWeek", _WEEKDAYS, "sum", False)))
+def p11_heatmap_matrix(spark, sf):
+    """P-11: the heatmap as a matrix without totals, channels by weekdays."""
+    k = frames.kept(spark, sf).where(F.col("Channel").isNotNull() & F.col("DayOfWeek").isNotNull())
+    return pivot.wide_matrix(k.groupBy("Channel", "DayOfWeek").agg(F.sum("net_sale").alias("value")), ["Channel"], ["DayOfWeek"])
