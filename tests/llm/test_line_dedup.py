@@ -20,8 +20,9 @@ def one_edit(a, b):
 
 def brute(rows):
     lines = [(d, i, s) for d, t, *_ in rows if d is not None for i, raw in enumerate((t or "").split("\n")) if t is not None
-             and len(s := raw.strip(line_dedup.SPACE)) >= line_dedup.MIN_CHARS]
-    gone = {(d, i) for d, i, s in lines if any((e, j) < (d, i) and (s == u or one_edit(s, u)) for e, j, u in lines)}
+             and (s := raw.strip(line_dedup.SPACE))]
+    near = lambda s, u: min(len(s), len(u)) >= line_dedup.MIN_CHARS and one_edit(s, u)
+    gone = {(d, i) for d, i, s in lines if any((e, j) < (d, i) and (s == u or near(s, u)) for e, j, u in lines)}
     out = []
     for d, t, *_ in rows:
         raw = None if t is None else t.split("\n")
@@ -70,3 +71,18 @@ def test_clashing_columns_stay(spark):
     df = docs(spark, [(1, "some long line"), (2, "some long line")], extra=True)
     out = line_dedup.dedup_lines(df, n_lines="had", n_removed="lost")
     assert out.columns == [*df.columns, "had", "lost"] and {r.line for r in out.collect()} == {"clash"}
+
+
+def test_equal_lines_of_any_length_go(spark):
+    rows = [(1, "}\nLes.\n\n  \n}"), (2, "Les.\nLe.\n\n\t}"), (3, "Les\n語\nnew"), (4, "語 \n語言")]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows)[1] == (2, "Le.\n", 4, 2) and run(spark, rows)[3] == (4, "語言", 2, 1)
+
+
+def test_edits_in_every_segment_and_at_their_edges(spark):
+    line = "".join(random.Random(3).choices(string.ascii_lowercase, k=41))
+    rows = []
+    for k in range(41):
+        rows += [(10 * k, f"{k:02d}" + line), (10 * k + 1, f"{k:02d}" + line[:k] + "#" + line[k + 1:]), (10 * k + 2, f"{k:02d}" + line[:k] + "#" + line[k:]),
+                 (10 * k + 3, f"{k:02d}" + line[:k] + line[k + 1:]), (10 * k + 4, f"{k:02d}" + line[:k] + "##" + line[k:])]
+    assert run(spark, rows) == brute(rows)

@@ -1,20 +1,25 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Two lines are near copies if one edit (a code point inserted, deleted or
-replaced) at most turns one into the other.  Every line's variants are the line
-itself and the line without one code point.  Equal variants join: a line that
-is another one's variant is one insertion away, and two lines whose variants
-without the same position are equal are one replacement away.  Of the lines
-that share a variant only the earliest matters, so the join is a minimum by
-hashed key and no pairs within a group are made.  Found pairs are verified on
-the lines themselves.
-
-Variants are only made for lines that can have a near copy: one edit leaves
-the first or the second half of a line whole, so such a line shares the hash of
-a half with another line.
+replaced) at most turns one into the other.  A line's variants are the line
+without one code point, and the line itself as what a longer one may become.
+Equal variants join: a line that is another one's variant is one insertion away,
+and two lines whose variants without the same position are equal are one
+replacement away.  Of the lines that share a variant only the earliest matters,
+so the join is a minimum by hashed key and no pairs within a group are made.
+Found pairs are verified on the lines themselves.
+
+Variants are only made where a near copy can be.  Cut both lines of a pair, from
+either end, at fixed shares of the longer one's length: one edit leaves all
+segments but one as they are.  So a line first shares the hash of a half with
+another line; of those, it shares what is left around one of eight segments.
+Only within that segment are code points deleted.  In every group of shared
+hashes one line at least has the group's length: two shorter ones meet
+elsewhere.
 
 A line is removed if an earlier line (by document id, then line number) is
 equal or one edit away.  Lines are judged on the input, not on what is left.
+Equal lines of any length go, lines of white space alone never.
 """
 
 from __future__ import annotations
@@ -31,34 +36,45 @@ from tillpoint.llm.textscan import mix, powers
 
 #: ASCII white space but the line end.
 SPACE = " \t\r\x0b\x0c"
-#: Lines with fewer code points are never removed: one edit makes another word of them.
+#: Lines with fewer code points have no near copies, only equal ones: one edit makes another word of them.
 MIN_CHARS = 8
+#: Segments of a line; no more than ``MIN_CHARS``, so that none is empty.
+SEGMENTS = 8
 _STEP = 0x9E3779B97F4A7C15
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(lh, doc, line, text)`` to ``(key, pos, lh, doc, line)``: the line itself at position -1, then each deletion."""
+    """``(lh, doc, line, text, segments)`` to ``(key, pos, lh, doc, line)``: within each segment the deletions, or (position -1) the
+    segment as it is, as a longer line may become by a deletion."""
     names = ["key", "pos", "lh", "doc", "line"]
 
     def made(parts: list[tuple]) -> pa.RecordBatch:
-        keys = np.concatenate([p[0] for p in parts])
         per = [len(p[0]) for p in parts]
         return pa.RecordBatch.from_arrays([
-            pa.array(keys.view(np.int64)), pa.array(np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in per])),
-            *(pa.array(np.repeat(np.array([p[c] for p in parts], np.int64), per)) for c in (1, 2, 3))], names)
+            pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)), pa.array(np.concatenate([p[1] for p in parts])),
+            *(pa.array(np.repeat(np.array([p[c] for p in parts], np.int64), per)) for c in (2, 3, 4))], names)
 
     for batch in batches:
         parts, held = [], 0
-        for lh, doc, line, text in zip(*batch.columns, strict=True):
+        for lh, doc, line, text, segments in zip(*batch.columns, strict=True):
             codes = np.frombuffer(text.as_py().encode("utf-32-le"), "<u4").astype(np.uint64)
-            n, pw = len(codes), powers(_STEP, len(codes) + 1)
             each = mix((codes + np.uint64(1)) * np.uint64(_STEP))
-            left = np.concatenate([[np.uint64(0)], np.cumsum(each * pw[:n])])
-            # Behind a deleted code point every other one stands one place to the left.
-            right = np.concatenate([[np.uint64(0)], np.cumsum(each[1:] * pw[:n - 1])])
-            keys = mix(np.concatenate([left[n:], left[:n] + (right[n - 1] - right)]))
-            parts.append((keys, lh.as_py(), doc.as_py(), line.as_py()))
-            held += n
+            for seg in segments.as_py():
+                more, at = divmod(seg["at"], SEGMENTS)
+                m = len(codes) + more
+                mid = each[m * at // SEGMENTS:len(codes) - (m - m * (at + 1) // SEGMENTS)]
+                n, pw = len(mid), powers(_STEP, len(mid) + 1)
+                left = np.concatenate([[np.uint64(0)], np.cumsum(mid * pw[:n])])
+                if more:
+                    keys, pos = left[n:], np.array([-1], np.int32)
+                else:
+                    # Behind a deleted code point every other one stands one place to the left.
+                    right = np.concatenate([[np.uint64(0)], np.cumsum(mid[1:] * pw[:n - 1])])
+                    keys, pos = left[:n] + (right[n - 1] - right), np.arange(n, dtype=np.int32)
+                # Every segment has a key of its own, so only variants within the same rest meet.
+                keys = mix(mix(keys) ^ np.uint64(seg["key"] % (1 << 64)))
+                parts.append((keys, pos, lh.as_py(), doc.as_py(), line.as_py()))
+                held += len(keys)
             if held > 1 << 17:
                 yield made(parts)
                 parts, held = [], 0
@@ -70,31 +86,42 @@ def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(doc, line, text, lh)``: every line that can be removed, without white space at its ends."""
     lines = docs.select(F.col(doc_id).cast("long").alias("doc"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line", "raw"))
     lines = lines.select("doc", F.col("line").cast("long").alias("line"), F.btrim("raw", F.lit(SPACE)).alias("line_text"))
-    return lines.filter((F.length("line_text") >= MIN_CHARS) & F.col("doc").isNotNull()).withColumn("lh", F.xxhash64("line_text"))
+    return lines.filter((F.length("line_text") > 0) & F.col("doc").isNotNull()).withColumn("lh", F.xxhash64("line_text"))
 
 
-def _halves(line: Column) -> Column:
-    """Hashes of a half that stays whole when one edit makes a line of ``m`` code points, or turns one of ``m`` into it."""
+def _around(line: Column, segments: int) -> Column:
+    """Hashes of a line but one segment: first for cuts at shares of its own length, then of a line one code point longer."""
     keys = []
     for more in (0, 1):
         m = F.length(line) + more
-        half = F.floor(m / 2).cast("int")
-        keys.append(F.xxhash64(m, F.lit("first"), F.substr(line, F.lit(1), half)))
-        keys.append(F.xxhash64(m, F.lit("second"), F.right(line, m - half)))
+        for at in range(segments):
+            begin, end = (F.floor(m * k / segments).cast("int") for k in (at, at + 1))
+            keys.append(F.xxhash64(m, F.lit(at), F.substr(line, F.lit(1), begin), F.right(line, m - end)))
     return F.array(*keys)
 
 
+def _shared(rows: DataFrame, segments: int, name: str) -> DataFrame:
+    """The ``key`` values that two different lines (``lh``) have, one of them at its own length."""
+    own = F.max(F.col("at") < segments).alias("own")
+    return store(rows.groupBy("key").agg(F.min("lh").alias("a"), F.max("lh").alias("b"), own).filter("a <> b and own").select("key"), name)
+
+
 def near_earlier(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """Lines (``lh``) of ``distinct(lh, doc, line)`` with an earlier one that is one edit away."""
-    halves = lines.select("lh", F.explode(_halves(F.col("line_text"))).alias("half"))
-    shared = store(halves.groupBy("half").agg(F.min("lh").alias("a"), F.max("lh").alias("b")).filter("a <> b").select("half"), "shared-halves")
-    near = halves.join(size_checked(shared, 1_000_000), "half", "left_semi").select("lh").distinct()
+    lines = lines.filter(F.length("line_text") >= MIN_CHARS)
+    halves = lines.select("lh", F.posexplode(_around(F.col("line_text"), 2)).alias("at", "key"))
+    shared = _shared(halves, 2, "shared-halves")
+    near = halves.join(size_checked(shared, 1_000_000), "key", "left_semi").select("lh").distinct()
     near = store(near.join(distinct, "lh"), "near-lines")
     texts = lines.select(F.col("lh").alias("h"), F.col("doc").alias("d"), F.col("line").alias("l"), "line_text")
     hit = (F.col("lh") == F.col("h")) & (F.col("doc") == F.col("d")) & (F.col("line") == F.col("l"))
     texts = texts.join(size_checked(near, 1_000_000), hit).select("lh", "doc", "line", "line_text")
     texts = store(texts.dropDuplicates(["lh"]), "near-texts")
 
+    around = texts.select("lh", F.posexplode(_around(F.col("line_text"), SEGMENTS)).alias("at", "key"))
+    shared = _shared(around, SEGMENTS, "shared-segments")
+    segments = around.join(size_checked(shared, 1_000_000), "key", "left_semi").groupBy("lh").agg(F.collect_list(F.struct("at", "key")).alias("segments"))
+    texts = store(texts.join(segments, "lh"), "segment-texts")
     variants = store(texts.mapInArrow(_variants, "key long, pos int, lh long, doc long, line long"), "variants")
     place = F.struct("doc", "line", "lh")
     whole = variants.filter("pos < 0").select("key", F.col("lh").alias("own"), place.alias("own_place"))
@@ -129,7 +156,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_l
     """``docs`` without removed lines in ``text``, and with the numbers of lines it had and lost.
 
     A null text has no lines and stays null; an empty one has one line.  Lines
-    under ``MIN_CHARS`` code points and rows without id keep their text.  Rows
+    under ``MIN_CHARS`` code points go only if they are equal to an earlier
+    one; rows without id keep their text.  Rows
     of one id are one document: a line that several have at the same number is
     one line.  Other columns stay as they are; none may be called as the two
     new ones.  An empty table gives no rows.

@@ -49,18 +49,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: Lines one edit apart share a half; of such pairs the lines are compared position by position.
+#: Equal lines of any length go.  Lines one edit apart, of 8 code points or more, share a half; of such pairs the lines are compared position by position.
 OP3_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents
 ), t AS (
   SELECT doc_id, line, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS s FROM l
 ), d AS (
-  SELECT s, min(struct_pack(d := doc_id, l := line)) AS first, length(s) AS n FROM t WHERE length(s) >= 8 AND doc_id IS NOT NULL GROUP BY s
+  SELECT s, min(struct_pack(d := doc_id, l := line)) AS first, length(s) AS n FROM t WHERE length(s) >= 1 AND doc_id IS NOT NULL GROUP BY s
 ), k AS (
   SELECT s, n, first, m, half FROM (
     SELECT s, n, first, n + more AS m, unnest([substr(s, 1, (n + more) // 2), substr(s, n - (n + more - (n + more) // 2) + 1)]) AS half
-    FROM d, (SELECT unnest([0, 1]) AS more))
+    FROM d, (SELECT unnest([0, 1]) AS more) WHERE n >= 8)
 ), p AS (
   SELECT DISTINCT b.s AS s, a.s AS kept, b.n AS n, a.n AS kept_n
   FROM k a JOIN k b ON a.half = b.half AND a.m = b.m AND a.s <> b.s AND a.first < b.first AND abs(a.n - b.n) <= 1
