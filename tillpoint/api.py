@@ -19,6 +19,8 @@ from tillpoint.operators import customers as cu
 from tillpoint.operators import discount_perf as dp
 from tillpoint.operators import kpis, models, pivot, quality, sync
 from tillpoint.operators.enrich import with_essential_columns, with_extended_columns
+from tillpoint.plans import frames
+from tillpoint.sources import sink
 from tillpoint.sources.canonical import orders_view
 
 
@@ -59,13 +61,34 @@ class SalesAnalytics:
         return kpis.free_summary(self.frame, dims, metrics, top_n)
 
     # command centre -------------------------------------------------------
-    def synced(self) -> DataFrame:
-        d = sync.drop_fully_discounted(self.frame)
-        prev, latest = sync.default_date_pair(d)
-        return sync.exact_sync(sync.on_dates(d, [prev, latest]))
+    def synced(self, first: str | None = None, second: str | None = None) -> DataFrame:
+        """Orders of two days, cut to the same time of day: two chosen dates, else the latest and the day before."""
+        return frames.command_centre(self.frame, first, second)
+
+    def command_centre(self, dim: str = "Channel", first: str | None = None, second: str | None = None) -> DataFrame:
+        return pivot.two_date_pivot(self.synced(first, second), dim)
+
+    def pivot_insights(self, dim: str = "Channel", first: str | None = None, second: str | None = None) -> DataFrame:
+        return pivot.pivot_insights(self.command_centre(dim, first, second), dim)
+
+    def date_summary(self, dim: str, first: str | None = None, second: str | None = None) -> DataFrame:
+        return pivot.dimension_date_summary(self.synced(first, second), dim)
+
+    def top_bottom(self, dim: str, n: int = 10) -> DataFrame:
+        return pivot.top_bottom(self.date_summary(dim), n)
+
+    def change_counts(self) -> DataFrame:
+        return pivot.change_counts(self.combined_changes())
 
-    def command_centre(self, dim: str = "Channel") -> DataFrame:
-        return pivot.two_date_pivot(self.synced(), dim)
+    def largest_changes(self, kind: str = "declines") -> DataFrame:
+        """The combinations with the largest ``declines`` or ``improvements``, or ``absolute`` changes."""
+        return pivot.largest_changes(self.combined_changes(), kind)
+
+    def period_comparison(self, first: str | None = None, second: str | None = None) -> DataFrame:
+        return kpis.period_comparison(self.frame, first, second)
+
+    def same_day_projection(self) -> DataFrame:
+        return sync.same_day_projection(self.frame)
 
     def combined_changes(self) -> DataFrame:
         return pivot.combined_changes(self.synced())
@@ -79,6 +102,10 @@ class SalesAnalytics:
     def pivot(self, rows: Sequence[str], cols: Sequence[str], value: str, how: str = "sum") -> DataFrame:
         return pivot.general_pivot(sync.drop_fully_discounted(self.frame), rows, cols, value, how)
 
+    def pivot_table(self, rows: Sequence[str], cols: Sequence[str], value: str, how: str = "sum") -> DataFrame:
+        """The pivot as a wide table with totals, missing cells 0."""
+        return pivot.wide_matrix(self.pivot(rows, cols, value, how), rows, cols)
+
     # discounts ------------------------------------------------------------
     def discount_by(self, dims: Sequence[str]) -> DataFrame:
         return dp.cm_breakdown(dp.discounted(sync.drop_fully_discounted(self.frame)), dims)
@@ -89,6 +116,25 @@ class SalesAnalytics:
     def scorecard(self) -> DataFrame:
         return dp.scorecard(self.frame)
 
+    def scorecard_verdicts(self, n: int = 10) -> DataFrame:
+        return dp.scorecard_verdicts(self.scorecard(), n)
+
+    def pair_verdicts(self, n: int = 10) -> DataFrame:
+        return dp.pair_verdicts(self.discount_by(["Brand", "Address"]), n)
+
+    def range_verdicts(self) -> DataFrame:
+        return dp.range_verdicts(self.discount_ranges())
+
+    def deep_dive(self, dims: Sequence[str], n: int | None = None) -> DataFrame:
+        t = dp.deep_dive(self.frame, dims)
+        return dp.top_by_discount(t, dims, n) if n else t
+
+    def code_effectiveness(self) -> DataFrame:
+        return dp.code_effectiveness(self.frame)
+
+    def discount_insights(self) -> DataFrame:
+        return dp.insights(self.frame)
+
     # customers ------------------------------------------------------------
     def customers(self) -> DataFrame:
         return cu.customer_table(sync.drop_fully_discounted(self.frame))
@@ -108,9 +154,32 @@ class SalesAnalytics:
     def value_tiers(self) -> DataFrame:
         return cu.tier_metrics(with_extended_columns(self.orders))
 
+    def tier_actions(self) -> DataFrame:
+        return cu.tier_actions(self.value_tiers())
+
+    # stored tables ----------------------------------------------------------
+    def publish(self, path: str) -> None:
+        """Replace the days of these orders in the day table at ``path``, all in one version."""
+        sink.publish_days(self.orders, path)
+
+    @classmethod
+    def from_days(cls, spark: SparkSession, path: str) -> "SalesAnalytics":
+        """The orders of a day table as of its latest version."""
+        return cls(sink.read_days(spark, path))
+
     # quality --------------------------------------------------------------
     def missing(self) -> DataFrame:
         return quality.missing_by_column(self.orders)
 
+    def profile(self, numeric: Sequence[str] = (), text: Sequence[str] = (), dates: Sequence[str] = ("ReceivedAt", "Date")) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Column profiles of the enriched orders: numeric, text and date columns."""
+        return quality.numeric_profile(self.frame, numeric), quality.categorical_profile(self.frame, text), quality.date_profile(self.frame, dates)
+
+    def duplicates(self) -> DataFrame:
+        return quality.duplicate_rows(self.orders)
+
+    def day_fingerprints(self) -> DataFrame:
+        return quality.day_fingerprints(self.orders)
+
     def freshness(self) -> DataFrame:
         return kpis.freshness(self.frame)

@@ -60,8 +60,8 @@ def cells(orders: DataFrame) -> DataFrame:
 
 def _range(table: DataFrame, dims: Sequence[str], start, end) -> DataFrame:
     name = cube_name(dims)
-    if name not in {cube_name(c) for c in CUBES}:
-        raise ValueError(f"no daily cells by {name}")
+    if name not in {cube_name(c) for c in CUBES} or not set(dims) <= set(DIMENSIONS):
+        raise ValueError(f"no daily cells by {list(dims)}")
     out = table.where(F.col("cube") == name)
     if start is not None:
         first, last = F.lit(start).cast("date"), F.lit(end).cast("date")

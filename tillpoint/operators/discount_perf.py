@@ -72,7 +72,7 @@ def range_table(disc: DataFrame) -> DataFrame:
                   F.count("OrderID").alias("_orders"),
                   calc_discount_sum().alias("_cd"), F.count("calc_discount_vat").alias("_n_cd"),
                   F.sum("CM").alias("_cm"), F.avg("CM").alias("_avg_cm")))
-    labels = F.broadcast(range_labels(disc.sparkSession))
+    labels = range_labels(disc.sparkSession)
     j = labels.join(g, "Discount_Range", "left")
     return j.select(
         "Discount_Range", "Range_Order",
@@ -87,7 +87,7 @@ def range_table(disc: DataFrame) -> DataFrame:
 def range_net_sale(disc: DataFrame) -> DataFrame:
     """D-08: net sale per discount range (every range; empty → 0)."""
     g = disc.where(F.col("Discount_Range").isNotNull()).groupBy("Discount_Range").agg(net_sale_sum().alias("_net"))
-    labels = F.broadcast(range_labels(disc.sparkSession))
+    labels = range_labels(disc.sparkSession)
     return labels.join(g, "Discount_Range", "left").select(
         "Discount_Range", "Range_Order", F.coalesce(F.col("_net"), F.lit(0.0)).alias("net_sale"))
 
@@ -151,7 +151,7 @@ def fine_ranges(df: DataFrame) -> DataFrame:
         F.count("OrderID").alias("_orders"), calc_discount_sum().alias("Total_Discount"),
         (calc_discount_sum() / dbl(F.count("calc_discount_vat"))).alias("Avg_Discount"),
         F.avg(rate).alias("Avg_Discount_Rate"))
-    labels = F.broadcast(range_labels(df.sparkSession))
+    labels = range_labels(df.sparkSession)
     return labels.join(g, "Discount_Range", "left").select(
         "Discount_Range", "Range_Order", F.coalesce(F.col("_orders"), F.lit(0)).cast("long").alias("Orders"),
         "Total_Discount", "Avg_Discount", "Avg_Discount_Rate")
@@ -194,21 +194,23 @@ def deepest_discounts(df: DataFrame, n: int = 10) -> DataFrame:
 def insights(df: DataFrame) -> DataFrame:
     """G-16: top channel / address / brand by total discount with its rate,
     the code with the largest total discount and its uses, and the largest
-    single discount — as (Insight, Item, Value) rows."""
-    rows = []
-    for dim in ("Channel", "Address", "Brand"):
-        t = deep_dive(df, [dim])
-        top = t.orderBy(F.col("Total_Discount").desc(), dim).limit(1)
-        rows.append(top.select(F.lit(f"top_{dim.lower()}").alias("Insight"),
-                               F.col(dim).cast("string").alias("Item"),
-                               F.col("Discount_Rate_Pct").alias("Value")))
-    code = code_effectiveness(df).orderBy(F.col("Total_Discount").desc(), "DiscountCode").limit(1)
-    rows.append(code.select(F.lit("top_code").alias("Insight"), F.col("DiscountCode").alias("Item"),
-                            dbl("Uses").alias("Value")))
-    rows.append(df.agg(F.max("Calculated_Discount").alias("Value"))
-                  .select(F.lit("max_discount").alias("Insight"), F.lit(None).cast("string").alias("Item"),
-                          "Value"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    single discount — as (Insight, Item, Value) rows.
+
+    One scan: the four groupings and the grand total are grouping sets of one
+    aggregate, of which each insight keeps its first row."""
+    dims = {"Channel": "top_channel", "Address": "top_address", "Brand": "top_brand", "DiscountCode": "top_code"}
+    keys = [F.col(d) for d in dims]
+    g = df.groupingSets([[k] for k in keys] + [[]], *keys).agg(
+        calc_discount_sum().alias("cd"), net_sale_sum().alias("net"), F.count("OrderID").alias("n"), F.max("Calculated_Discount").alias("most"),
+        *[F.grouping(d).alias(f"_g_{d}") for d in dims])
+    which = F.lit("max_discount")
+    for d, name in dims.items():
+        which = F.when(F.col(f"_g_{d}") == 0, F.lit(name)).otherwise(which)
+    item = F.coalesce(*[F.col(d).cast("string") for d in dims])
+    value = (F.when(F.col("Insight") == "max_discount", F.col("most")).when(F.col("Insight") == "top_code", dbl("n"))
+              .otherwise(ratio("cd", "net", 100.0)))
+    g = g.withColumn("Insight", which).withColumn("Item", item).withColumn("Value", value)
+    # Groups of a null value are no items.
+    g = g.where((F.col("Insight") == "max_discount") | F.col("Item").isNotNull())
+    first = F.min_by(F.struct("Item", "Value"), F.struct(-F.coalesce("cd", F.lit(float("-inf"))), F.col("Item")))
+    return g.groupBy("Insight").agg(first.alias("f")).select("Insight", "f.Item", "f.Value")

@@ -49,7 +49,7 @@ def _daily_features(daily: DataFrame) -> DataFrame:
 
 
 #: A feature whose variance, given the features before it, is below this share of its own is left out: others say it already.
-COLLINEAR = 1e-9
+COLLINEAR = 1e-7
 
 
 def linear_fit(rows: DataFrame, features: list[str], label: str) -> dict[str, float]:
@@ -67,7 +67,8 @@ def linear_fit(rows: DataFrame, features: list[str], label: str) -> dict[str, fl
     m = [[at(i, j) for j in range(n + 1)] for i in range(n)]
     own = [m[k][k] for k in range(n)]
     for k in range(n):
-        by = 1 / m[k][k] if m[k][k] > COLLINEAR * own[k] and own[k] > 0 else 0.0
+        # A constant's variance is rounding error of its mean.
+        by = 1 / m[k][k] if m[k][k] > COLLINEAR * own[k] and own[k] > 1e-18 * (row[f"m_{k}"] or 0.0) ** 2 else 0.0
         pivot = [x * by for x in m[k]]
         m = [pivot if i == k else [x - r[k] * p for x, p in zip(r, pivot, strict=True)] for i, r in enumerate(m)]
     beta = {f: m[i][n] for i, f in enumerate(features)}

@@ -39,6 +39,18 @@ def categorical_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"), F.max("n").alias("freq"))
 
 
+def date_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """D-29 (dates and times): type, count, unique, first, last, the most frequent (ties: the earliest) and its frequency.
+
+    Counts by value first, so a day that most rows share is one row a task."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("timestamp_ntz").alias("value")) for c in cols])
+    counts = df.select(F.explode(pairs).alias("p")).select("p.column", "p.value").where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    types = F.create_map(*[F.lit(x) for c in cols for x in (c, df.schema[c].dataType.simpleString())])
+    out = counts.groupBy("column").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), F.min("value").alias("first"), F.max("value").alias("last"),
+                                       F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"), F.max("n").alias("freq"))
+    return out.withColumn("dtype", types[F.col("column")])
+
+
 def missing_by_column(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """D-30: null count per column, one aggregate pass, then unpivoted."""
     cols = list(cols or df.columns)

@@ -39,7 +39,7 @@ def register(name: str, ids: tuple[str, ...] | str, sql: str | None = None, note
 
 
 MODULES = ("q_pivot", "q_ingest", "q_metrics", "q_customers", "q_discounts",
-           "q_models", "q_stream", "q_scalars", "q_daily")
+           "q_models", "q_stream", "q_scalars", "q_daily", "q_varied")
 
 
 def load_all() -> dict[str, Query]:

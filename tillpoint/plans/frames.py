@@ -16,6 +16,7 @@ import hashlib
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillpoint.operators import daily, sync
 from tillpoint.operators.enrich import with_essential_columns, with_extended_columns
@@ -55,6 +56,22 @@ def refresh(spark: SparkSession, sf_dir: str) -> None:
                 kept.pop(key)
 
 
+class Varied(str):
+    """A source folder whose orders are reshaped by ``rules`` (column to SQL expression) before anything is derived from them."""
+
+    def __new__(cls, base: str, rules: dict[str, str]):
+        out = super().__new__(cls, f"{base}?varied")  # no handle of the folder itself is this one's
+        out.base, out.rules = str(base), rules
+        return out
+
+
+def _vary(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
+    last = sync.latest_days(rows, 1)
+    early = (F.col("Date") == F.lit(last[0] if last else None).cast("date")) & (F.col("UniqueOrderID") % 2 == 0)
+    return rows.withColumns({c: F.expr(rule) for c, rule in rules.items()}
+                            | {"ReceivedAt": F.timestamp_add("SECOND", F.when(early, 39600).otherwise(43200), F.col("Date").cast("timestamp_ntz"))})
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical order table (the ingested sales table): the canonical columns
     of the stored essential table, so the joins run once per session."""
@@ -63,6 +80,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def essential(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical orders with the B-01 columns (the dashboard's working frame)."""
+    if isinstance(sf_dir, Varied):
+        return _session_frame(spark, sf_dir, "varied", lambda: with_essential_columns(_vary(orders(spark, sf_dir.base), sf_dir.rules)))
     return materialize(spark, sf_dir, "orders_essential",
                        lambda days: with_essential_columns(orders_view(spark, sf_dir, days)))
 
@@ -130,10 +149,13 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.drop_fully_discounted(essential(spark, sf_dir))
 
 
-def command_centre(df: DataFrame) -> DataFrame:
-    """B-05 → default date pair (B-08) → exactly those dates (B-07) → sync cut (G-02/G-03)."""
+def command_centre(df: DataFrame, first: str | None = None, second: str | None = None) -> DataFrame:
+    """B-05 → a chosen date pair, else the default one (B-08) → exactly those dates (B-07) → sync cut (G-02/G-03)."""
     d = sync.drop_fully_discounted(df)
-    prev, latest = sync.default_date_pair(d, table=df)
+    if first is not None and second is not None:
+        prev, latest = (F.lit(x).cast("date") for x in sorted((str(first), str(second))))
+    else:
+        prev, latest = sync.default_date_pair(d, table=df)
     return sync.exact_sync(sync.on_dates(d, [prev, latest]))
 
 

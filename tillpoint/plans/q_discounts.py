@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions import discounts as dg
 from tillpoint.operators import discount_perf as dp
-from tillpoint.operators import kpis
+from tillpoint.operators import kpis, sync
 from tillpoint.plans import frames
 from tillpoint.plans.catalog import register
 from tillpoint.plans.sqlparts import BASE, with_ctes
@@ -125,8 +125,9 @@ SELECT * FROM ({_deep_sql(_dims)}) ORDER BY Total_Discount DESC, {', '.join(_dim
 @register("d12_discount_by_date_last14", "D-12", with_ctes(*BASE, final=f"""
 SELECT * FROM ({_deep_sql(['Date'])}) ORDER BY Date DESC LIMIT 14"""))
 def d12_discount_by_date_last14(spark, sf):
-    """D-12: per date, the latest 14 dates."""
-    t = dp.deep_dive(frames.essential(spark, sf), ["Date"])
+    """D-12: per date, the latest 14 dates; only these are read."""
+    e = frames.essential(spark, sf)
+    t = dp.deep_dive(sync.on_dates(e, [F.lit(d) for d in sync.latest_days(e, 14)]), ["Date"])
     return t.orderBy(F.col("Date").desc()).limit(14)
 
 

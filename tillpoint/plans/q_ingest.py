@@ -206,6 +206,15 @@ def d29_categorical_profile(spark, sf):
     return quality.categorical_profile(frames.essential(spark, sf), _CAT)
 
 
+@register("d29_date_profile", "D-29", with_ctes(*ORD, """
+lg AS (SELECT 'ReceivedAt' AS column_, 'timestamp_ntz' AS dtype, ReceivedAt AS v FROM orders_c UNION ALL SELECT 'Date', 'date', CAST(Date AS TIMESTAMP) FROM orders_c),
+cn AS (SELECT column_, dtype, v, count(*) AS n FROM lg WHERE v IS NOT NULL GROUP BY ALL)""", final="""
+SELECT column_ AS column, dtype, CAST(SUM(n) AS BIGINT) AS count, count(*) AS unique, min(v) AS first, max(v) AS last, arg_min(v, (-n, v)) AS top, max(n) AS freq FROM cn GROUP BY ALL"""))
+def d29_date_profile(spark, sf):
+    """D-29 for the columns of dates and times."""
+    return quality.date_profile(frames.orders(spark, sf), ["ReceivedAt", "Date"])
+
+
 @register("d30_missing_by_column", "D-30", with_ctes(*ORD, final=" UNION ALL ".join(
     f"SELECT '{c}' AS column, CAST(count_if({c} IS NULL) AS BIGINT) AS missing FROM orders_c" for c in ORDER_COLUMNS)))
 def d30_missing_by_column(spark, sf):

@@ -37,7 +37,7 @@ ds AS (SELECT Date, CAST(SUM(net_sale_vat) AS DOUBLE) / 1.05 AS net_sale, CAST(c
 df AS (SELECT *, CAST(date_diff('day', DATE '1970-01-01', Date) + 719163 AS DOUBLE) AS date_ordinal, CAST(isodow(Date) - 1 AS DOUBLE) AS day_of_week, CAST(month(Date) AS DOUBLE) AS month,
               substr(md5(CAST(Date AS VARCHAR)), 1, 2) < 'cd' AS in_train FROM ds)""", f"s0 AS (SELECT {moments} FROM df WHERE in_train)"]
     for k in range(n):
-        by = f"CASE WHEN a_{k}_{k} > 1e-9 * v_{k} AND v_{k} > 0 THEN 1 / a_{k}_{k} ELSE 0 END"
+        by = f"CASE WHEN a_{k}_{k} > 1e-7 * v_{k} AND v_{k} > 1e-18 * m_{k} * m_{k} THEN 1 / a_{k}_{k} ELSE 0 END"
         cells = [f"a_{k}_{j} * d AS a_{k}_{j}" if i == k else f"a_{i}_{j} - a_{i}_{k} * (a_{k}_{j} * d) AS a_{i}_{j}" for i in range(n) for j in range(n + 1)]
         ctes += [f"d{k} AS (SELECT *, {by} AS d FROM s{k})", f"s{k + 1} AS (SELECT {keep}, {', '.join(cells)} FROM d{k})"]
     beta = ", ".join(f"a_{i}_{n} AS b_{i}" for i in range(n))

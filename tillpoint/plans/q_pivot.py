@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillpoint.operators import pivot
+from tillpoint.operators import pivot, sync
 from tillpoint.plans import frames
 from tillpoint.plans.catalog import register
 from tillpoint.plans.sqlparts import (BASE, SYNC_SQL, cm_sql, quantile_sql, ratio_sql,
@@ -41,6 +41,25 @@ def p01_channel_date_pivot(spark, sf):
     return pivot.two_date_pivot(frames.synced(spark, sf), "Channel")
 
 
+#: A chosen pair: the third and the fifth latest day that have orders.
+_PAIR = (4, 2)
+_NTH = "(SELECT Date FROM (SELECT DISTINCT Date FROM d WHERE Date IS NOT NULL) ORDER BY Date DESC LIMIT 1 OFFSET {})"
+_CHOSEN_SYNC = SYNC_SQL.replace("SELECT max(Date) AS latest, greatest(max(Date) - 1, min(Date)) AS prev FROM d", f"SELECT {_NTH.format(_PAIR[1])} AS latest, {_NTH.format(_PAIR[0])} AS prev")
+assert _CHOSEN_SYNC != SYNC_SQL
+
+
+def _chosen(spark, sf):
+    e = frames.essential(spark, sf)
+    days = sync.latest_days(sync.drop_fully_discounted(e), 5)
+    return frames.command_centre(e, *[days[k] for k in _PAIR])
+
+
+@register("p01_chosen_pair", ("P-01", "B-07", "G-02"), with_ctes(*BASE, _CHOSEN_SYNC, _wide_sql("Channel"), final="SELECT * FROM w"))
+def p01_chosen_pair(spark, sf):
+    """The command centre for two chosen dates instead of the latest two."""
+    return pivot.two_date_pivot(_chosen(spark, sf), "Channel")
+
+
 _LONG_SQL = with_ctes(*CMD, _wide_sql("Channel"), final="""
 SELECT Channel, Previous_Date AS Date, Previous_Net_Sale AS Net_Sale, Previous_Discount AS Discount,
        Previous_Discount_Pct AS Discount_Pct, Previous_CM AS CM FROM w WHERE Previous_Date IS NOT NULL
@@ -274,7 +293,7 @@ _CHANNELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 _WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 
-def _wide_sql(row: str, col: str, labels: list[str], how: str, margins: bool) -> str:
+def _matrix_sql(row: str, col: str, labels: list[str], how: str, margins: bool) -> str:
     """Conditional aggregates over the orders, with the margins as further columns and a further row."""
     agg = {"sum": f"SUM(CASE WHEN {{}} THEN {VALUE} END)", "mean": f"AVG(CASE WHEN {{}} THEN {VALUE} END)"}[how]
     cells = [f"COALESCE({agg.format(f'{col} = {chr(39)}{x}{chr(39)}')}, 0) AS \"{x}\"" for x in labels] + ([f"COALESCE({agg.format('TRUE')}, 0) AS \"Total\""] if margins else [])
@@ -292,10 +311,10 @@ for _how in ("sum", "mean"):
             return pivot.wide_matrix(long, ["Brand"], ["Channel"])
         q.__doc__ = f"P-04 as the wide table ({how}): brands by channels, with totals, missing cells 0."
         return q
-    register(f"p04_wide_pivot_{_how}", "P-04", with_ctes(*KEPT, final=_wide_sql("Brand", "Channel", _CHANNELS, _how, True)))(_mk_wide(_how))
+    register(f"p04_wide_pivot_{_how}", "P-04", with_ctes(*KEPT, final=_matrix_sql("Brand", "Channel", _CHANNELS, _how, True)))(_mk_wide(_how))
 
 
-@register("p11_heatmap_matrix", "P-11", with_ctes(*KEPT, final=_wide_sql("Channel", "DayOfWeek", _WEEKDAYS, "sum", False)))
+@register("p11_heatmap_matrix", "P-11", with_ctes(*KEPT, final=_matrix_sql("Channel", "DayOfWeek", _WEEKDAYS, "sum", False)))
 def p11_heatmap_matrix(spark, sf):
     """P-11: the heatmap as a matrix without totals, channels by weekdays."""
     k = frames.kept(spark, sf).where(F.col("Channel").isNotNull() & F.col("DayOfWeek").isNotNull())
