@@ -200,3 +200,14 @@ def test_totals_of_a_stream_with_any_order_of_files(spark):
     totals.start(st.order_stream(spark, f"{base}/landing", src.schema, files_per_batch=1), "ReceivedAt", "GrossPrice", f"{base}/ckpt").awaitTermination()
     got = {r["d"]: (r["events"], int(r["total"])) for r in totals.read().select(F.date_format(st.instant_to_ntz(F.col("w.start")), "d").cast("int").alias("d"), "events", "total").collect()}
     assert got == {1 + k: (12, sum(range(k, 300, 25))) for k in range(25)}
+
+
+def test_epochs_of_running_totals_are_folded(spark):
+    base = shared_dir(spark, "running")
+    src = orders(spark, [{"OrderID": i, "ReceivedAt": f"2024-01-{1 + i % 9:02d} 10:00:00", "GrossPrice": i} for i in range(90)])
+    st.stage_landing(src, f"{base}/landing", "1", files=9)
+    agg = st.order_stream(spark, f"{base}/landing", src.schema, files_per_batch=1).groupBy("Date").agg(F.count(F.lit(1)).alias("n"), F.sum("GrossPrice").alias("gross"))
+    st.run_to_table(agg, f"{base}/t", f"{base}/ckpt", keys=["Date"], fold_every=4, state_partitions=2).awaitTermination()
+    got = {r["Date"].day: (r["n"], int(r["gross"])) for r in st.read_totals(spark, f"{base}/t", ["Date"]).collect()}
+    assert got == {1 + k: (10, sum(range(k, 90, 9))) for k in range(9)}
+    assert len([n for n in os.listdir(f"{base}/t") if n.startswith("epoch=")]) < 4

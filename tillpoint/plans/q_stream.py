@@ -134,7 +134,7 @@ def t04_running_freshness(spark, sf):
     landing, schema = _staged_orders(spark, sf, "ReceivedAt")
     table = st.scratch(spark, "freshness")
     agg = st.freshness_stream(st.order_stream(spark, landing, schema, files_per_batch=4))
-    st.run_to_table(agg, table, st.scratch(spark, "ckpt-fresh")).awaitTermination()
+    st.run_to_table(agg, table, st.scratch(spark, "ckpt-fresh"), keys=[], fold_every=2).awaitTermination()
     return st.read_totals(spark, table, []).select("latest_received", "rows_seen")
 
 

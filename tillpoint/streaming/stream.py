@@ -89,26 +89,41 @@ def freshness_stream(stream: DataFrame, ts: str = "ReceivedAt") -> DataFrame:
 
 
 def run_to_table(agg: DataFrame, table: str, checkpoint: str, available_now: bool = True,
-                 state_partitions: int = 8):
+                 state_partitions: int | None = None, keys: list[str] | None = None, fold_every: int = 16):
     """Run an aggregation stream in update mode into a Parquet table in the shared folder.
 
     Each micro-batch writes the rows that changed to a folder of its own
     (``epoch=``), which a replay of the batch overwrites; ``read_totals`` takes
-    each key's last row.  With a watermark the state of closed windows goes, so
+    each key's last row.  With ``keys`` every ``fold_every`` batches are folded into one version
+    (``snapshots``) and removed, so what is kept and read is a row a key.  With a watermark the state of closed windows goes, so
     neither the state nor a batch's write grows with the history.
 
-    The state holds one row per open window, not per order, so it gets a small
-    fixed number of state partitions (recorded in the checkpoint at the first
-    run); the stream snapshots the session conf at start, so the session's
-    own setting is restored right away."""
+    The state holds one row per open window, not per order: ``state_partitions`` sets how many partitions
+    it gets (recorded in the checkpoint at the first run), else the session's setting does.  The stream snapshots the
+    session conf at start, so the session's own setting is restored right away."""
+    spark = agg.sparkSession
+    log = Snapshots(spark, f"{table}-log")
+
     def add(batch: DataFrame, epoch: int) -> None:
+        last = log.latest()
+        if last is not None and epoch <= last.info["epoch"]:
+            return  # a replay of a batch that is folded already
         batch.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+        if keys is not None and len(names_in(spark, table)) >= fold_every:
+            rows = read_totals(spark, table, keys).withColumn("epoch", F.lit(epoch))
+            try:
+                log.commit(last, {"rows": rows}, {"epoch": epoch})
+            except Conflict:
+                return
+            for name in names_in(spark, table):
+                if name.startswith("epoch=") and int(name.removeprefix("epoch=")) <= epoch:
+                    remove(spark, f"{table}/{name}")
     w = (agg.writeStream.outputMode("update").foreachBatch(add)
             .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")
-    spark = agg.sparkSession
     prev = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     try:
         return w.start()
     finally:
@@ -117,10 +132,18 @@ def run_to_table(agg: DataFrame, table: str, checkpoint: str, available_now: boo
 
 def read_totals(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
     """The current totals that ``run_to_table`` keeps: each key's row of the last batch that changed it."""
-    rows = spark.read.parquet(table)
+    log = Snapshots(spark, f"{table}-log")
+    last = log.latest()
+    rows = log.read(last) if last else None
+    folders = [n for n in names_in(spark, table) if n.startswith("epoch=") and (last is None or int(n.removeprefix("epoch=")) > last.info["epoch"])]
+    if folders:
+        new = spark.read.option("basePath", table).parquet(*[f"{table}/{n}" for n in folders]).withColumn("epoch", F.col("epoch").cast("int"))
+        rows = new if rows is None else rows.unionByName(new)
+    if rows is None:
+        raise FileNotFoundError(f"no totals in {table} yet")
     others = [c for c in rows.columns if c not in (*keys, "epoch")]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "epoch").alias("_last"))
-    return last.select(*keys, "_last.*")
+    last_row = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "epoch").alias("_last"))
+    return last_row.select(*keys, "_last.*")
 
 
 def stage_landing(df: DataFrame, landing: str, delivery: str = "0001", files: int | None = None, mark: bool = True) -> None:
