@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.util import docs, prose
 from tillpoint.llm import mixing
@@ -73,3 +74,30 @@ def test_small_sources_meet_their_targets(spark):
     _, slots, _ = mixing.mix(docs(spark, rows))
     seen = [(r.source_key, r["pass"], r.block) for r in slots.collect()]
     assert len(seen) == len(set(seen))
+
+
+def test_permutations_are_one_to_one_at_any_size(spark):
+    for n in (1, 2, 3, 5, 64, 97, 4095, 4096, 10_007):
+        df = spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(n * 7).cast("long")).alias("p"))
+        r = df.agg(F.countDistinct("p").alias("d"), F.min("p").alias("lo"), F.max("p").alias("hi")).first()
+        assert (r.d, r.lo, r.hi) == (n, 0, n - 1)
+    for n in (2 ** 34, 2 ** 40 + 12345, 2 ** 51 + 1):
+        df = spark.range(0, 200_000).select(mixing._permuted(F.col("id") * (n // 200_000), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("p"))
+        r = df.agg(F.countDistinct("p").alias("d"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.avg("p").alias("mean")).first()
+        assert r.d == 200_000 and 0 <= r.lo < 0.01 * n and 0.99 * n < r.hi < n and abs(r["mean"] / n - 0.5) < 0.01
+
+
+def test_offsets_over_many_runs_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 2)
+    monkeypatch.setattr(mixing, "BUCKET_RUN", 3)
+    rows = [(i, " ".join(["w"] * (i % 7)), "ab"[i % 2]) for i in range(200)]
+    laid = mixing.mix(docs(spark, rows))[0].collect()
+    for s in "ab":
+        spans = sorted((r["at"], r["size"]) for r in laid if r["source"] == s and r["size"])
+        assert [a for a, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
+
+
+def test_shards_reach_the_result(spark):
+    rows = [(i, " ".join(["w"] * 90), "ab"[i % 2]) for i in range(60)]
+    got = mixing.mixed_sizes(docs(spark, rows)).collect()
+    assert all((len(r.shards) > 0) == (r.taken > 0) and all(0 <= x < 64 for x in r.shards) for r in got) and len({x for r in got for x in r.shards}) > 20

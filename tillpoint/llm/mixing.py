@@ -10,7 +10,8 @@ block at most once, pass 1 takes a second helping in another order.  Slots and
 blocks meet in one join by (source, pass, block number).
 
 A hot source is no hot key: documents are laid out in buckets whose sizes are
-summed before the shuffle, and blocks are joined by number.
+summed before the shuffle, first within runs of buckets and then over the runs,
+and blocks are joined by number.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 
 from tillpoint.llm.common import WORD, store
 
-#: Primes that multiply a block number; below 2**31, so that products of numbers below 2**32 fit a long.
-PRIMES = (2147483647, 2147483629, 2147483587)
-#: Documents to a bucket, on average.
-BUCKET_DOCS = 512
+#: Rounds of the permutation's network, and turns that a number may take through it.
+ROUNDS, WALK = 4, 64
+#: Documents to a bucket, on average; buckets whose sizes are summed by one task.
+BUCKET_DOCS, BUCKET_RUN = 512, 4096
+#: Slots that one row of the small table of slots stands for.
+CHUNK = 16384
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -54,14 +57,31 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     return t.select("source", "source_size", "weight", "target")
 
 
+def _shuffled(x, a, b, seed):
+    """One-to-one on ``0..a*b-1``: the two digits of ``x`` are moved in turn, each by a hash of the other (a Feistel network)."""
+    left, right = F.floor(x / b).cast("long"), F.pmod(x, b)
+    for k in range(ROUNDS):
+        if k % 2:
+            right = F.pmod(right + F.pmod(F.xxhash64(left, seed, F.lit(k)), b), b)
+        else:
+            left = F.pmod(left + F.pmod(F.xxhash64(right, seed, F.lit(k)), a), a)
+    return left * b + right
+
+
 def _permuted(i, n, seed):
-    """A pseudorandom permutation of ``0..n-1``: two rounds of an affine map, turned over between them.
+    """A pseudorandom permutation of ``0..n-1``, for any ``n`` below 2 ** 52.
 
-    Each prime is above any ``n`` it multiplies or does not divide it, so each round is one-to-one.
+    The network works on the smallest rectangle of about ``sqrt(n)`` rows that
+    holds ``n`` numbers; a number that lands beyond ``n`` goes through it again.
+    Fewer than ``sqrt(n)`` numbers lie beyond, so below ``WALK ** 2`` numbers
+    ``WALK`` turns reach all; above, a turn lands beyond with a chance of less
+    than ``1 / WALK``, and that many in a row do not happen.
     """
-    x = F.pmod(i * F.lit(PRIMES[0]) + F.pmod(F.xxhash64(seed, F.lit(1)), n), n)
-    x = F.when(x % 2 == 0, x.cast("long") / 2).otherwise(n - (x + 1) / 2).cast("long")
-    return F.pmod(x * F.lit(PRIMES[1]) + F.pmod(F.xxhash64(seed, F.lit(2)), n), n)
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.ceil(n / a).cast("long")
+    first = _shuffled(i, a, b, seed)
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda x, _: F.when(x < n, x).otherwise(_shuffled(x, a, b, seed)))
+    return F.when(first < n, first).otherwise(again)
 
 
 def source_key(source: str):
@@ -101,8 +121,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     rows = rows.withColumn("bucket", F.pmod("row_key", F.lit(buckets)))
     weight = F.col("size") * F.col("copies")
     sums = rows.groupBy("source", "source_key", "bucket").agg(F.sum(weight).alias("n"))
-    by_bucket = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("bucket_at", F.coalesce(F.sum("n").over(by_bucket), F.lit(0)))
+    # Places of buckets in two steps: within runs of buckets, and of the runs, so that no task sorts all of a source's.
+    sums = store(sums.withColumn("run", F.floor(F.col("bucket") / BUCKET_RUN)), "buckets")
+    before = lambda over: over.rowsBetween(Window.unboundedPreceding, -1)
+    runs = sums.groupBy("source_key", "run").agg(F.sum("n").alias("n"))
+    runs = runs.withColumn("run_at", F.coalesce(F.sum("n").over(before(Window.partitionBy("source_key").orderBy("run"))), F.lit(0))).drop("n")
+    in_run = before(Window.partitionBy("source_key", "run").orderBy("bucket"))
+    sums = sums.withColumn("bucket_in_run", F.coalesce(F.sum("n").over(in_run), F.lit(0))).join(runs, ["source_key", "run"])
+    sums = sums.withColumn("bucket_at", F.col("run_at") + F.col("bucket_in_run")).select("source", "source_key", "bucket", "n", "bucket_at")
     sizes = targets(sums.groupBy("source", "source_key").agg(F.sum("n").alias("source_size")).drop("source_key"), weights, share, most)
     sizes = store(sizes.withColumn("source_key", source_key("source")), "targets")
 
@@ -124,15 +150,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     passes = passes.withColumn("need", F.greatest(F.lit(0), F.least(F.col("source_size"), F.round("target").cast("long") - F.col("pass") * F.col("source_size"))))
     short = F.col("blocks") * b - F.col("source_size")
     passes = passes.withColumn("n_slots", F.least("blocks", F.ceil((F.col("need") + short) / b))).filter("need > 0")
-    # Slots in chunks first, so that a large source's slots are made by many tasks.
-    chunk = 65536
-    passes = passes.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / chunk)))).repartition(F.col("source_key"), "pass", "chunk")
-    slots = passes.withColumn("slot", F.explode(F.sequence(F.col("chunk") * chunk, F.least(F.col("n_slots"), (F.col("chunk") + 1) * chunk) - 1)))
-    draw = F.xxhash64("source_key", "pass", "slot", F.lit(seed))
     # The permutation is turned so that the slot of the last block is known: ``last``, itself drawn by hash.
     permuted = lambda slot: _permuted(slot, F.col("blocks"), F.xxhash64("source_key", "pass", F.lit(seed)))
-    slots = slots.withColumn("last", F.pmod(F.xxhash64("source_key", "pass", F.lit(seed), F.lit("last")), F.col("blocks")))
-    slots = slots.withColumn("block", F.pmod(permuted(F.col("slot")) - permuted(F.col("last")) - 1, F.col("blocks")))
+    passes = passes.withColumn("last", F.pmod(F.xxhash64("source_key", "pass", F.lit(seed), F.lit("last")), F.col("blocks")))
+    passes = passes.withColumn("turn", permuted(F.col("last")))
+    # Slots in chunks first, dealt to as many tasks as their number asks for, so that a large source's slots are made by many.
+    n_slots = passes.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
+    passes = passes.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK))))
+    passes = passes.repartition(max(1, -(-int(n_slots) // (4 * CHUNK))), F.col("source_key"), "pass", "chunk")
+    slots = passes.withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n_slots"), (F.col("chunk") + 1) * CHUNK) - 1)))
+    draw = F.xxhash64("source_key", "pass", "slot", F.lit(seed))
+    slots = slots.withColumn("block", F.pmod(permuted(F.col("slot")) - F.col("turn") - 1, F.col("blocks")))
     slots = slots.withColumn("own", b - F.when(F.col("slot") == F.col("last"), short).otherwise(0))
     slots = slots.withColumn("at", F.col("slot") * b - F.when(F.col("last") < F.col("slot"), short).otherwise(0))
     slots = slots.select("source_key", "pass", F.pmod(draw, F.lit(shards)).alias("shard"), "block",
@@ -147,11 +175,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
 
 
 def mixed_sizes(docs: DataFrame, **params) -> DataFrame:
-    """Per document: ``doc_id, size, source_size, target, taken`` and ``source``."""
+    """Per document: ``doc_id, size, source_size, target, taken``, ``source`` and ``shards``: the output shards that its slots drew."""
     laid, _, parts = mix(docs, **params)
-    taken = parts.groupBy("row_key", "copy").agg(F.sum("n_words").alias("taken"))
+    taken = parts.groupBy("row_key", "copy").agg(F.sum("n_words").alias("taken"), F.array_sort(F.collect_set("shard")).alias("shards"))
     out = laid.join(taken, ["row_key", "copy"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source",
+                      F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", seed: int = 17, **params) -> DataFrame:
