@@ -79,3 +79,26 @@ def test_near_equal_vectors_and_a_huge_one(spark):
         asked = [q for q in want if low <= q < high]
         recall.append(sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) for q in asked) / (10 * len(asked)))
     assert min(recall) >= 0.95, recall
+
+
+@pytest.mark.parametrize("large", [1e300, 1.7e308])
+def test_one_vector_beyond_floats_changes_no_other_answer(spark, large):
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(9, 8))
+    rows = [(i, (centres[i % 9] + 0.3 * r.normal(size=8)).tolist()) for i in range(1200)]
+    more = [*rows, (1201, [large] + [1.0] * 7), (1202, [1e-300] * 8), (1210, [-large / 2] * 8)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in more], "vec_id long, embedding array<double>, label int")
+    got = {}
+    for x in nn.nearest(df, F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    keep = np.array([v for _, v in rows])
+    hit = [len({int(k) for k in np.argsort(np.sqrt(((keep - keep[q]) ** 2).sum(1)))[1:11]} & set(got[q])) for q in range(0, 1200, 10)]
+    assert sum(hit) >= 0.95 * 10 * len(hit) and 1210 in got
+
+
+def test_shortened_vectors_come_back():
+    x = np.array([[1e300, 1.0, -3e299], [1e-310, 0.0, 5e-311], [0.5, -0.25, 3.0]])
+    back = nn._matrix(__import__("pyarrow").array(nn.shortened(x)))
+    assert np.allclose(back[0], [1e300, 0, -3e299], rtol=1e-7, atol=1e293) and np.allclose(back[2], x[2]) and back[1, 0] == pytest.approx(1e-310, rel=1e-6)
+    d = nn._apart(back)
+    assert d[0, 2] == pytest.approx(np.hypot(1e150, 3e149) * 1e150, rel=1e-6) and d[1, 2] == pytest.approx(float(np.sqrt((x[2] ** 2).sum())))

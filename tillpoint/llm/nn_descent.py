@@ -9,9 +9,10 @@ few neighbours are new.
 
 A search holds a pool of nodes for each query and replaces it, round by round,
 with the nearest of the pool and of its nodes' neighbours.  Vectors travel as
-floats and are compared in double precision, so neither near-equal vectors nor
-a huge one change what the others' distances say; the whole pool's distances
-are computed anew on the original vectors before the answer.
+floats, each scaled by a power of two of its own, and are compared in double
+precision, so neither near-equal vectors nor a huge one change what the others'
+distances say; the whole pool's distances are computed anew on the original
+vectors before the answer.
 
 Work is dealt in groups of bounded size, whose number grows with the table: a
 group's vectors are sent to it once, however many of its nodes need them.
@@ -48,19 +49,43 @@ def valid(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding")
     return v.filter(F.size("vec") == (sizes[0]["n"] if sizes else 0))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dtype: str) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
-        return np.frombuffer(b"".join(x.as_py() for x in column), dtype).reshape(len(column), -1).astype(np.float32)
-    return np.asarray(column.flatten(), np.float32).reshape(len(column), -1)
+#: Components beyond this have no square in double precision.
+LARGE = 2.0 ** 500
+
+
+def shortened(x: np.ndarray) -> list[bytes]:
+    """Each vector as floats, divided by a power of two of its own, and that power: no vector changes another's precision."""
+    power = np.frexp(np.abs(x).max(axis=1, initial=0))[1] if len(x) else np.zeros(0, int)
+    floats = np.ldexp(x, -power[:, None]).astype("<f4")
+    return [f.tobytes() + p.tobytes() for f, p in zip(floats, power.astype("<i4"), strict=True)]
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The vectors that ``shortened`` wrote, in double precision."""
+    if not len(column):
+        return np.zeros((0, 1))
+    raw = np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), -1)
+    power = raw[:, -4:].copy().view("<i4")
+    return np.ldexp(raw[:, :-4].copy().view("<f4").astype(float), power)
+
+
+def _lengths(y: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of the rows, also where squares would have no number."""
+    most = np.abs(y).max(axis=1, initial=0)
+    unit = np.where((most > LARGE) | ((most < 1 / LARGE) & (most > 0)), most, 1.0)
+    y = y / unit[:, None]
+    return unit * np.sqrt((y * y).sum(1))
 
 
 def _apart(x: np.ndarray) -> np.ndarray:
     """Distances within ``x``; the products cancel for near-equal vectors, hence double precision."""
-    x = x.astype(float)
-    own = (x * x).sum(1)
-    return np.sqrt(np.maximum(own[:, None] + own[None] - 2 * (x @ x.T), 0))
+    large = np.abs(x).max(axis=1, initial=0) > LARGE
+    small = np.where(large[:, None], 0.0, x) if large.any() else x
+    own = (small * small).sum(1)
+    d = np.sqrt(np.maximum(own[:, None] + own[None] - 2 * (small @ small.T), 0))
+    for i in np.flatnonzero(large):
+        d[i] = d[:, i] = _lengths(x / 2 - x[i] / 2) * 2
+    return d
 
 
 def _edges(a: list, b: list, d: list) -> pa.Table:
@@ -82,7 +107,7 @@ def _nearest(table: pa.Table, degree: int) -> pa.Table:
 
 def _block(degree: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, x = np.asarray(table.column("id")), _matrix(table.column("short"), "<f4")
+        ids, x = np.asarray(table.column("id")), _matrix(table.column("short"))
         if len(ids) < 2:
             return _edges([], [], [])
         d = _apart(x)
@@ -98,7 +123,7 @@ def _local_join(degree: int):
         if not members.num_rows:
             return _edges([], [], [])
         ids, first = np.unique(np.asarray(vectors.column("node")), return_index=True)
-        x, radius = _matrix(vectors.column("short"), "<f4")[first], np.asarray(vectors.column("radius"))[first]
+        x, radius = _matrix(vectors.column("short"))[first], np.asarray(vectors.column("radius"))[first]
         centre, member = np.asarray(members.column("centre")), np.searchsorted(ids, np.asarray(members.column("id")))
         fresh = np.asarray(members.column("fresh"))
         order = np.argsort(centre, kind="stable")
@@ -128,15 +153,12 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(nodes, copies)``: ``(id, vec, short)`` of each distinct vector, by its smallest id, and ``(vec_id, id)`` of every vector."""
     vectors = store(vectors.withColumn("key", F.xxhash64("vec")), "vectors")
     nodes = vectors.groupBy("key", "vec").agg(F.min("vec_id").alias("id"))
-    # Floats as they are, unless their range is too small for the largest component.
-    most = vectors.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
-    scale = most / min(max(most, 2.0 ** -60), 2.0 ** 100)
 
     def shorten(batches):
         for batch in batches:
             v = batch.column(2)
-            x = np.asarray(v.flatten()).reshape(len(v), -1) / scale if len(v) else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())], ["id", "key", "vec", "short"])
+            x = np.asarray(v.flatten()).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shortened(x), pa.binary())], ["id", "key", "vec", "short"])
     nodes = store(nodes.select("id", "key", "vec").mapInArrow(shorten, "id long, key long, vec array<double>, short binary"), "nodes")
     copies = vectors.join(nodes.select("id", F.col("key"), "vec"), ["key", "vec"]).select("vec_id", "id")
     return nodes.select("id", "vec", "short"), store(copies, "copies")
@@ -198,14 +220,13 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
 def _distances(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
     """``pairs(query, id, done)`` and the vectors of both to ``(query, id, d, done)``."""
     ids, first = np.unique(np.asarray(vectors.column("node")), return_index=True)
-    x = _matrix(vectors.column("short"), "<f4")[first]
+    x = _matrix(vectors.column("short"))[first]
     q, i = np.asarray(pairs.column("query")), np.asarray(pairs.column("id"))
     left, right = np.searchsorted(ids, q), np.searchsorted(ids, i)
     d = np.empty(len(q))
     for s in range(0, len(q), 1 << 16):
         e = slice(s, s + (1 << 16))
-        y = x[left[e]].astype(float) - x[right[e]]
-        d[e] = np.sqrt((y * y).sum(1))
+        d[e] = _lengths(x[left[e]] / 2 - x[right[e]] / 2) * 2
     return pa.table({"query": q, "id": i, "d": d})
 
 
