@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 
@@ -75,3 +76,26 @@ def test_cues_within_a_value_are_part_of_it():
     assert [text[a:b] for a, b in pii.spans(text)["secret"]] == [value, "123456789"]
     text = "password=abc_def/token: xyz123456 x"
     assert [text[a:b] for a, b in pii.spans(text)["secret"]] == ["abc_def/token:", "xyz123456"]
+
+
+@pytest.mark.parametrize("unit", ["http://", "http://a?b ", "1", "1.", "1.1.1.", "account 1 ", "account no 12 account1 ", " at a dot ", "a (at) b", "(at)a.", "@a", "a@", "+1", "password=", "token ", "user@x?", "&user="])
+def test_hostile_texts_take_linear_time(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    pii.spans(text)
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("n", [60, 90, 2000, 50_000])
+def test_long_accounts_and_spelled_addresses_are_whole(n):
+    number = "".join(random.Random(n).choices("0123456789", k=n))
+    assert number[-20:] not in pii.masked(f"account no {number} after")
+    host = "h" * n
+    for text in (f"write to jane (at) {host} (dot) org now", f"write to {'j' * n} (at) example (dot) org now"):
+        a, b = pii.spans(text)["spelled"][0]
+        assert text[a:b] == text[len("write to "):-len(" now")]
+
+
+@pytest.mark.parametrize(("text", "value"), [("password=abcdefgh,ijklmnop x", "abcdefgh,ijklmnop"), ("token: abc;def;ghi, next", "abc;def;ghi"), ('secret="abcdef", "b"', "abcdef"), ("password=abcdef,; x", "abcdef")])
+def test_values_with_commas_are_whole(text, value):
+    assert [text[a:b] for a, b in pii.spans(text)["secret"]] == [value]

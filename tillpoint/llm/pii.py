@@ -39,14 +39,15 @@ SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# From the first digit of a run on, each run taken once: a long run of digits is no square of work.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"(?:\s?(?:no|nr|number|num|id)\b\.?)?\s{0,2}[:#=]?\s{0,2}([A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[\x20./-]?[A-Za-z0-9]*[0-9][A-Za-z0-9]*)*)", re.I)
 _HEAD = re.compile(r"\s{0,2}[:=]\s{0,2}[\"']?")
-_VALUE = re.compile(_HEAD.pattern + r"([^\s\"',;]{6,})")
+# A value ends at white space or a quote; commas and semicolons within it are part of it, at its end they are not.
+_VALUE = re.compile(_HEAD.pattern + r"([^\s\"']{5,}[^\s\"',;])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SPELLED_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\s?\Z")
 _SPELLED_HOST = re.compile(r"\s?[A-Za-z0-9-]+(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\sdot\s)\s?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+")
 _URL = re.compile(r"[^\s<>\"]+")
 
@@ -88,6 +89,17 @@ def base(text: str, ats: list[int], pluses: bool) -> dict[str, list[tuple[int, i
     }
 
 
+def local_part(text: str, at: int, free: int) -> int | None:
+    """Where the local part before a spelled-out at-sign begins (not before ``free``): a letter or digit; one space may lie between."""
+    end = at - 1 if at > free and text[at - 1].isspace() else at
+    start = end
+    while start > free and text[start - 1] in _LOCAL:
+        start -= 1
+    while start < end and text[start] in "._%+-":
+        start += 1
+    return start if start < end else None
+
+
 def _automaton():
     import ahocorasick
     a = ahocorasick.Automaton()
@@ -118,11 +130,15 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
         anchors.setdefault(kind, []).append((end + 1 - n, end + 1))
     out = base(text, [a for a, _ in anchors.get("at", ())], "plus" in anchors)
     more: dict[str, list[tuple[int, int]]] = {k: [] for k in ADDED}
+    # A cue within a span is part of it, for every kind, so that no code point is read again and again.
+    free = 0
     for a, b in anchors.get("account", ()):
-        if (a and text[a - 1].isalnum()) or text[b:b + 1].isalpha():
+        if a < free or (a and text[a - 1].isalnum()) or text[b:b + 1].isalpha():
             continue
-        if (m := _NUMBER.match(text, b, b + 64)) and sum("0" <= c <= "9" for c in m.group(1)) >= 6:
-            more["account"].append(m.span(1))
+        if m := _NUMBER.match(text, b):
+            free = m.end()
+            if sum("0" <= c <= "9" for c in m.group(1)) >= 6:
+                more["account"].append(m.span(1))
     if any("A" <= c <= "Z" for c in text):
         more["account"] += [m.span() for m in _IBAN.finditer(text) if iban(m.group())]
     # A value ends by itself; one that would begin within another is part of it, so each code point is read once.
@@ -133,16 +149,24 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
         if m := _VALUE.match(text, b):
             more["secret"].append(m.span(1))
             free = m.end()
+    free = 0
     for a, b in anchors.get("spelled", ()):
-        host = _SPELLED_HOST.match(text, b, b + 256)
+        if a < free or not (host := _SPELLED_HOST.match(text, b)):
+            continue
         # " at " is a word of prose: it needs a spelled-out dot as well.
-        if not host or (text[a] == " " and "dot" not in host.group().lower()):
+        if text[a] == " " and "dot" not in host.group().lower():
+            free = host.end()
             continue
-        if left := _SPELLED_LOCAL.search(text, max(0, a - 65), a):
-            more["spelled"].append((left.start(), host.end()))
+        start = local_part(text, a, free)
+        if start is not None:
+            more["spelled"].append((start, host.end()))
+            free = host.end()
+    free = 0
     for a, b in anchors.get("url", ()):
-        m = _URL.match(text, b)
-        if m and ("@" in m.group() or re.search(r"[?&](?:user|name|email|phone|token|password|session)[a-z_]*=", m.group(), re.I)):
+        if a < free or not (m := _URL.match(text, b)):
+            continue
+        free = m.end()
+        if ("@" in m.group() or re.search(r"[?&](?:user|name|email|phone|token|password|session)[a-z_]*=", m.group(), re.I)):
             more["url"].append((a, m.end()))
     for kind, found in more.items():
         kept, free = [], -1
