@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import random
+import time
 
 import pytest
 
@@ -88,3 +89,37 @@ def test_implied_ends_pass_any_number_of_inline_tags():
     assert ht.main_text(page, {}) == "one two" and ht.main_text(many + "</table><p>" + prose(2, 200), {}).endswith(prose(2, 200))
     # Without the implied end the second item would be within the first.
     assert ht.main_text("<li class=ad>" + "<b>" * 10 + "buy<li>" + prose(3, 50), {}) == prose(3, 50)
+
+
+@pytest.mark.parametrize("unit", ["<script ", "<a ", '<a x="', "<!--", "<!", "<", "</", "<a x='>", "<p>", "</p>", "<li><font>", "<![CDATA[", "<div class=ad>", "<script>", "</script"])
+def test_hostile_pages_take_linear_time(unit):
+    for page in (unit * (1_000_000 // len(unit)), unit * (500_000 // len(unit)) + ">"):
+        began = time.perf_counter()
+        ht.main_text(page, {})
+        assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize(("tail", "text"), [(" a < b", "one two a < b"), (" a <b c", "one two a <b c"), ("<!-- c", "one two"), (" x<![CDATA[ y", "one two x"), ("<script>var", "one two"), ("<script>a</script> b", "one two b"),
+                                            ("<textarea>t", "one two"), ("<!-- a --> b", "one two b"), ("<!-->c", "one two")])
+def test_what_follows_the_last_tag(tail, text):
+    assert ht.main_text("<p>one two</p>" + tail, {}) == text
+
+
+@pytest.mark.parametrize(("name", "kept"), [("search-history", True), ("social-policy", True), ("notice-period", True), ("legal-basis", True), ("menu-of-the-day", True), ("share-buttons", False), ("search", False),
+                                            ("cookie-banner", False), ("adSlot", False), ("related-posts", False), ("no-comments", True), ("sidebar left", False), ("comment-list-item", False)])
+def test_class_names_say_what_an_element_is(name, kept):
+    page = f"<main><h1>Head</h1><section class='{name}'><p>{prose(1, 60)}</p></section><p>{prose(2, 30)}</p></main>"
+    assert (prose(1, 60) in ht.main_text(page, {})) == kept
+
+
+def test_the_region_is_the_best_of_all_stretches():
+    r = random.Random(8)
+    weights = {"p": -0.7, "/p": -0.4, "div": -2.0, "/div": -1.5, "=p": 0.9, "=": 0.2, "=div": 0.4, "-": -3.0}
+    for _ in range(300):
+        page = "".join(r.choice(["<p>", "</p>", "<div>", "</div>", "<nav>x</nav>", f" w{r.randrange(99)} ", f" a{r.randrange(9)} b c ", "<br>"]) for _ in range(r.randrange(1, 25)))
+        seq = ht.tokens(page)
+        score = [(weights.get(k, ht.default(k))) * (len(t.split()) if k[0] == "=" else 1) for k, t, _ in seq]
+        best = max((sum(score[i:j]) for i in range(len(seq)) for j in range(i + 1, len(seq) + 1)), default=0)
+        want = next((seq[i:j] for j in range(1, len(seq) + 1) for i in reversed(range(j)) if abs(sum(score[i:j]) - best) < 1e-9), []) if best > 1e-9 else []
+        words = [w for k, t, _ in want if k[0] == "=" for w in t.split()]
+        assert ht.main_text(page, weights).split() == words, page

@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names by what they do to text.
-HIDDEN = "script style noscript template title textarea svg math iframe object canvas select option datalist audio video head"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul").split())
@@ -39,6 +38,9 @@ ASIDE_WORDS = frozenset(("ad ads adv advert adverts advertisement advertising ba
 #: Blocks that an article's own text is made of.
 PROSE = frozenset("p br h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre header figure figcaption table thead tbody tfoot tr td th".split())
 COMMENT_WORDS = frozenset("comment comments reply replies respond disqus related recommended ad ads advert promo sponsored teaser".split())
+#: What is called by an aside word and one of these after it is that aside: a "share-bar", but not a "search-history".
+HOLDERS = frozenset(("area bar block body box btn button buttons card cell column container content element form frame group heading holder icon icons image inner input item items label layer "
+                     "left link links list main module panel posts region right row section slot stories text title top unit wrap wrapper").split())
 #: A word after one of these says what an element has or lacks, not what it is.
 NOT_ITSELF = frozenset("has with no without".split())
 #: Implied ends: a new element of these names ends an open one of the same group.
@@ -52,8 +54,19 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|title|textarea|svg|math|iframe|object|select|canvas|audio|video)"
     r"\b(?>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)|[^>]*)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S | re.I)
+_PLAIN = re.compile(r"[^<]+|<")
 _NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+
+
+def _unclosed(m: re.Match) -> bool:
+    """Whether a comment or an element of raw text goes on to the end of the page."""
+    found = m.group()
+    if found.startswith("<!--"):
+        return not found.endswith("-->") or len(found) < 7
+    if found[:9].lower() == "<![cdata[":
+        return not found.endswith("]]>")
+    return bool(m["raw"]) and not re.search(rf"</{m['raw']}\s*>\Z", found, re.I)
 
 
 def sets_aside(name: str, attrs: str) -> bool:
@@ -64,9 +77,14 @@ def sets_aside(name: str, attrs: str) -> bool:
         return False
     words = COMMENT_WORDS if name in ("article", "main") else ASIDE_WORDS
     for m in _NAMED.finditer(attrs):
-        said = _SPLIT.split(next(filter(None, m.groups()), "").lower())
-        if any(w in words and (k == 0 or said[k - 1] not in NOT_ITSELF) for k, w in enumerate(said)):
-            return True
+        for part in next(filter(None, m.groups()), "").split():
+            said = [w.lower() for w in _SPLIT.split(part) if w]
+            # From the end: the last word says what it is, unless it only holds what the word before says.
+            k = len(said) - 1
+            while k > 0 and said[k] in HOLDERS and said[k] not in words:
+                k -= 1
+            if k >= 0 and said[k] in words and (k == 0 or said[k - 1] not in NOT_ITSELF):
+                return True
     return False
 
 
@@ -100,13 +118,20 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
         else:
             out.append((kind, text, inside > 0))
 
-    for m in _TOKEN.finditer(page):
+    def word(text: str) -> None:
+        if text.isspace():
+            put(" ", " ")
+        else:
+            put("=" + (stack[around[-1]][0] if around else ""), text)
+
+    # Behind the last ">" nothing but text and an unclosed comment can come; tags are not looked for there.
+    head = page.rfind(">") + 1
+    last = None
+    for m in _TOKEN.finditer(page, 0, head):
+        last = m
         text = m["text"]
         if text is not None:
-            if text.isspace():
-                put(" ", " ")
-            else:
-                put("=" + (stack[around[-1]][0] if around else ""), text)
+            word(text)
             continue
         if m["name"] is None:
             continue
@@ -136,6 +161,11 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             # An article is one wherever it stands; a nested one is what its surroundings are.
             aside = 0 if article and not inside else aside + off
             inside, named = inside + article, named or article
+    if not (last and last.end() == head and _unclosed(last)):
+        rest = page[head:]
+        hidden = min((i for mark in ("<!--", "<![cdata[") if (i := rest.lower().find(mark)) >= 0), default=len(rest))
+        for text in _PLAIN.findall(rest[:hidden]):
+            word(text)
     if named and any(i and k[0] == "=" for k, _, i in out):
         out = [("-", "", i) if k[0] == "=" and not i else (k, t, i) for k, t, i in out]
     return out
