@@ -3,6 +3,11 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the
 last return the columns of ``documents``.
+
+All stages take an empty table and give no rows for it, judge rows (not ids)
+one by one where rows share an id, keep columns that ``documents`` does not
+have as they are, and choose names for columns of their own that the table
+does not use.  Each says below what it makes of nulls, ties and repeats.
 """
 
 from __future__ import annotations
@@ -13,16 +18,32 @@ from pyspark.sql import functions as F
 from tillpoint.llm import common, jaccard, line_dedup, mixing, packing, quality
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``docs`` is called so."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 1: documents that the quality classifier scores below 0.3 go."""
+    """Stage 1: documents that the quality classifier scores below 0.3 go.
+
+    A null text is scored as an empty one.  A score of exactly 0.3 stays.  Equal
+    rows have equal scores, so they stay or go together.  Rows without id are
+    scored, but teach nothing."""
     machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, machine, out="quality_score").filter("quality_score >= 0.3").drop("quality_score")
+    out = unused(docs, "quality_score")
+    return quality.score(docs, machine, out=out).filter(F.col(out) >= 0.3).drop(out)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2: lines that an earlier line equals or nearly equals go, and with them documents of which no word stays."""
-    out = line_dedup.dedup_lines(docs, n_lines="lines_had", n_removed="lines_lost")
-    out = out.filter((F.col("lines_lost") == 0) | F.col("text").rlike(common.WORD))
+    """Stage 2: lines that an earlier line equals or nearly equals go, and with them documents of which no word stays.
+
+    A null or empty text stays as it is, a row without id keeps its lines.  Of equal lines the one of
+    the smallest id, then line number, stays; rows of one id are one document here."""
+    had, lost = unused(docs, "lines_had"), unused(docs, "lines_lost")
+    out = line_dedup.dedup_lines(docs, n_lines=had, n_removed=lost)
+    out = out.filter((F.col(lost) == 0) | F.col("text").rlike(common.WORD))
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", F.coalesce(n_chars, "n_chars")).select(*docs.columns)
 
@@ -32,9 +53,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are judged each by itself, whatever their ids: rows of one id with
     different texts, and rows without id, are compared as any others.  Of
-    wholly equal rows one stays.  Rows without words are no one's copies.
+    wholly equal rows one stays.  Rows without words (null and empty texts too) are no one's copies.
     """
-    key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    # Maps have no hash of their own.
+    plain = [F.to_json(F.struct(c)) if "map<" in docs.schema[c].dataType.simpleString() else F.col(c) for c in docs.columns]
+    key = F.xxhash64(*plain, *[F.col(c).isNull() for c in docs.columns])
     keyed = docs.withColumn("__row", key)
     found = jaccard.near_duplicates(keyed.select("__row", "text"), doc_id="__row").filter("n_shingles > 0")
     found = found.groupBy(F.col("doc_id").alias("__row"), "component_id").agg(F.count("*").alias("copies"))
@@ -52,12 +75,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 4: sources are mixed to their target weights; a document stands for the words that each pass takes of it."""
+    """Stage 4: sources are mixed to their target weights; a document stands for the words that each pass takes of it.
+
+    A null source is a source of its own, the last.  Texts without words (null ones too) take no part and go, as
+    nothing can be taken of them.  Which words a pass takes is drawn by hash, alike on every run."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 5: pack what is left; a row per piece."""
+    """Stage 5: pack what is left; a row per piece.
+
+    A null text is packed as an empty one: its end token alone.  Equal rows are packed each."""
     pieces = packing.pack(docs)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
 
