@@ -77,3 +77,37 @@ def test_near_duplicates_are_judged_by_row(spark):
     assert len([t for i, t in got if i is None]) == 1 and [t for i, t in got if i is None][0].split(" ", 1)[1] == e.split(" ", 1)[1]
     again = corpus_pipeline.drop_near_duplicates(spark, df.repartition(7), "")
     assert sorted(got, key=str) == sorted(((r.doc_id, r.text) for r in again.collect()), key=str)
+
+
+def odd_documents(spark):
+    """Nulls in every column, repeats, ties, empty and long texts, further columns with the stages' own names and a map."""
+    from pyspark.sql import functions as F
+    rows = [(1, prose(1, 40), "en", "a", 9), (1, prose(1, 40), "en", "a", 9), (2, prose(1, 40), None, None, None), (None, prose(3, 30), "en", "b", 3), (None, None, None, None, None),
+            (3, "", "en", "a", 0), (4, None, "de", "b", 0), (5, prose(5, 20_000), "en", "a", 7), (6, " \n\t\n", "en", None, 5), (7, "x", "en", "a", 1)]
+    df = spark.createDataFrame(rows, DOC_SCHEMA)
+    for name in ("quality_score", "quality_score_", "lines_had", "lines_lost", "line", "size", "block", "taken", "score", "copies", "queue", "first"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df.withColumn("tags", F.create_map(F.lit("k"), F.lit(1)))
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_each_stage_takes_odd_rows_and_none(spark, sf_dir, k):
+    df = odd_documents(spark)
+    stage = corpus_pipeline.STAGES[k][1]
+    out = stage(spark, df, sf_dir)
+    got = out.collect()
+    assert out.columns == df.columns and all(r.line == "clash" and r.quality_score == "clash" for r in got)
+    texts = [r.text for r in got]
+    name = corpus_pipeline.STAGES[k][0]
+    if name == "line_dedup":
+        assert texts.count(prose(1, 40)) == 2 and None in texts and prose(3, 30) in texts and len(got) == 9
+    if name == "near_duplicates":
+        assert texts.count(prose(1, 40)) == 1 and texts.count(None) == 2 and "" in texts and len(got) == 8
+    if name == "mixing":
+        assert None not in texts and "" not in texts and prose(3, 30).split()[0] in " ".join(texts)
+    assert stage(spark, df.limit(0), sf_dir).count() == 0
+
+
+def test_packing_takes_odd_rows(spark, sf_dir):
+    out = corpus_pipeline.pack_sequences(spark, odd_documents(spark), sf_dir)
+    assert out.groupBy("doc_id").count().count() == 8 and corpus_pipeline.pack_sequences(spark, odd_documents(spark).limit(0), sf_dir).count() == 0
