@@ -105,3 +105,39 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(500, 400), (600, 600)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in range(100, 130)} == {100} and got[500] == 400 and 600 not in got
+
+
+def test_copies_whose_original_is_missing(spark, monkeypatch):
+    """Near copies of one text that is not there: most are no copies of each other, and few of their pairs are compared."""
+    r, made = random.Random(9), []
+    real = jaccard.store
+
+    def store(df, name):
+        out = real(df, name)
+        if name == "candidates":
+            made.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard, "store", store)
+    base = [f"w{r.randrange(10 ** 5)}" for _ in range(150)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(3):
+            w[r.randrange(150)] = f"e{r.randrange(10 ** 9)}"
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {d: c for d, (_, c) in brute(rows).items()}
+    assert made[-1] < 160 * 159 / 2 * 0.05
+
+
+def test_long_sets_far_from_their_representative(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONGEST", 20)  # differences too long to carry: pairs are compared all the same
+    r, rows = random.Random(10), []
+    base = [f"w{r.randrange(10 ** 5)}" for _ in range(120)]
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randrange(1, 6)):
+            w[r.randrange(120)] = f"e{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {d: c for d, (_, c) in brute(rows).items()}

@@ -67,7 +67,6 @@ def packed_scores(a: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out.astype(exact) + as_is(a.sum(axis=1))[:, None] * int(low_c) + as_is((c - low_c).sum(axis=1))[None, :] * int(low_a)
 
 
-
 def _whole(x):
     return np.frompyfunc(int, 1, 1)(x) if isinstance(x, np.ndarray) else int(x)
 

@@ -22,9 +22,11 @@ percent.
    short one.
 3. *Verification.*  Within a signature, each document is compared with one
    representative, over two rounds with different ones; those that are in
-   one component by then need no comparison.  What is left apart is compared
-   in full.  So large groups of copies take linear work and no link between
-   different components is missed.
+   one component by then need no comparison.  Of what is left apart, two sets
+   that met one representative are compared only if their differences from it
+   allow a link; all others are compared in full.  So no link between
+   different components is missed, and near copies of a text that is not there,
+   which differ from each other at random, leave few pairs to compare.
 
 Equal sets are one node from the start.
 """
@@ -53,6 +55,8 @@ CLASS_BOUNDS = (16, 1024)
 SLOT_SIZE = {2: 6, 3: 8}
 #: Sets of fewer shingles than 2 ** this sign with single shingles alone.
 SMALL_BAND = 5
+#: Sets that met a representative, from which on rows carry their differences from it; differences that a row carries.
+MANY, LONGEST = 32, 256
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -269,26 +273,51 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (100 * both >= threshold * (F.col("na") + F.col("nb") - both)).alias("link"))
 
 
-def _full(signed: DataFrame, apart: DataFrame, tried: DataFrame, threshold: int) -> DataFrame:
+def _differences(tried: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(fp, rep, n_rep, lacks, adds)``: of the sets that were compared with a representative which many others were compared with
+    too, which of its shingles the set lacks, and which others it has.
+
+    Rows of signatures carry the lists, so they are made where groups are large
+    alone, and of 16-bit numbers: a shingle's first 13 bits and, where several
+    of a list have the same, which of them it is.  So two lists agree in at
+    least as many numbers as shingles.  Long lists are left out (null)."""
+    met = tried.select(F.col("a").alias("fp"), F.col("b").alias("rep")).union(tried.select("b", "a"))
+    often = met.groupBy("rep").agg(F.count("*").alias("met")).filter(F.col("met") >= MANY)
+    met = met.join(often, "rep").groupBy("fp").agg(F.max_by("rep", F.struct("met", F.bitwise_not("rep"))).alias("rep"))
+    mine = sets.select("fp", F.col("hashes").alias("own"))
+    reps = sets.select(F.col("fp").alias("rep"), F.col("hashes").alias("theirs"), F.col("n").alias("n_rep"))
+
+    def listed(x):
+        place = F.array_sort(F.transform(x, lambda h: F.shiftrightunsigned(h, 51).cast("int")))
+        which = F.transform(place, lambda p, i: i + 1 - F.array_position(place, p))
+        numbers = F.transform(F.arrays_zip(place.alias("p"), which.alias("w")), lambda z: (z["p"] * 8 + z["w"] - 32768).cast("short"))
+        return F.when((F.size(x) <= LONGEST) & (F.size(x) > 0) & (F.array_max(which) < 8), numbers).when(F.size(x) == 0, F.array().cast("array<smallint>"))
+    both = met.join(mine, "fp").join(reps, "rep")
+    return both.select("fp", "rep", "n_rep", listed(F.array_except("theirs", "own")).alias("lacks"), listed(F.array_except("own", "theirs")).alias("adds"))
+
+
+def _full(signed: DataFrame, apart: DataFrame, tried: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs of all sets in different components that meet in a signature of ``apart``.
 
     Two sets that share many signatures would come up at each of them.  A row
     knows the signatures just before it, so a pair is left to an earlier
-    signature where both are seen to have one.  Two sets that were compared
-    with one representative have no more in common than the smaller of what
-    they share with it and the smaller of what they do not.
+    signature where both are seen to have one.  Of two sets that were compared
+    with one representative their differences from it say how much they can
+    have in common: what neither lacks of it, and what both add.  Copies of a
+    text that is not there differ from each other at random, so few of their
+    pairs are left.
     """
-    met = tried.select(F.col("a").alias("fp"), F.col("b").alias("rep"), "both").union(tried.select("b", "a", "both"))
-    # The representative that a set shares most with, of equal ones the smallest.
-    met = met.groupBy("fp").agg(F.max_by("rep", F.struct("both", F.bitwise_not("rep"))).alias("rep"), F.max("both").alias("both"))
+    met = store(_differences(tried, sets), "differences")
     rows = signed.join(apart.select("sig"), "sig").join(met, "fp", "left")
     before = lambda n: Window.partitionBy("fp").orderBy("sig").rowsBetween(-n, -1)
     own = rows.withColumn("before", F.collect_list("sig").over(before(16)))
     core = rows.filter("core").withColumn("before", F.collect_list("sig").over(before(8)))
     core = core.select("sig", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("before").alias("before_b"),
-                       F.col("rep").alias("rep_b"), F.col("both").alias("both_b"))
-    most = F.least("both", "both_b") + F.least(F.col("n") - F.col("both"), F.col("nb") - F.col("both_b"))
-    cannot = F.coalesce((F.col("rep") == F.col("rep_b")) & (100 * most < threshold * (F.col("n") + F.col("nb") - most)), F.lit(False))
+                       F.col("rep").alias("rep_b"), F.col("lacks").alias("lacks_b"), F.col("adds").alias("adds_b"))
+    lacking = F.size("lacks") + F.size("lacks_b") - F.size(F.array_intersect("lacks", "lacks_b"))
+    most = F.col("n_rep") - lacking + F.size(F.array_intersect("adds", "adds_b"))
+    known = (F.col("rep") == F.col("rep_b")) & F.col("lacks").isNotNull() & F.col("lacks_b").isNotNull() & F.col("adds").isNotNull() & F.col("adds_b").isNotNull()
+    cannot = F.coalesce(F.when(known, 100 * most < threshold * (F.col("n") + F.col("nb") - most)), F.lit(False))
     return own.join(core, "sig").filter(F.expr("component <> cb and n >= nb and not arrays_overlap(before, before_b)") & ~cannot)
 
 
@@ -318,7 +347,7 @@ def linked_sets(sets: DataFrame, threshold: int, rounds: int = 2) -> DataFrame:
             # The core is the smaller set's; a larger representative is met by the cores of smaller sets.
             pairs = signed.join(apart.join(rep, ["sig", "pick_b"]), "sig").filter("component <> cb and (n >= nb or core)")
         else:
-            pairs = _full(signed, apart, tried, threshold)
+            pairs = _full(signed, apart, tried, sets, threshold)
         pairs = pairs.filter((100 * F.least("n", "nb") >= threshold * F.greatest("n", "nb")))
         pairs = pairs.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
         pairs = store(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
