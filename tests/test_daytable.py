@@ -142,6 +142,33 @@ def test_files_grow_with_batches_not_with_days_times_files(spark):
 SF = "/root/testdata/sf0.001"
 
 
+def test_rows_lie_by_day_and_narrow_ones_are_widened_last(spark):
+    days = [dt.date(2024, 1, 1 + i * 7 % 28) for i in range(28)]
+    narrow = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "Date date, k int")
+    for widen in (None, lambda rows, *more: rows.select("Date", F.col("k").cast("string").alias("K"), *more)):
+        path = shared_dir(spark, "by-day")
+        DayTable(spark, path).replace_days(narrow.repartition(3), widen=widen)
+        t = DayTable(spark, path).read()
+        assert t.columns == ["Date", "k" if widen is None else "K", "Month"] and t.count() == 28
+        at = t.select("Date", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()
+        assert [r[0] for r in at] == sorted(days)  # one month is one file here
+
+
+def test_first_lines_and_sums_of_orders_without_sorting_lines(spark):
+    from tillpoint.sources.canonical import order_lines
+    big = 2**63 - 1
+    rows = [(1, 7, 2, 10.25, 0.05, 0.02), (1, 9, 1, 3.333, 0.5, 0.0), (1, 8, 1, 1.0, None, 0.1), (2, None, 1, 5.0, 0.1, 0.1), (2, 3, 1, 5.0, 0.1, 0.1), (3, big, 1, None, 0.1, 0.1),
+            (4, 4, None, 2.0, 0.0, 0.0), (4, -5, 1, 2.0, 0.0, 0.0), (None, -big - 1, -2**31, 2.0, 0.04, 0.0), (None, 6, 2**31 - 1, 2.0, 0.04, 0.0)]
+    t = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_discount double, l_tax double")
+    price, share = "cast(l_extendedprice as decimal(12,2))", "cast({} as decimal(4,2))"
+    want = t.groupBy("l_orderkey").agg(F.expr(f"cast(sum({price}) as decimal(18,4))"), F.expr(f"cast(sum({price} * {share.format('l_discount')}) as decimal(18,4))"),
+                                       F.expr(f"cast(sum({price} * {share.format('l_tax')}) as decimal(18,4))"), F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"])
+    got = order_lines(t)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 @pytest.mark.skipif(not os.path.exists(SF), reason="driver tables not present")
 def test_only_changed_days_are_written(spark):
     from tillpoint.sources.canonical import orders_view

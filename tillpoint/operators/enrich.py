@@ -72,7 +72,12 @@ def with_essential_columns(orders: DataFrame,
         df = dg.with_discount_group(df, path=groups_path)
     else:
         df = df.withColumn("Discount_Group", F.lit(None).cast("string"))
-    df = money_rules(df, half_rule)
+    return essential_columns(df, half_rule)
+
+
+def essential_columns(grouped: DataFrame, half_rule: tuple[str, str] = dg.HALF_RULE) -> DataFrame:
+    """B-01 of orders that have their ``Discount_Group``: projections alone, so rows stay in order."""
+    df = money_rules(grouped, half_rule)
     df = with_time_parts(df)
     return (df
             .withColumn("Profit_Margin", ratio(F.col("net_sale") - dbl("Discount"), "GrossPrice", 100.0))

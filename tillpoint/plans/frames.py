@@ -18,11 +18,12 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillpoint.functions.discounts import with_discount_group
 from tillpoint.operators import daily, sync
-from tillpoint.operators.enrich import with_essential_columns, with_extended_columns
+from tillpoint.operators.enrich import essential_columns, with_essential_columns, with_extended_columns
 from tillpoint.session import shared_dir
 from tillpoint.sources import changes
-from tillpoint.sources.canonical import ORDER_COLUMNS, orders_view
+from tillpoint.sources.canonical import ORDER_COLUMNS, discount_code, joined_view, order_columns
 from tillpoint.sources.daytable import DayTable
 from tillpoint.sources.snapshots import Snapshots
 
@@ -30,11 +31,11 @@ _TABLES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 _LOCK = threading.RLock()
 
 
-def materialize(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def materialize(spark: SparkSession, sf_dir: str, name: str, build, widen=None) -> DataFrame:
     """The day table of ``sf_dir`` in the shared folder, brought up to its source files, and read.
 
     A later session finds the table and writes only the days that changed
-    (``changes.follow``; ``build(days)`` makes them).  The DataFrame handle is
+    (``changes.follow``; ``build(days)`` makes them, ``widen`` their columns).  The DataFrame handle is
     kept, so files are listed once a session; ``refresh`` looks at them again."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     with _LOCK:
@@ -42,7 +43,7 @@ def materialize(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame
         if hit is None:
             tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
             path = f"{shared_dir(spark)}/tillpoint/tables/{name}-{tag}"
-            changes.follow(spark, sf_dir, path, build)
+            changes.follow(spark, sf_dir, path, build, widen)
             hit = (path, DayTable(spark, path, undated=True).read())
             _TABLES[key] = hit
     return hit[1]
@@ -82,8 +83,8 @@ def essential(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical orders with the B-01 columns (the dashboard's working frame)."""
     if isinstance(sf_dir, Varied):
         return _session_frame(spark, sf_dir, "varied", lambda: with_essential_columns(_vary(orders(spark, sf_dir.base), sf_dir.rules)))
-    return materialize(spark, sf_dir, "orders_essential",
-                       lambda days: with_essential_columns(orders_view(spark, sf_dir, days)))
+    joined = lambda days: with_discount_group(joined_view(spark, sf_dir, days).withColumn("DiscountCode", discount_code())).drop("DiscountCode")
+    return materialize(spark, sf_dir, "orders_essential", joined, lambda rows, *more: essential_columns(order_columns(rows, "Discount_Group", *more)))
 
 
 def _by_day(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -114,7 +115,7 @@ def daily_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers by day as bitmaps; the numbering of customers is a table of its own, in versions."""
+    """Customers by day as bits; the numbering of customers is a table of its own, in versions."""
     def build(rows: DataFrame) -> DataFrame:
         kept_rows = sync.drop_fully_discounted(rows)
         log = Snapshots(spark, f"{_TABLES[(spark.sparkContext.applicationId, sf_dir, 'orders_essential')][0]}-customers")
@@ -122,7 +123,7 @@ def customer_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         known = log.read(last) if last else None
         last = log.commit(last, {"rows": daily.customer_numbers(kept_rows, known)}, {})
         return daily.customer_bitmaps(kept_rows, log.read(last))
-    return _by_day(spark, sf_dir, "bitmaps", build)
+    return _by_day(spark, sf_dir, "customer-bits", build)
 
 
 _DERIVED: dict[tuple[str, str, str], DataFrame] = {}

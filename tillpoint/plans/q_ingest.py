@@ -13,7 +13,7 @@ from tillpoint.plans.catalog import register
 from tillpoint.plans.sqlparts import BASE, quantile_sql, with_ctes
 from tillpoint.session import shared_dir
 from tillpoint.sources import changes, landing, sink
-from tillpoint.sources.canonical import ORDER_COLUMNS, ORDERS_SQL, orders_view
+from tillpoint.sources.canonical import ORDER_COLUMNS, ORDERS_SQL, joined_view, order_columns
 from tillpoint.sources.daytable import DayTable
 
 ORD = [ORDERS_SQL.strip()]
@@ -114,12 +114,12 @@ def f16_changed_days_rebuilt(spark, sf):
         rows = read(t).join(keys, "l_orderkey", "left_anti") if t == "lineitem" else read(t)
         rows.write.parquet(f"{copy}/{t}.parquet")
     path = shared_dir(spark, "followed")
-    build = lambda days: orders_view(spark, copy, days)
-    changes.follow(spark, copy, path, build)
+    follow = lambda: changes.follow(spark, copy, path, lambda days: joined_view(spark, copy, days), order_columns)
+    follow()
     table = DayTable(spark, path, undated=True)
     first = table.version()
     read("lineitem").join(keys, "l_orderkey", "left_semi").write.mode("append").parquet(f"{copy}/lineitem.parquet")
-    changes.follow(spark, copy, path, build)
+    follow()
     known = table.days(first).select("part").distinct()
     again = table.days().where("live").join(known, "part", "left_anti").select("Date", F.col("rows").alias("rewritten"))
     n = table.read().groupBy("Date").agg(F.count(F.lit(1)).alias("orders"), F.sum("Total").cast("double").alias("total"))

@@ -6,13 +6,16 @@ total equals the sum of its parts and matches a SQL engine bit for bit.
 
 Scale notes
 -----------
-* lineitem is aggregated per order first (partial aggregation map-side), so
-  the only wide input that is shuffled is already reduced to order grain.
-* orders is joined to that aggregate on the order key; both sides are then
-  hash-partitioned on the same key, one exchange each.
-* part and customer grow with the data, so they are plain equi-joins; Spark
-  broadcasts them only when its measured size is under the configured
-  threshold, otherwise sort-merge.
+* lineitem is aggregated per order first (partial aggregation map-side, money
+  as whole numbers of its smallest unit and the first line as one number, so
+  the aggregation hashes and never sorts lines).
+* Orders and their names are joined while rows are narrow: ``joined_orders``
+  has the dozen columns that come from the tables, ``order_columns`` makes all
+  others of them.  A writer shuffles and sorts the former and widens last.
+* customer, lines and part grow with the data, so they are plain equi-joins;
+  Spark broadcasts them only when its measured size is under the configured
+  threshold, otherwise sort-merge.  The customer comes first, when a row is
+  smallest.
 * nation has a fixed 25 rows (a TPC-H invariant), so it is broadcast.
 """
 
@@ -53,54 +56,75 @@ def _money(c: Column) -> Column:
     return c.cast(MONEY)
 
 
+#: A line's number and its part key as one number that a hashed aggregation can hold (0 for a null; a struct would be sorted).
+_LINE = "coalesce(cast(l_linenumber as decimal(19,0)) + 2000000000000000001BD, 0BD)"
+_PART = "coalesce(cast(l_partkey as decimal(19,0)) + 9223372036854775809BD, 0BD)"
+_PART_SPAN = "20000000000000000000BD"
+
+
 def order_lines(lineitem: DataFrame) -> DataFrame:
-    """Per-order money sums and the first line's part key."""
-    price = F.col("l_extendedprice").cast(T.DecimalType(12, 2))
-    return (lineitem
-            .groupBy("l_orderkey")
-            .agg(F.sum(price).alias("gross"),
-                 F.sum(price * F.col("l_discount").cast(T.DecimalType(4, 2))).alias("disc"),
-                 F.sum(price * F.col("l_tax").cast(T.DecimalType(4, 2))).alias("vat"),
-                 F.min(F.struct("l_linenumber", "l_partkey")).alias("first_line")))
+    """Per-order money sums and the first line's part key.
 
+    The first line is that of the smallest line number, then part key, nulls
+    first.  Sums are of whole hundredths or ten-thousandths, exact as the
+    decimals they stand for."""
+    price, share = "cast(l_extendedprice as decimal(12,2))", "cast({} as decimal(4,2))"
+    sums = lineitem.groupBy("l_orderkey").agg(
+        F.expr(f"sum(cast({price} * 100BD as bigint))").alias("gross"),
+        F.expr(f"sum(cast({price} * {share.format('l_discount')} * 10000BD as bigint))").alias("disc"),
+        F.expr(f"sum(cast({price} * {share.format('l_tax')} * 10000BD as bigint))").alias("vat"),
+        F.expr(f"min(cast({_LINE} * {_PART_SPAN} as decimal(38,0)) + {_PART})").alias("first_line"))
+    part = f"cast(nullif(cast(first_line % {_PART_SPAN} as decimal(20,0)), 0BD) - 9223372036854775809BD as bigint)"
+    money = "cast(cast({0} as decimal(19,0)) * {1}BD as decimal(18,4)) as {0}"
+    return sums.selectExpr("l_orderkey", money.format("gross", "0.01"), money.format("disc", "0.0001"), money.format("vat", "0.0001"), f"{part} as first_part")
 
-def build_orders(orders: DataFrame, lineitem: DataFrame, customer: DataFrame,
-                 part: DataFrame, nation: DataFrame) -> DataFrame:
+
+def _received() -> Column:
+    return F.timestamp_add("SECOND", (F.col("o_orderkey") * TIME_MULTIPLIER) % 86400, F.col("o_orderdate"))
+
+
+def discount_code() -> Column:
+    slot = F.col("o_orderkey") % CODE_MODULUS
+    return (F.when(slot == 0, F.lit(STAFF_CODE))
+             .when(slot == 1, F.lit(HALF_RULE_CODE))
+             .when(slot == 2, F.lit(None).cast("string"))
+             .when(slot == 3, F.lit(UNKNOWN_CODE))
+             .otherwise(F.lit(DEFAULT_CODE)))
+
+
+def joined_orders(orders: DataFrame, lineitem: DataFrame, customer: DataFrame, part: DataFrame, nation: DataFrame) -> DataFrame:
+    """An order's columns from the tables and its ``Date``; ``order_columns`` makes the canonical ones of them."""
     lines = order_lines(lineitem.select("l_orderkey", "l_partkey", "l_linenumber",
                                         "l_extendedprice", "l_discount", "l_tax"))
     o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
                       "o_orderpriority")
     cust = customer.select("c_custkey", "c_name", "c_nationkey")
-    nat = F.broadcast(nation.select("n_nationkey", "n_name"))
     brand = part.select(F.col("p_partkey"), F.col("p_brand"))
+    nat = F.broadcast(nation.select("n_nationkey", "n_name"))
+    return (o.join(cust, o.o_custkey == cust.c_custkey, "left")
+             .join(nat, F.col("c_nationkey") == nat.n_nationkey, "left")
+             .join(lines, o.o_orderkey == lines.l_orderkey, "left")
+             .join(brand, lines.first_part == brand.p_partkey, "left")
+             .select(*o.columns, "c_name", "n_name", "gross", "disc", "vat", "p_brand", F.to_date(_received()).alias("Date")))
 
-    j = (o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
-          .join(brand, F.col("first_line.l_partkey") == brand.p_partkey, "left")
-          .join(cust, o.o_custkey == cust.c_custkey, "left")
-          .join(nat, F.col("c_nationkey") == nat.n_nationkey, "left"))
 
+def order_columns(joined: DataFrame, *more: str) -> DataFrame:
+    """The canonical columns of ``joined_orders``, and ``more`` of its columns: a projection, so rows stay in order."""
     key = F.col("o_orderkey")
     code_slot = key % CODE_MODULUS
-    code = (F.when(code_slot == 0, F.lit(STAFF_CODE))
-             .when(code_slot == 1, F.lit(HALF_RULE_CODE))
-             .when(code_slot == 2, F.lit(None).cast("string"))
-             .when(code_slot == 3, F.lit(UNKNOWN_CODE))
-             .otherwise(F.lit(DEFAULT_CODE)))
     gross = _money(F.coalesce(F.col("gross"), F.lit(0)))
-    disc = _money(F.when(code_slot == 0, gross)
-                   .otherwise(F.coalesce(F.col("disc"), F.lit(0)).cast(MONEY)))
+    disc = _money(F.when(code_slot == 0, gross).otherwise(F.coalesce(F.col("disc"), F.lit(0))))
     vat = _money(F.coalesce(F.col("vat"), F.lit(0)))
     delivery = _money(key % 20)
     tips = _money(key % 5)
     zero = _money(F.lit(0))
-    received = F.timestamp_add("SECOND", (key * TIME_MULTIPLIER) % 86400, F.col("o_orderdate"))
     null_str = F.lit(None).cast("string")
 
-    out = j.select(
+    return joined.select(
         key.cast("string").alias("OrderID"),
         key.alias("UniqueOrderID"),
         (key % 1000).cast("string").alias("SequenceNumber"),
-        received.alias("ReceivedAt"),
+        _received().alias("ReceivedAt"),
         F.col("p_brand").alias("Brand"),
         F.col("o_orderpriority").alias("Channel"),
         F.col("n_name").alias("Location"),
@@ -122,7 +146,7 @@ def build_orders(orders: DataFrame, lineitem: DataFrame, customer: DataFrame,
         F.col("o_orderstatus").alias("PaymentMethod"),
         null_str.alias("PaymentType"),
         null_str.alias("FortID"),
-        code.alias("DiscountCode"),
+        discount_code().alias("DiscountCode"),
         null_str.alias("DeliveryPartnerName"),
         null_str.alias("DeliveryPlan"),
         null_str.alias("Note"),
@@ -130,12 +154,17 @@ def build_orders(orders: DataFrame, lineitem: DataFrame, customer: DataFrame,
         null_str.alias("EmployeeName"),
         tips.alias("Tips"),
         F.lit("orders").alias("SourceSheet"),
+        "Date", *more,
     )
-    return out.withColumn("Date", F.to_date("ReceivedAt"))
 
 
-def orders_view(spark: SparkSession, sf_dir: str, days: Sequence[dt.date | None] | None = None) -> DataFrame:
-    """Canonical order DataFrame over the driver tables in ``sf_dir``, of all days or of ``days`` alone (None: rows without a date).
+def build_orders(orders: DataFrame, lineitem: DataFrame, customer: DataFrame,
+                 part: DataFrame, nation: DataFrame) -> DataFrame:
+    return order_columns(joined_orders(orders, lineitem, customer, part, nation))
+
+
+def joined_view(spark: SparkSession, sf_dir: str, days: Sequence[dt.date | None] | None = None) -> DataFrame:
+    """``joined_orders`` over the driver tables in ``sf_dir``, of all days or of ``days`` alone (None: rows without a date).
 
     For chosen days the orders are filtered at the scan and only their lines
     are aggregated, so the work goes with those days."""
@@ -151,13 +180,18 @@ def orders_view(spark: SparkSession, sf_dir: str, days: Sequence[dt.date | None]
             near = near & on.isin([d + dt.timedelta(days=k) for d in dated for k in (-1, 0)])
         orders = orders.where((near | on.isNull()) if None in days else near)
         lineitem = lineitem.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    out = build_orders(orders, lineitem, read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "part"), read_table(spark, sf_dir, "nation"))
+    out = joined_orders(orders, lineitem, read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "part"), read_table(spark, sf_dir, "nation"))
     if days is None:
         return out
     chosen = F.col("Date").isin(dated) if dated else F.lit(False)
     return out.where((chosen | F.col("Date").isNull()) if None in days else chosen)
 
 
+def orders_view(spark: SparkSession, sf_dir: str, days: Sequence[dt.date | None] | None = None) -> DataFrame:
+    """Canonical order DataFrame over the driver tables in ``sf_dir``, of all days or of ``days`` alone."""
+    return order_columns(joined_view(spark, sf_dir, days))
+
+
 # DuckDB twin of ``build_orders`` used by the oracle SQL.
 ORDERS_SQL = f"""
 li AS (

@@ -93,22 +93,23 @@ def changed_days(spark: SparkSession, sf_dir: str, table: DayTable, base: Versio
     return days_that_differ(table.log.read(base, "fingerprints"), fingerprints(build(None)))
 
 
-def follow(spark: SparkSession, sf_dir: str, path: str, build: Callable[[Days | None], DataFrame]) -> Days | None:
+def follow(spark: SparkSession, sf_dir: str, path: str, build: Callable[[Days | None], DataFrame], widen: Callable[..., DataFrame] | None = None) -> Days | None:
     """Bring the day table at ``path`` up to its sources; the days that were written, None for all of them.
 
-    ``build(days)`` makes the rows of these days from the sources (None: of all)."""
+    ``build(days)`` makes the rows of these days from the sources (None: of all),
+    ``widen`` the table's columns of them (``DayTable.replace_days``)."""
     table = DayTable(spark, path, undated=True)
     files = source_files(spark, sf_dir)
     sign, base = signature(files), table.version()
     if base is None:
-        table.replace_days(build(None), whole=True, keep=lambda rows: {"files": files, "fingerprints": fingerprints(rows)}, info={"signature": sign})
+        table.replace_days(build(None), whole=True, keep=lambda rows: {"files": files, "fingerprints": fingerprints(rows)}, info={"signature": sign}, widen=widen)
         return None
     if base.info["signature"] == sign:
         return []
-    days = changed_days(spark, sf_dir, table, base, files, build)
+    days = changed_days(spark, sf_dir, table, base, files, (lambda d: widen(build(d))) if widen else build)
     old = table.log.read(base, "fingerprints")
     some = spark.createDataFrame([(d,) for d in days], "Date date")
     others = old.join(some.withColumn("again", F.lit(True)), old["Date"].eqNullSafe(some["Date"]), "left_anti") if days else old
     batch = build(days) if days else build([]).limit(0)
-    table.replace_days(batch, also=days, keep=lambda rows: {"files": files, "fingerprints": others.unionByName(fingerprints(rows))}, info={"signature": sign})
+    table.replace_days(batch, also=days, keep=lambda rows: {"files": files, "fingerprints": others.unionByName(fingerprints(rows))}, info={"signature": sign}, widen=widen)
     return days

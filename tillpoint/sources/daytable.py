@@ -45,15 +45,21 @@ class DayTable:
         self.log = Snapshots(spark, f"{self.path}/log")
 
     # Parts ----------------------------------------------------------------
-    def _write_part(self, rows: DataFrame, part: str) -> None:
+    def _write_part(self, rows: DataFrame, part: str, widen: Callable[..., DataFrame] | None = None) -> None:
         """Rows as files of about the advisory size, whatever their number: Spark cuts large months and joins small ones.
 
-        A batch of a stream (``b-``) is small and lies in one folder, in order of the day; else a part has a folder a month."""
+        A batch of a stream (``b-``) is small and lies in one folder, in order of the day; else a part has a folder a month.
+        Rows without ``delivery_id`` are written under ``DIRECT``.  ``widen`` projects the table's columns of rows that are dealt
+        and sorted already, and keeps those that are named."""
         rows = (rows if self.undated else rows.where(F.col("Date").isNotNull())).withColumn("Month", F.date_format("Date", "yyyy-MM"))
-        flat = part.startswith("b-")
+        flat, direct = part.startswith("b-"), "delivery_id" not in rows.columns
         dealt = rows.hint("rebalance") if flat else rows.hint("rebalance", F.col("Month"))
+        # The writer keeps this order if it begins with the folders that differ; a constant in it would make it sort once more.
+        dealt = dealt.sortWithinPartitions(*[] if direct else ["delivery_id"], *[] if flat else ["Month"], "Date")
+        dealt = widen(dealt, "Month") if widen else dealt
+        dealt = dealt.withColumn("delivery_id", F.lit(DIRECT)) if direct else dealt
         by = ["delivery_id"] if flat else ["delivery_id", "Month"]
-        dealt.sortWithinPartitions(*by, "Date").write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/data/part={part}")
+        dealt.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/data/part={part}")
 
     def _days_of(self, part: str, schema: T.StructType) -> DataFrame:
         rows = self._scan([f"{self.path}/data/part={part}"], schema)
@@ -107,7 +113,7 @@ class DayTable:
 
     # Writing --------------------------------------------------------------
     def replace_days(self, batch: DataFrame, also: Sequence = (), keep: Callable[[DataFrame], dict[str, DataFrame]] | None = None,
-                     whole: bool = False, info: dict | None = None) -> Version:
+                     whole: bool = False, info: dict | None = None, widen: Callable[..., DataFrame] | None = None) -> Version:
         """A-09: the batch's days, and those of ``also``, hold the batch's rows alone from the next version on.
 
         ``whole`` replaces every day.  A batch without dates changes nothing but
@@ -115,11 +121,13 @@ class DayTable:
         another writer commits one of these days meanwhile, ``Conflict`` is
         raised and nothing changes; other days are no conflict.  ``keep`` makes
         tables that are kept with the version out of the written rows; ``info``
-        are small facts kept with it."""
+        are small facts kept with it.  With ``widen(rows, *more)`` the batch
+        holds narrow rows with their ``Date``, which are shuffled and sorted as
+        such; it makes the table's columns of each row (and keeps ``more``)."""
         base, part = self.version(), uuid.uuid4().hex[:16]
         batch = batch.drop("Month", "part", "delivery_id")
-        schema = batch.schema
-        self._write_part(batch.withColumn("delivery_id", F.lit(DIRECT)), part)
+        schema = (widen(batch) if widen else batch).schema
+        self._write_part(batch, part, widen)
         if names_in(self.spark, f"{self.path}/data/part={part}/delivery_id={DIRECT}"):
             written, new = self._scan([f"{self.path}/data/part={part}"], schema), self._days_of(part, schema)
         else:
