@@ -37,6 +37,19 @@ def test_cells_and_bitmaps_equal_the_orders_of_any_range(spark, start, end):
     assert {r[0]: r[1] for r in daily.sales_by(cells, "Channel", start, end).collect()} == sums
 
 
+def test_few_customers_of_many_make_few_bytes(spark):
+    rows = sales(spark, n=60, names=50)
+    far = daily.customer_numbers(rows).withColumn("number", F.col("number") * 100_003)
+    bits = daily.customer_bitmaps(rows, far)
+    kept = rows.where("CustomerName is not null")
+    assert bits.schema["bits"].dataType.simpleString() == "bigint"  # 8 bytes, no bitmap of 4 KB
+    assert bits.count() == kept.select("Date", "Brand", "Channel", "CustomerName").distinct().count()
+    for dims in ((), ("Brand",), ("Channel",), ("Brand", "Channel")):
+        some = kept.where(" and ".join(f"{d} is not null" for d in dims) or "true")
+        want = {tuple(r[:-1]): r[-1] for r in some.groupBy(*dims).agg(F.countDistinct("CustomerName")).collect()}
+        assert {tuple(r[:-1]): r[-1] for r in daily.distinct_customers(bits, dims).collect()} == want
+
+
 def test_customer_numbers_stay_when_new_ones_come(spark):
     first, more = sales(spark, 2, names=30), sales(spark, 3, names=45)
     known = daily.customer_numbers(first)

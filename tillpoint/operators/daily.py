@@ -5,9 +5,10 @@ dimension set in ``CUBES``, in a single pass (grouping sets).  Every measure is
 an exact sum or a count, so the rows of any days add up to the range's totals.
 The views below read cells of a range and no orders.
 
-Distinct customers do not add up.  ``customer_bitmaps`` keeps, by day and
-bucket of 32,768 customer numbers, which of them ordered; or-ing the days'
-bitmaps counts each customer of a range once, exactly.
+Distinct customers do not add up.  ``customer_bitmaps`` keeps, by day, Brand,
+Channel and bucket of 64 customer numbers, which of them ordered; or-ing the
+bits of any of these rows counts each customer once, exactly.  A bucket is one
+number, so a day on which few customers of many ordered has as few rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ DIMENSIONS = ["Brand", "Channel", "Address", "Location", "PaymentMethod", "Disco
 #: The dimension sets that the views ask for; the first is the day itself.
 CUBES = [(), ("Brand",), ("Channel",), ("Address",), ("PaymentMethod",), ("DiscountCode",), ("Discount_Range",),
          ("Brand", "Address"), ("Brand", "Channel"), ("Brand", "Location")]
-CUSTOMER_CUBES = [(), ("Brand",), ("Channel",)]
+CUSTOMER_DIMENSIONS = ["Brand", "Channel"]
 
 
 def cube_name(dims: Sequence[str]) -> str:
@@ -58,11 +59,8 @@ def cells(orders: DataFrame) -> DataFrame:
     return got.withColumn("cube", names[F.col("_set").cast("int")]).drop("_set")
 
 
-def _range(table: DataFrame, dims: Sequence[str], start, end) -> DataFrame:
-    name = cube_name(dims)
-    if name not in {cube_name(c) for c in CUBES} or not set(dims) <= set(DIMENSIONS):
-        raise ValueError(f"no daily cells by {list(dims)}")
-    out = table.where(F.col("cube") == name)
+def _days(table: DataFrame, dims: Sequence[str], start, end) -> DataFrame:
+    out = table
     if start is not None:
         first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
         out = out.where(F.col("Date").between(first, last))
@@ -73,6 +71,13 @@ def _range(table: DataFrame, dims: Sequence[str], start, end) -> DataFrame:
     return out
 
 
+def _range(table: DataFrame, dims: Sequence[str], start, end) -> DataFrame:
+    name = cube_name(dims)
+    if name not in {cube_name(c) for c in CUBES} or not set(dims) <= set(DIMENSIONS):
+        raise ValueError(f"no daily cells by {list(dims)}")
+    return _days(table.where(F.col("cube") == name), dims, start, end)
+
+
 def _money(c: str) -> Column:
     return dbl(F.sum(c)) / F.lit(VAT_FACTOR)
 
@@ -158,23 +163,18 @@ def customer_numbers(orders: DataFrame, known: DataFrame | None = None, key: str
 
 
 def customer_bitmaps(orders: DataFrame, numbers: DataFrame, key: str = "CustomerName") -> DataFrame:
-    """``Date, cube, Brand, Channel, bucket, bits``: which customers of a bucket ordered that day."""
-    dims = ["Brand", "Channel"]
-    rows = orders.select("Date", *dims, key).distinct().join(numbers, key)
-    keys = ["Date", *dims, "bucket"]
-    rows = rows.withColumn("bucket", F.bitmap_bucket_number("number"))
-    sets = [[F.col("Date"), *[F.col(d) for d in cube], F.col("bucket")] for cube in CUSTOMER_CUBES]
-    got = rows.groupingSets(sets, *[F.col(k) for k in keys]).agg(F.grouping_id().alias("_set"), F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
-    number = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k in dims and k not in cube): cube_name(cube) for cube in CUSTOMER_CUBES}
-    names = F.create_map(*[F.lit(x) for n, name in number.items() for x in (n, name)])
-    return got.withColumn("cube", names[F.col("_set").cast("int")]).drop("_set")
+    """``Date, Brand, Channel, bucket, bits``: which customers of a bucket of 64 ordered that day.
+
+    A customer's further orders of the day set the same bit, so no distinct rows are needed first."""
+    rows = orders.select("Date", *CUSTOMER_DIMENSIONS, key).join(numbers, key)
+    bit = F.expr("shiftleft(1L, cast(number & 63 as int))")
+    return rows.groupBy("Date", *CUSTOMER_DIMENSIONS, F.shiftright("number", 6).alias("bucket")).agg(F.bit_or(bit).alias("bits"))
 
 
 def distinct_customers(bitmaps: DataFrame, dims: Sequence[str] = (), start=None, end=None) -> DataFrame:
-    """``total_customers`` of a range of days, by ``dims`` (none, Brand or Channel): days are or-ed by bucket, then bits are counted."""
-    if tuple(dims) not in CUSTOMER_CUBES:
+    """``total_customers`` of a range of days, by ``dims`` (none, Brand, Channel or both): days are or-ed by bucket, then bits are counted."""
+    if not set(dims) <= set(CUSTOMER_DIMENSIONS):
         raise ValueError(f"no customer bitmaps by {cube_name(dims)}")
-    rows = _range(bitmaps, dims, start, end)
-    buckets = rows.groupBy(*dims, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    total = F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).cast("long").alias("total_customers")
+    buckets = _days(bitmaps, dims, start, end).groupBy(*dims, "bucket").agg(F.bit_or("bits").alias("bits"))
+    total = F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("long").alias("total_customers")
     return buckets.groupBy(*dims).agg(total) if dims else buckets.agg(total)
