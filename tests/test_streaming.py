@@ -94,3 +94,12 @@ def test_closed_windows_leave_the_state(spark):
     got = st.read_totals(spark, table, ["w"])
     assert got.count() == 21 and float(got.agg({"total": "sum"}).first()[0]) == 3 * sum(range(1, 8))
     assert state is not None and state <= 9
+
+
+def test_landing_rows_are_dealt_without_sorting_them(spark):
+    src = orders(spark, [{"OrderID": i, "ReceivedAt": f"2024-01-{1 + i % 28:02d} 09:00:00", "GrossPrice": i} for i in range(300)])
+    rows = st.dealt(src, 5)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and "RoundRobin" not in plan
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 5 and sum(sizes) == 300 and min(sizes) >= 30

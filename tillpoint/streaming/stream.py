@@ -148,13 +148,19 @@ def read_totals(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
 
 def stage_landing(df: DataFrame, landing: str, delivery: str = "0001", files: int | None = None, mark: bool = True) -> None:
     """Write source rows as the landing files of one delivery, rows in no order (``files``: how many; else as the rows lie), and its mark."""
-    rows = df.repartition(files) if files else df
+    rows = dealt(df, files) if files else df
     folder = f"{landing}/delivery-{delivery}"
     rows.write.mode("overwrite").parquet(folder)
     if mark:
         mark_complete(df.sparkSession, folder, df.schema)
 
 
+def dealt(df: DataFrame, files: int) -> DataFrame:
+    """Rows in ``files`` parts by a hash of the whole row: were they dealt in turns, a task would have to sort all of its rows
+    first, so that it deals alike if it runs again."""
+    return df.repartition(files, F.xxhash64(*df.columns))
+
+
 def mark_complete(spark: SparkSession, folder: str, schema: StructType) -> None:
     """The mark of a delivery whose files are all there: each file with the number of its rows."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(folder)
