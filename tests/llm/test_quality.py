@@ -62,3 +62,17 @@ def test_no_labels_and_no_documents(spark):
     machine = quality.train(df, labelled(spark, 0))
     assert quality.score(df, machine).first().score > 0
     assert quality.score(docs(spark, []), machine).count() == 0
+
+
+def test_training_rows_are_given_back_to_the_system(spark, monkeypatch):
+    real, held = quality.pa.default_memory_pool(), []
+
+    class Pool:
+        def release_unused(self):
+            held.append(real.bytes_allocated())
+            real.release_unused()
+    before = real.bytes_allocated()
+    monkeypatch.setattr(quality.pa, "default_memory_pool", Pool)
+    for n in (60, 0):
+        quality.train(docs(spark, rows(n) if n else []), labelled(spark, 60))
+    assert held == [before, before]  # nothing of the rows is left when the pool is emptied

@@ -149,8 +149,15 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, doc_id:
     texts = texts.join(F.broadcast(rows), "train_id")  # at most train_rows rows
     got = texts.select("text", "label", "row_order").mapInArrow(_featurise, FEATURE_SCHEMA).toArrow()
     machine = Machine()
-    if not got.num_rows:
-        return machine
+    try:
+        return _fitted(machine, got) if got.num_rows else machine
+    finally:
+        # What the rows took goes back to the system: the driver goes on without it for the rest of the session.
+        del got
+        pa.default_memory_pool().release_unused()
+
+
+def _fitted(machine: Machine, got: pa.Table) -> Machine:
     got = got.take(pa.compute.sort_indices(got, [("row_order", "ascending"), ("label", "ascending")])).combine_chunks()
     index = got.column("index").combine_chunks()
     index = index.chunk(0) if isinstance(index, pa.ChunkedArray) else index
